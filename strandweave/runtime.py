@@ -67,17 +67,15 @@ def _slot(key, bits: int):
 
 def membership(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
     """A one-hash Bloom filter of a column as rows (word, mask); at most 2**(bits-6) rows, so it may be broadcast."""
-    slot = _slot(F.col(column), bits)
-    return ids.select(F.shiftright(slot, 6).alias("_word"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
+    slots = ids.select(_slot(F.col(column), bits).alias("_slot"))
+    return slots.selectExpr("shiftright(_slot, 6) AS _word", "shiftleft(1L, cast(_slot & 63 AS int)) AS _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
 
 
 def maybe_in(df: DataFrame, key, members: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """df with a boolean column _maybe: false means that key is certainly not a member. Adds no shuffle of df."""
-    slot = _slot(key, bits)
     words = F.broadcast(members.withColumnsRenamed({"_word": "_w", "_mask": "_m"}))
-    bit = F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
-    joined = df.join(words, F.shiftright(slot, 6) == F.col("_w"), "left")
-    return joined.withColumn("_maybe", F.coalesce(F.col("_m").bitwiseAND(bit) != 0, F.lit(False))).drop("_w", "_m")
+    joined = df.withColumn("_slot", _slot(key, bits)).join(words, F.expr("shiftright(_slot, 6) = _w"), "left")
+    return joined.withColumn("_maybe", F.expr("coalesce((_m & shiftleft(1L, cast(_slot & 63 AS int))) <> 0, false)")).drop("_w", "_m", "_slot")
 
 
 def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
