@@ -2,9 +2,491 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from strandweave.functions import dna
+from strandweave.operators import dictionary, graph, mapping, pathindex, pathing, selection, stats, typing31
+from strandweave.plans import oracles as O
+from strandweave.plans import testdata as T
+from strandweave.runtime import Workspace
+
+P, SHORT = T.PARAMS, T.SHORT
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    """The fragments that occur most often."""
+    nodes = T.Indexed(spark, sf_dir, "flagship").nodes
+    return dictionary.with_text(nodes.select("node", "canon", "count").orderBy(F.desc("count"), "node").limit(100), P)
+
+
+# Selection
+
+
+@query("all_kmers_hash", f"WITH {O.SEQS}, {O.hashed('', 'seqs')} SELECT seq_ord, pos, f AS kmer, h AS hash, hf < hr AS is_forward FROM h")
+def all_kmers_hash(spark, sf_dir):
+    return selection.kmers(T.sequences(spark, sf_dir), P)
+
+
+@query("syncmers", f"{O.OCC} SELECT seq_ord, pos, canon, orient, poly FROM o")
+def syncmers(spark, sf_dir):
+    return dictionary.with_text(selection.syncmers(T.sequences(spark, sf_dir), P), P)
+
+
+@query("syncmers_relational", f"{O.OCC} SELECT seq_ord, pos FROM o")
+def syncmers_relational(spark, sf_dir):
+    return selection.syncmers_relational(T.sequences(spark, sf_dir), P)
+
+
+@query("minimizers", f"""WITH {O.SEQS}, {O.hashed("", "seqs")}, x AS (SELECT seq_ord, pos, n, min(h * 4294967296::BIGINT + pos) OVER (PARTITION BY seq_ord ORDER BY pos ROWS BETWEEN CURRENT ROW AND 54 FOLLOWING) AS m FROM h)
+SELECT DISTINCT seq_ord, m % 4294967296::BIGINT AS pos, m // 4294967296::BIGINT AS hash FROM x WHERE pos + 54 + 8 <= n""")
+def minimizers(spark, sf_dir):
+    return selection.minimizers(T.sequences(spark, sf_dir), P)
+
+
+@query("modimizers", f"WITH {O.SEQS}, {O.hashed('', 'seqs')} SELECT seq_ord, pos, h AS hash FROM h WHERE h % 55 = 0")
+def modimizers(spark, sf_dir):
+    return selection.modimizers(T.sequences(spark, sf_dir), P)
+
+
+@query("revcomp_canonical", f"WITH {O.BENCH}, r AS (SELECT seq_ord, seq, reverse(translate(seq, 'acgt', 'tgca')) AS rc FROM bseqs) SELECT seq_ord, rc, least(seq, rc) AS canonical, seq < rc AS is_canonical FROM r")
+def revcomp_canonical(spark, sf_dir):
+    s = F.col("seq")
+    return T.benchmark_sequences(spark, sf_dir).select("seq_ord", dna.reverse_complement(s).alias("rc"), dna.canonical(s).alias("canonical"), dna.is_canonical(s).alias("is_canonical"))
+
+
+@query("packed_sequences", f"WITH {O.BENCH} SELECT seq_ord, length(seq)::BIGINT AS len, seq FROM bseqs")
+def packed_sequences(spark, sf_dir):
+    rows = T.benchmark_sequences(spark, sf_dir).select("seq_ord", "len", dna.packed(F.col("seq")).alias("data"))
+    return rows.select("seq_ord", "len", dna.unpacked(F.col("data"), F.col("len").cast("int")).alias("seq"))
+
+
+# Dictionary
+
+
+@query("node_dictionary", f"{O.DICT} SELECT node, canon, first_seq, first_pos FROM nodes UNION ALL SELECT 1, repeat('a', 63), NULL, NULL UNION ALL SELECT 2, repeat('c', 63), NULL, NULL")
+def node_dictionary(spark, sf_dir):
+    nodes = T.Indexed(spark, sf_dir, "node_dictionary").nodes.select("node", "canon", "first_seq", "first_pos")
+    reserved = dictionary.homopolymers(spark, P).select("node", "canon", F.lit(None).cast("long").alias("first_seq"), F.lit(None).cast("long").alias("first_pos"))
+    return dictionary.with_text(nodes.unionByName(reserved), P)
+
+
+@query("node_counts", f"{O.DICT} SELECT node, count FROM nodes")
+def node_counts(spark, sf_dir):
+    return T.Indexed(spark, sf_dir, "node_counts").nodes.select("node", "count")
+
+
+@query("node_max_count_per_file", f"{O.DICT} SELECT node, max_count FROM nodes")
+def node_max_count_per_file(spark, sf_dir):
+    return T.Indexed(spark, sf_dir, "node_max_count").nodes.select("node", "max_count")
+
+
+@query("node_loc_unique", f"{O.DICT} SELECT node, loc, first_orient AS strand FROM nodes WHERE count = 1")
+def node_loc_unique(spark, sf_dir):
+    return T.Indexed(spark, sf_dir, "node_loc").nodes.where("count = 1").select("node", "loc", F.col("first_orient").alias("strand"))
+
+
+@query("limit_nodes", f"{O.DICT} SELECT (2 + row_number() OVER (ORDER BY node))::BIGINT AS node, node AS old_node, count, max_count FROM nodes WHERE count >= 2")
+def limit_nodes(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "limit_nodes")
+    return dictionary.limit_counts(x.ws, x.nodes, 2).select("node", "old_node", "count", "max_count")
+
+
+@query("zero_counts", f"{O.DICT} SELECT node, 0::BIGINT AS count, 0 AS max_count FROM nodes")
+def zero_counts(spark, sf_dir):
+    return dictionary.zero_counts(T.Indexed(spark, sf_dir, "zero_counts").nodes).select("node", "count", "max_count")
+
+
+_CONV = f"{O.DICT}, {O.CONVS}, {O.sampled('c', 'cseqs')}"
+
+
+def _conversations(x):
+    seqs = T.conversation_sequences(x.spark, x.sf_dir)
+    return seqs, x.ws.put(selection.syncmers(seqs, P), "occurrences")
+
+
+@query("no_add_paths", f"{_CONV} SELECT co.seq_ord AS path_id, (row_number() OVER (PARTITION BY co.seq_ord ORDER BY co.pos) - 1)::BIGINT AS idx, coalesce(n.node * co.orient, 0)::BIGINT AS node, co.pos FROM co LEFT JOIN nodes n USING (canon) WHERE NOT poly")
+def no_add_paths(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "no_add")
+    return pathing.visits(dictionary.look_up(_conversations(x)[1], x.nodes))
+
+
+_FRESH = """fresh AS (SELECT canon, min(seq_ord * 4294967296::BIGINT + pos) AS first, count(*) AS count FROM co WHERE NOT poly AND canon NOT IN (SELECT canon FROM nodes) GROUP BY ALL),
+added AS (SELECT ((SELECT max(node) FROM nodes) + row_number() OVER (ORDER BY first))::BIGINT AS node, canon, count FROM fresh)"""
+
+
+@query("new_nodes", f"{_CONV}, {_FRESH} SELECT canon, count FROM fresh")
+def new_nodes(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "new_nodes")
+    fresh = dictionary.only_new(_conversations(x)[1].where("NOT poly"), x.nodes)
+    return dictionary.with_text(fresh.groupBy("canon").agg(F.count("*").alias("count")), P)
+
+
+@query("read_then_add", f"{_CONV}, {_FRESH}, more AS (SELECT canon, count(*) AS c FROM co WHERE NOT poly GROUP BY ALL) SELECT node, canon, count, true AS is_new FROM added UNION ALL SELECT n.node, n.canon, (n.count + coalesce(m.c, 0))::BIGINT, false FROM nodes n LEFT JOIN more m USING (canon)")
+def read_then_add(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "read_then_add")
+    seqs, occurrences = _conversations(x)
+    files = x.ws.put(T.with_files(x.ws, seqs), "files")
+    return dictionary.with_text(dictionary.extend(x.ws, x.nodes.select("node", "canon", "count"), occurrences, files), P)
+
+
+@query("event_type_index", "SELECT event_type AS value, (row_number() OVER (ORDER BY event_type) - 1)::BIGINT AS index FROM (SELECT DISTINCT event_type FROM events)")
+def event_type_index(spark, sf_dir):
+    ws = Workspace(spark, "index")
+    return dictionary.dense_index(ws, T.table(spark, sf_dir, "events"), "event_type")
+
+
+# Paths
+
+
+@query("paths_visits", f"{O.PATHS} SELECT * FROM visits")
+def paths_visits(spark, sf_dir):
+    return T.Indexed(spark, sf_dir, "paths_visits").visits
+
+
+@query("path_summary", f"{O.PATHS}, firsts_ AS (SELECT path_id, count(*) AS n_sync, arg_min(node, idx) AS start_node FROM visits GROUP BY ALL), numbered AS (SELECT seq_ord, file, len, (row_number() OVER (PARTITION BY file ORDER BY seq_ord))::INTEGER AS seq_in_file FROM files) SELECT q.seq_ord AS path_id, q.file, q.seq_in_file, q.len::BIGINT AS len, coalesce(f.n_sync, 0)::BIGINT AS n_sync, f.start_node FROM numbered q LEFT JOIN firsts_ f ON f.path_id = q.seq_ord")
+def path_summary(spark, sf_dir):
+    from pyspark.sql import Window as Over
+
+    x = T.Indexed(spark, sf_dir, "path_summary")
+    seqs = x.files.withColumn("seq_in_file", F.row_number().over(Over.partitionBy("file").orderBy("seq_ord")))
+    return pathing.paths(seqs, x.visits).select("path_id", "file", "seq_in_file", "len", "n_sync", F.get("nodes", F.lit(0)).alias("start_node"))
+
+
+_ENDS = "span AS (SELECT path_id, min(pos) AS a, max(pos) AS z FROM visits GROUP BY ALL), ends AS (SELECT q.seq_ord AS path_id, CASE WHEN a IS NULL THEN left(q.seq, length(q.seq) // 2) ELSE left(q.seq, a) END AS prefix, CASE WHEN a IS NULL THEN substr(q.seq, length(q.seq) // 2 + 1) ELSE substr(q.seq, z + 64) END AS suffix FROM seqs q LEFT JOIN span s ON s.path_id = q.seq_ord)"
+
+
+@query("path_ends", f"{O.PATHS}, {_ENDS} SELECT * FROM ends")
+def path_ends(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "path_ends")
+    return pathing.ends(x.seqs, x.visits, P)
+
+
+@query("path_checks", f"WITH {O.SEQS} SELECT seq_ord AS path_id, true AS ok FROM seqs")
+def path_checks(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "path_checks")
+    return pathing.check_paths(x.seqs, x.visits, pathing.ends(x.seqs, x.visits, P), P)
+
+
+@query("path_roundtrip", f"WITH {O.SEQS} SELECT seq_ord AS path_id, sha256(seq) AS digest FROM seqs")
+def path_roundtrip(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "roundtrip")
+    rebuilt = pathing.rebuild(x.visits, x.nodes, pathing.ends(x.seqs, x.visits, P), P)
+    return rebuilt.select("path_id", F.sha2(F.col("seq").cast("binary"), 256).alias("digest"))
+
+
+# Graph
+
+
+@query("edges_docs", O.edges(O.PATHS))
+def edges_docs(spark, sf_dir):
+    return graph.edges(T.Indexed(spark, sf_dir, "edges").visits)
+
+
+@query("edges_events", O.edges(O.EVENTS))
+def edges_events(spark, sf_dir):
+    return graph.edges(T.event_visits(spark, sf_dir))
+
+
+@query("edges_orders", O.edges(O.ORDERS))
+def edges_orders(spark, sf_dir):
+    return graph.edges(T.order_visits(spark, sf_dir))
+
+
+@query("edges_lineitem", O.edges(O.LINES))
+def edges_lineitem(spark, sf_dir):
+    return graph.edges(T.lineitem_visits(spark, sf_dir))
+
+
+@query("start_counts", f"{O.PATHS}, {O.BOTH} SELECT node, count(*) AS starts FROM both_ WHERE idx = 0 GROUP BY ALL")
+def start_counts(spark, sf_dir):
+    return graph.start_counts(T.Indexed(spark, sf_dir, "starts").visits)
+
+
+@query("start_numbers", f"{O.ORDERS}, {O.BOTH} SELECT path_id, strand, node, (row_number() OVER (PARTITION BY node ORDER BY path_id, strand DESC) - 1)::BIGINT AS number FROM both_ WHERE idx = 0")
+def start_numbers(spark, sf_dir):
+    return graph.start_numbers(T.order_visits(spark, sf_dir))
+
+
+@query("node_classes", f"""{O.PATHS}, {O.BOTH}, {O.EDGES}, {O.SIDES}, c AS (SELECT node, coalesce(sum(n_edges) FILTER (side = 'in'), 0)::BIGINT AS in_edges, coalesce(sum(n_edges) FILTER (side = 'out'), 0)::BIGINT AS out_edges FROM sides GROUP BY ALL)
+SELECT *, CASE WHEN in_edges = 1 AND out_edges = 1 THEN 'simple' WHEN in_edges = 1 THEN 'simple_in' WHEN out_edges = 1 THEN 'simple_out' ELSE 'complex' END AS class FROM c""")
+def node_classes(spark, sf_dir):
+    return graph.node_classes(graph.edges(T.Indexed(spark, sf_dir, "classes").visits))
+
+
+@query("graph_stats", O.statistics(O.PATHS))
+def graph_stats(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "graph_stats")
+    return graph.statistics(x.ws.put(graph.edges(x.visits), "edges"))
+
+
+@query("graph_stats_lineitem", O.statistics(O.LINES))
+def graph_stats_lineitem(spark, sf_dir):
+    return graph.statistics(Workspace(spark, "graph_stats").put(graph.edges(T.lineitem_visits(spark, sf_dir)), "edges"))
+
+
+@query("edge_list_distribution", f"{O.PATHS}, {O.BOTH}, {O.EDGES}, {O.SIDES} SELECT least(n_edges, 20)::BIGINT AS length, count(*) AS sides FROM sides GROUP BY ALL")
+def edge_list_distribution(spark, sf_dir):
+    return graph.edge_list_lengths(graph.edges(T.Indexed(spark, sf_dir, "edge_lists").visits))
+
+
+# Statistics
+
+
+@query("count_histogram", f"{O.DICT} SELECT count, count(*) AS nodes FROM nodes GROUP BY ALL")
+def count_histogram(spark, sf_dir):
+    return stats.count_histogram(T.Indexed(spark, sf_dir, "histogram").nodes)
+
+
+@query("quadratic_histogram", f"{O.DICT}, e AS (SELECT (t + 1) * (t + 1) // 4 AS edge FROM range(1, 4000) x(t)), b AS (SELECT count, (SELECT min(edge) FROM e WHERE edge >= count) AS edge FROM (SELECT DISTINCT count FROM nodes)) SELECT b.edge::BIGINT AS edge, count(*) AS nodes FROM nodes JOIN b USING (count) GROUP BY ALL")
+def quadratic_histogram(spark, sf_dir):
+    return stats.quadratic_histogram(T.Indexed(spark, sf_dir, "quadratic").nodes)
+
+
+@query("histogram_summary", f"""{O.DICT}, hh AS (SELECT count, count(*) AS nodes FROM nodes GROUP BY ALL), d AS (SELECT *, sum(nodes) OVER (ORDER BY count DESC) AS n_to, sum(nodes * count) OVER (ORDER BY count DESC) AS t_to, sum(nodes) OVER () AS n, sum(nodes * count) OVER () AS total FROM hh)
+SELECT max(n)::BIGINT AS n, max(total)::BIGINT AS total, round(max(total) / max(n), 6) AS mean, (max(count) FILTER (2 * n_to >= n) + 1)::BIGINT AS median, (max(count) FILTER (2 * t_to >= total) + 1)::BIGINT AS n50 FROM d""")
+def histogram_summary(spark, sf_dir):
+    return stats.histogram_summary(T.Indexed(spark, sf_dir, "summary").nodes)
+
+
+@query("file_summary", f"""{O.DICT}, c AS (SELECT seq_ord, count(*) AS fragments FROM o WHERE NOT poly GROUP BY ALL), f AS (SELECT first_seq AS seq_ord, count(*) AS new FROM nodes GROUP BY ALL)
+SELECT file, count(*) AS sequences, sum(len)::BIGINT AS bases, coalesce(sum(fragments), 0)::BIGINT AS fragments, coalesce(sum(new), 0)::BIGINT AS new FROM files LEFT JOIN c USING (seq_ord) LEFT JOIN f USING (seq_ord) GROUP BY ROLLUP (file)""")
+def file_summary(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "file_summary")
+    return stats.file_summary(x.files, x.occurrences, x.nodes)
+
+
+@query("base_skew", f"{O.DICT} SELECT greatest(length(canon) - length(replace(canon, 'c', '')), length(canon) - length(replace(canon, 'g', '')))::BIGINT AS most, count(*) AS nodes FROM nodes GROUP BY ALL")
+def base_skew(spark, sf_dir):
+    return stats.base_skew(dictionary.with_text(T.Indexed(spark, sf_dir, "base_skew").nodes.select("node", "canon"), P))
+
+
+_LINE_ROWS = "l AS (SELECT conv_id AS object, CASE role WHEN 'user' THEN 'U' WHEN 'assistant' THEN 'A' ELSE 'S' END AS line_type, length(text) AS size FROM conversations)"
+
+
+def _lines(spark, sf_dir):
+    kind = F.when(F.col("role") == "user", "U").when(F.col("role") == "assistant", "A").otherwise("S")
+    return T.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("object"), kind.alias("line_type"), F.length("text").alias("size"))
+
+
+@query("one_stats", f"WITH {_LINE_ROWS} SELECT line_type, count(*) AS count, max(size)::BIGINT AS longest, sum(size)::BIGINT AS total FROM l GROUP BY ALL")
+def one_stats(spark, sf_dir):
+    return stats.line_statistics(_lines(spark, sf_dir))
+
+
+@query("one_stats_contains", f"WITH {_LINE_ROWS}, p AS (SELECT object, line_type, count(*) AS n, sum(size) AS t FROM l GROUP BY ALL) SELECT line_type, max(n) AS most, max(t)::BIGINT AS most_total FROM p GROUP BY ALL")
+def one_stats_contains(spark, sf_dir):
+    return stats.line_statistics_per_object(_lines(spark, sf_dir))
+
+
+@query("one_slice", f"WITH {_LINE_ROWS} SELECT * FROM l WHERE object >= 3 AND object < 6 OR object = 8")
+def one_slice(spark, sf_dir):
+    from strandweave.sources import typed_lines
+
+    return typed_lines.objects(_lines(spark, sf_dir), dna.index_ranges("3-6,8"))
+
+
+# Path index
+
+
+def _ordered(spark, sf_dir, visits, name):
+    ws = Workspace(spark, name)
+    return ws, ws.put(pathindex.visit_order(ws, visits(spark, sf_dir)), "ordered")
+
+
+_EV = f"{O.EVENTS}, {O.BOTH}, {O.ORDERED}"
+_OR = f"{O.ORDERS}, {O.BOTH}, {O.ORDERED}"
+_RUNS = """marked AS (SELECT *, CASE WHEN lag(next_node) OVER w = next_node AND lag(next_gap) OVER w = next_gap THEN 0 ELSE 1 END AS br FROM lists WINDOW w AS (PARTITION BY node ORDER BY place)),
+numbered AS (SELECT *, (sum(br) OVER (PARTITION BY node ORDER BY place) - 1)::BIGINT AS run_no FROM marked), runs AS (SELECT node, run_no, next_node, next_gap, count(*) AS run_len FROM numbered GROUP BY ALL)"""
+
+
+@query("visit_order_events", f"{_EV} SELECT * FROM ordered")
+def visit_order_events(spark, sf_dir):
+    return _ordered(spark, sf_dir, T.event_visits, "visit_order")[1]
+
+
+@query("visit_order_orders", f"{_OR} SELECT * FROM ordered")
+def visit_order_orders(spark, sf_dir):
+    return _ordered(spark, sf_dir, T.order_visits, "visit_order")[1]
+
+
+@query("successor_runs_events", f"{_EV}, {_RUNS} SELECT * FROM runs")
+def successor_runs_events(spark, sf_dir):
+    return pathindex.runs(pathindex.successors(_ordered(spark, sf_dir, T.event_visits, "runs")[1]))
+
+
+@query("successor_runs_orders", f"{_OR}, {_RUNS} SELECT * FROM runs")
+def successor_runs_orders(spark, sf_dir):
+    return pathindex.runs(pathindex.successors(_ordered(spark, sf_dir, T.order_visits, "runs")[1]))
+
+
+@query("rs_find", f"{_EV} SELECT *, (row_number() OVER (PARTITION BY node, next_node, next_gap ORDER BY place) - 1)::BIGINT AS rank FROM lists")
+def rs_find(spark, sf_dir):
+    ws, ordered = _ordered(spark, sf_dir, T.event_visits, "rs_find")
+    return pathindex.ranks(pathindex.expand(ws.put(pathindex.runs(pathindex.successors(ordered)), "runs")))
+
+
+@query("rs_rank", f"{_EV}, asked AS (SELECT DISTINCT l.node, (SELECT count(*) FROM lists x WHERE x.node = l.node) // 2 AS place, next_node, next_gap FROM lists l) SELECT a.node, a.place, a.next_node, a.next_gap, count(l.place) AS rank FROM asked a LEFT JOIN lists l ON l.node = a.node AND l.next_node = a.next_node AND l.next_gap = a.next_gap AND l.place < a.place GROUP BY ALL")
+def rs_rank(spark, sf_dir):
+    ws, ordered = _ordered(spark, sf_dir, T.event_visits, "rs_rank")
+    runs = ws.put(pathindex.runs(pathindex.successors(ordered)), "runs")
+    half = pathindex.lengths(runs).select("node", F.floor(F.col("length") / 2).alias("place"))
+    asked = pathindex.counts(runs).join(half, "node").select("node", "place", "next_node", "next_gap")
+    return pathindex.rank_of(runs, asked)
+
+
+@query("rs_count", f"{_EV} SELECT node, next_node, next_gap, count(*) AS count FROM lists GROUP BY ALL")
+def rs_count(spark, sf_dir):
+    return pathindex.counts(pathindex.runs(pathindex.successors(_ordered(spark, sf_dir, T.event_visits, "rs_count")[1])))
+
+
+@query("rs_length", f"{_EV} SELECT node, count(*) AS length, count(DISTINCT (next_node, next_gap)) AS n_symbols FROM lists GROUP BY ALL")
+def rs_length(spark, sf_dir):
+    return pathindex.lengths(pathindex.runs(pathindex.successors(_ordered(spark, sf_dir, T.event_visits, "rs_length")[1])))
+
+
+@query("rs_dir_rank", f"{O.ORDERS}, {O.BOTH}, {O.EDGES} SELECT *, coalesce(sum(count) OVER (PARTITION BY node ORDER BY off, adj ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM edges")
+def rs_dir_rank(spark, sf_dir):
+    return pathindex.directory_ranks(graph.edges(T.order_visits(spark, sf_dir)))
+
+
+@query("path_follow", f"{_OR} SELECT o.node, o.place, n.node AS next_node, n.place AS next_place FROM ordered o JOIN ordered n ON n.path_id = o.path_id AND n.strand = o.strand AND n.idx = o.idx + 1")
+def path_follow(spark, sf_dir):
+    return pathindex.follow(pathindex.successors(_ordered(spark, sf_dir, T.order_visits, "follow")[1]))
+
+
+@query("path_walk", f"{_EV} SELECT s.node AS start_node, s.place AS start_place, o.idx AS step, o.node FROM ordered o JOIN ordered s ON s.path_id = o.path_id AND s.strand = o.strand AND s.idx = 0")
+def path_walk(spark, sf_dir):
+    ws, ordered = _ordered(spark, sf_dir, T.event_visits, "walk")
+    return pathindex.walk(ws, ws.put(pathindex.successors(ordered), "lists"))
+
+
+@query("chain_count", f"{O.ORDERS}, {O.BOTH}, t AS (SELECT [node, lead(node) OVER w, lead(node, 2) OVER w] AS nodes, [lead(gap) OVER w, lead(gap, 2) OVER w] AS gaps FROM both_ WINDOW w AS (PARTITION BY path_id, strand ORDER BY idx)) SELECT nodes[1] AS a, nodes[2] AS b, nodes[3] AS c, gaps[1] AS ab, gaps[2] AS bc, count(*) AS count FROM t WHERE nodes[3] IS NOT NULL GROUP BY ALL")
+def chain_count(spark, sf_dir):
+    rows = pathindex.chains(T.order_visits(spark, sf_dir), 3)
+    return rows.select(*(F.col("nodes")[i].alias(n) for i, n in enumerate("abc")), F.col("gaps")[0].alias("ab"), F.col("gaps")[1].alias("bc"), "count")
+
+
+@query("match_range", f"{_EV}, t AS (SELECT *, lag(node) OVER w AS n1, lag(node, 2) OVER w AS n2, lag(gap) OVER w AS g1 FROM ordered WINDOW w AS (PARTITION BY path_id, strand ORDER BY idx)) SELECT node, min(place) AS low, max(place) + 1 AS high, count(*) AS count FROM t WHERE n2 = 5 AND n1 = 1 AND g1 = 1 AND node = 5 AND gap = 1 GROUP BY ALL")
+def match_range(spark, sf_dir):
+    return pathindex.match_range(_ordered(spark, sf_dir, T.event_visits, "range")[1], [(5, 0), (1, 1), (5, 1)])
+
+
+@query("loc_find", f"""WITH {O.SEQS}, {O.FILES}, p AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id * 97 ELSE -(event_id * 97) END AS place FROM events)
+SELECT p.event_id, p.place, f.file, f.seq_ord AS path_id, (sign(p.place) * (abs(p.place) - f.start))::BIGINT AS "offset" FROM p LEFT JOIN files f ON abs(p.place) >= f.start AND abs(p.place) < f.start + f.len""")
+def loc_find(spark, sf_dir):
+    x = T.Indexed(spark, sf_dir, "loc_find")
+    places = T.table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("event_id") * 97).otherwise(-(F.col("event_id") * 97)).alias("place"))
+    return pathindex.locate(places, x.files.withColumnRenamed("seq_ord", "path_id"))
+
+
+# Mapping
+
+
+def _mapped(spark, sf_dir, name, make):
+    x = T.Indexed(spark, sf_dir, name, SHORT)
+    seqs = make(spark, sf_dir)
+    occurrences = x.ws.put(selection.syncmers(seqs, SHORT), "queries")
+    known = x.nodes.select("canon", F.col("node").alias("_n"))
+    found = x.ws.put(occurrences.join(known, "canon", "left").withColumn("node", F.coalesce(F.col("_n") * F.col("orient"), F.lit(0))).drop("_n"), "found")
+    chains = x.ws.put(mapping.blocks(found), "chains")
+    return x, seqs, found, chains, x.ws.put(mapping.matches(chains, x.visits), "matches")
+
+
+_BMEM, _CMEM = O.mem("b", O.BENCH), O.mem("c", O.CONVS)
+
+
+@query("mem_benchmark", f'{_BMEM} SELECT query, start, "end", count FROM bpos')
+def mem_benchmark(spark, sf_dir):
+    _, _, _, chains, found = _mapped(spark, sf_dir, "mem", T.benchmark_sequences)
+    return mapping.match_positions(found, chains, SHORT)
+
+
+@query("mem_conversations", f'{_CMEM} SELECT query, start, "end", count FROM cpos')
+def mem_conversations(spark, sf_dir):
+    _, _, _, chains, found = _mapped(spark, sf_dir, "mem", T.conversation_sequences)
+    return mapping.match_positions(found, chains, SHORT)
+
+
+@query("map_missing", f"{_CMEM} SELECT co.seq_ord AS query, co.pos, substr(q.seq, co.pos + 1, {SHORT.length}) AS dna FROM co JOIN cseqs q USING (seq_ord) WHERE NOT poly AND canon NOT IN (SELECT canon FROM nodes)")
+def map_missing(spark, sf_dir):
+    return mapping.missing(_mapped(spark, sf_dir, "missing", T.conversation_sequences)[2], SHORT)
+
+
+@query("map_unique", f"{_BMEM}, {O.UNIQUE} {O.LOCATED}")
+def map_unique(spark, sf_dir):
+    x, _, _, chains, found = _mapped(spark, sf_dir, "unique", T.benchmark_sequences)
+    placed = mapping.unique_places(found, chains, x.nodes, SHORT)
+    return pathindex.locate(placed, x.files.withColumnRenamed("seq_ord", "path_id"))
+
+
+@query("map_totals", f"""{_BMEM} SELECT count(*) AS matches, round(avg("end" - start), 6) AS mean_length, round(avg(count), 6) AS mean_count, (SELECT count(*) FROM bseqs WHERE seq_ord NOT IN (SELECT query FROM bpos)) AS without FROM bpos""")
+def map_totals(spark, sf_dir):
+    _, seqs, _, chains, found = _mapped(spark, sf_dir, "totals", T.benchmark_sequences)
+    return mapping.totals(mapping.match_positions(found, chains, SHORT), seqs.select(F.col("seq_ord").alias("query")))
+
+
+@query("map_no_match", f"{_CMEM} SELECT seq_ord AS query FROM cseqs WHERE seq_ord NOT IN (SELECT query FROM cmem)")
+def map_no_match(spark, sf_dir):
+    _, seqs, _, _, found = _mapped(spark, sf_dir, "no_match", T.conversation_sequences)
+    return mapping.without_match(found, seqs.select(F.col("seq_ord").alias("query")))
+
+
+@query("filter_polyg", f"WITH {O.SEQS} SELECT seq_ord, CASE WHEN regexp_matches(seq, 'g{{4,}}') THEN 'G' WHEN length(seq) = 0 THEN 'Z' END AS code FROM seqs")
+def filter_polyg(spark, sf_dir):
+    return mapping.filter_code(T.sequences(spark, sf_dir), poly_g=3).select("seq_ord", "code")
+
+
+@query("filter_quality", f"WITH {O.SEQS}, q AS (SELECT seq_ord, seq, CASE WHEN length(seq) > 0 THEN list_avg(list_transform(range(0, length(seq)), lambda i: ((i * 7 + seq_ord) % 41))) END AS mean FROM seqs) SELECT seq_ord, CASE WHEN mean > 0 AND mean < 20 THEN 'Q' WHEN length(seq) = 0 THEN 'Z' END AS code FROM q")
+def filter_quality(spark, sf_dir):
+    seqs = T.sequences(spark, sf_dir)
+    qual = F.when(F.length("seq") > 0, F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: (i * 7 + F.col("seq_ord")) % 41)).otherwise(F.array().cast("array<bigint>"))
+    return mapping.filter_code(seqs.withColumn("qual", qual), quality=20.0).select("seq_ord", "code")
+
+
+# Typing
+
+_LISTED = f"""WITH {O.SEQS}, {O.FILES}, {O.BENCH}, b31 AS (SELECT DISTINCT substr(seq, i + 1, 31) AS kmer FROM (SELECT seq, unnest(range(0, length(seq) - 30)) AS i FROM bseqs)),
+d31 AS (SELECT seq_ord, i AS pos, substr(seq, i + 1, 31) AS km FROM (SELECT seq_ord, seq, unnest(range(0, length(seq) - 30)) AS i FROM seqs)),
+hits AS (SELECT seq_ord, pos, kmer AS id, 1 AS strand FROM d31 JOIN b31 ON km = kmer UNION ALL SELECT seq_ord, pos, kmer, -1 FROM d31 JOIN b31 ON km = reverse(translate(kmer, 'acgt', 'tgca')))"""
+
+
+def _typed(spark, sf_dir):
+    items = T.benchmark_sequences(spark, sf_dir).where(F.length("seq") >= 31)
+    listed = items.select(F.explode(F.expr("transform(sequence(1, length(seq) - 30), i -> substring(seq, i, 31))")).alias("kmer")).distinct().select(F.col("kmer").alias("id"), "kmer")
+    return typing31.matches(T.sequences(spark, sf_dir), Workspace(spark, "kmers").put(listed, "kmers"))
+
+
+@query("kmer31_matches", f"{_LISTED} SELECT * FROM hits")
+def kmer31_matches(spark, sf_dir):
+    return _typed(spark, sf_dir)
+
+
+@query("kmer31_counts", f"{_LISTED} SELECT file, id, count(*) AS count FROM hits JOIN files USING (seq_ord) GROUP BY ALL")
+def kmer31_counts(spark, sf_dir):
+    seqs = T.sequences(spark, sf_dir)
+    return typing31.counts(_typed(spark, sf_dir), T.with_files(Workspace(spark, "kmer_counts"), seqs, starts=False))
+
+
+@query("kmer31_contexts", f"""{_LISTED}, c AS (SELECT h.*, lpad(substr(q.seq, greatest(h.pos - 50, 0) + 1, least(h.pos, 50)), 50, '.') || upper(substr(q.seq, h.pos + 1, 31)) || rpad(substr(q.seq, h.pos + 32, 50), 50, '.') AS w FROM hits h JOIN seqs q USING (seq_ord))
+SELECT seq_ord, pos, id, strand, CASE WHEN strand > 0 THEN w ELSE reverse(translate(w, 'acgtACGT', 'tgcaTGCA')) END AS context FROM c""")
+def kmer31_contexts(spark, sf_dir):
+    return typing31.contexts(_typed(spark, sf_dir), T.sequences(spark, sf_dir))
+
+
+@query("kmer31_windows", f"WITH {O.SEQS}, {O.FILES} SELECT file, sum(greatest(0, length(seq) - 30))::BIGINT AS windows FROM seqs JOIN files USING (seq_ord) GROUP BY ALL")
+def kmer31_windows(spark, sf_dir):
+    seqs = T.sequences(spark, sf_dir)
+    files = T.with_files(Workspace(spark, "windows"), seqs, starts=False)
+    return typing31.windows(seqs.select("seq_ord", "seq").join(files.select("seq_ord", "file"), "seq_ord"))

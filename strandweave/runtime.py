@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 #: Bits of a membership filter: 2**24 bits are at most 2**18 rows of 16 bytes, whatever they were made from.
@@ -101,3 +102,19 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         now = following
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def running_total(ws: Workspace, df: DataFrame, order: list, value=None, name: str = "before") -> DataFrame:
+    """df with the total of ``value`` (default: a count) over all rows before each one in a global order.
+
+    Rows are range-partitioned and each partition is summed by itself; only a sum
+    for each partition meets in one place.  ``order`` must tell all rows apart.
+    """
+    value = F.lit(1) if value is None else value
+    dealt = df.withColumn("_value", value.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = ws.put(dealt.withColumn("_part", F.shiftright("_at", 33).cast("int")), "ordered")
+    inside = Over.partitionBy("_part").orderBy("_at").rowsBetween(Over.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part").agg(F.sum("_value").alias("_sum"))
+    base = sums.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(Over.orderBy("_part").rowsBetween(Over.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    out = dealt.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0))).join(base, F.col("_part") == F.col("_p"))
+    return out.withColumn(name, (F.col("_inside") + F.col("_base")).cast("long")).drop("_value", "_at", "_part", "_p", "_base", "_inside")
