@@ -8,7 +8,7 @@ best language beats the second; below ``MARGIN`` the prediction is marked as
 not reliable.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and
-not reliable; equal sizes go to the language that sorts first; without a
+not reliable; equal sizes go to the language with more labelled texts; without a
 learned language everything is ``und``; rows with a null lang are not learned
 from.
 """
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from strandweave.llm import words as W
 
 #: What is learned from: so many labelled texts of a language at most, so many bytes of each, and so many bytes of dictionary.
-TEXTS, TEXT_BYTES, DICT_BYTES = 400, 400, 1 << 16
+TEXTS, TEXT_BYTES, DICT_BYTES = 400, 2000, 1 << 18
 #: Bytes encoded at once, and zstandard's level.
-PIECE, LEVEL = 2048, 3
+PIECE, LEVEL = 1024, 6
 #: Share of the second best size that the best must save to be reliable.
 MARGIN = 0.02
 _letter = re.compile(r"[^\W\d_]")
+_other = re.compile(r"[\W\d_]+")
 
 
 def held_out(doc_id):
@@ -41,21 +42,23 @@ def held_out(doc_id):
 
 
 def learn(docs: DataFrame, texts: int = TEXTS, text_bytes: int = TEXT_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """A dictionary for each language, from rows (doc_id, text, lang) that may be learned from.
+    """A dictionary for each language, the most frequent first, from rows (doc_id, text, lang) that may be learned from.
 
     A fixed draw by hash: ``texts`` rows of each language, of which the window's
     group limit passes on no more from any task.
     """
     by_hash = Over.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "text")
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= texts)
-    found: dict[str, list] = {}
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    found: dict[str, list] = {r.lang: [] for r in labelled}
     for r in rows.select("lang", "n", F.substring("text", 1, 4 * text_bytes).alias("text")).orderBy("lang", "n").collect():
-        found.setdefault(r.lang, []).append(normal(r.text).encode()[:text_bytes])
-    return {k: b"\n".join(v)[-dict_bytes:] for k, v in sorted(found.items())}
+        found[r.lang].append(normal(r.text).encode()[:text_bytes])
+    return {k: b"\n".join(v)[-dict_bytes:] for k, v in found.items()}
 
 
 def normal(text: str) -> str:
-    return " ".join(text.lower().split())
+    """What is encoded: words in lower case, without digits and signs."""
+    return _other.sub(" ", text.lower()).strip()
 
 
 def sizes(text: str, coders: list) -> np.ndarray:
@@ -65,7 +68,7 @@ def sizes(text: str, coders: list) -> np.ndarray:
 
 
 def _predict(dictionaries: dict[str, bytes]):
-    names = sorted(dictionaries)
+    names = list(dictionaries)
 
     def run(it):
         coders = []

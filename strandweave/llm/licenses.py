@@ -21,7 +21,6 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Over
@@ -31,7 +30,7 @@ from strandweave.llm import words as W
 from strandweave.runtime import Workspace
 
 #: Least cosine of a header and of a licence file; characters of a licence file at most; salts of a directory's files.
-HEADER, FILE, FILE_CHARS, SALTS = 0.6, 0.7, 40_000, 16
+HEADER, FILE, FILE_CHARS, SALTS = 0.6, 0.9, 40_000, 16
 
 #: Licence names with notices and openings by which they are known.
 TEMPLATES = {
@@ -114,20 +113,19 @@ class Scorer:
         return score, name
 
     def __call__(self, text: str | None) -> tuple:
-        """(licence, score, whole): the best header, and whether the file is a licence file."""
+        """(licence, score, file_licence, file_score): the best of headers and whole text, and what a licence file says, null for other files."""
         if not text or not _cue.search(text):
-            return None, 0.0, False
-        score, name, whole = 0.0, None, False
+            return None, 0.0, None, 0.0
+        score, name = 0.0, None
         for line in text.split("\n"):
             if _cue.search(line) and len(line) <= FILE_CHARS:
                 s, n = self.best(line)
-                if s >= HEADER and (s > score + 1e-12):
+                if s >= HEADER and s > score + 1e-12:
                     score, name = s, n
-        if len(text) <= FILE_CHARS:
-            s, n = self.best(text)
-            if s >= FILE and (name is None or s >= score - 1e-12):
-                score, name, whole = s, n, True
-        return name, score, whole
+        s, n = self.best(text) if len(text) <= FILE_CHARS else (0.0, None)
+        if s < FILE:
+            return name, score, None, 0.0
+        return (n, s, n, s) if s >= score - 1e-12 else (name, score, n, s)
 
 
 def _scan(shared):
@@ -136,8 +134,8 @@ def _scan(shared):
         for batch in W.batches(it):
             found = [score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("path"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
-                ["id", "path", "license", "score", "is_file"],
+                [batch.column("id"), batch.column("path"), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64())))],
+                ["id", "path", "license", "score", "file_license", "file_score"],
             )
 
     return run
@@ -156,10 +154,10 @@ def scan(files: DataFrame) -> DataFrame:
     ws = Workspace(files.sparkSession, "licenses")
     shared = files.sparkSession.sparkContext.broadcast(weights(files))
     rows = files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string"))
-    found = rows.mapInArrow(_scan(shared), "id long, path string, license string, score double, is_file boolean").withColumn("dir", F.when(F.col("path").isNotNull(), directory(F.col("path"))))
+    found = rows.mapInArrow(_scan(shared), "id long, path string, license string, score double, file_license string, file_score double").withColumn("dir", F.when(F.col("path").isNotNull(), directory(F.col("path"))))
     found = ws.put(found, "found")
     best = Over.partitionBy("has").orderBy(F.desc("score"), "lic")
-    owners = found.where("is_file AND dir IS NOT NULL").groupBy("dir", "license").agg(F.max("score").alias("score")).select(F.col("dir").alias("has"), F.col("license").alias("lic"), "score")
+    owners = found.where("file_license IS NOT NULL AND dir IS NOT NULL").groupBy(F.col("dir").alias("has"), F.col("file_license").alias("lic")).agg(F.max("file_score").alias("score"))
     owners = owners.withColumn("n", F.row_number().over(best)).where("n = 1").select("has", "lic")
     parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))

@@ -12,8 +12,9 @@ blocks, so shards are disjoint and exact.  Inside a shard documents are in the
 order of a hash.
 
 All draws come from hashes of the seed, so reruns agree.  A source of n documents
-has about sqrt(n) blocks of sqrt(n) documents, so neither a source's list of
-blocks nor a block's list of documents grows with more than the square root.
+has about sqrt(n) / 8 blocks, so neither a source's list of blocks nor a block's
+list of documents grows with more than the square root, and a small source is one
+block, all of whose documents may fill the rest.
 
 Defined results: null text and text without words have size 0 and give no words;
 null sources are one source that comes last; rows that are alike in all columns
@@ -47,7 +48,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     """(key, source_size, n, target) of one row (key, source_size, n) for each source.
 
     The level at which weights are paid is found over the sources in the order in
-    which they reach their limit; the rows here are sources, not documents.
+    which they reach their limit: it rises as long as limits bind and falls after.
+    The rows here are sources, not documents.
     """
     number = F.row_number().over(Over.orderBy("key")) - 1
     weight = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(number, F.lit(len(weights))) + 1).cast("int"))
@@ -56,7 +58,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: float = MOST) -> DataFrame:
     before, after = order.rowsBetween(Over.unboundedPreceding, -1), order.rowsBetween(0, Over.unboundedFollowing)
     all_ = order.rowsBetween(Over.unboundedPreceding, Over.unboundedFollowing)
     rows = rows.withColumn("level", (F.sum("source_size").over(all_) - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("w").over(after))
-    rows = rows.withColumn("paid", F.min(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.col("level"))).over(all_))
+    rows = rows.withColumn("paid", F.max(F.when(F.col("level") * F.col("w") <= F.col("limit"), F.col("level"))).over(all_))
     return rows.select("key", "source_size", "n", F.coalesce(F.least("limit", F.col("paid") * F.col("w")), "limit").alias("target"))
 
 
@@ -134,7 +136,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     light = ws.put(docs.select(F.col("doc_id").cast("long"), source_key(F.col("source").cast("string")).alias("key"), words(F.col("text").cast("string")).alias("size"), row.alias("row")), "sizes")
     sizes = targets(light.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    sizes = sizes.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("n_blocks", F.ceil(F.sqrt("n")).cast("long"))
+    sizes = sizes.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("n_blocks", F.ceil(F.sqrt("n") / 8).cast("long"))
     sources = ws.put(sizes, "sources")
 
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

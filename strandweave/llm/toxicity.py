@@ -6,8 +6,10 @@ the earlier ones give.  In training those are out-of-fold predictions: every
 labelled text's probability comes from a model that has not seen it, as at
 prediction time.
 
-A feature is the presence of a word or of a word's first 3, 4 or 5 characters
-(in lower case), hashed to 2**18.  Training takes a bounded sample of labelled
+A feature is the presence of a word or of a word's first 3 to 7 characters
+(in lower case).  A model keeps the features that tell its category apart most
+clearly in the sample and is a table of their weights, so prediction is a few
+look-ups for each distinct word.  Training takes a bounded sample of labelled
 rows; prediction reads every whole text where it lies, without a shuffle.
 
 Defined results: null and empty text have no features and only the intercepts
@@ -18,8 +20,9 @@ every probability is 0.
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,66 +31,76 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import words as W
 
-BITS, STARTS = 18, (3, 4, 5)
+STARTS = (3, 4, 5, 6, 7)
 #: Labelled rows and bytes of text learned from, at most; folds; passes; words remembered by a worker.
-ROWS, BYTES, FOLDS, EPOCHS, REMEMBERED = 6000, 48 << 20, 3, 6, 400_000
+ROWS, BYTES, FOLDS, EPOCHS, REMEMBERED = 6000, 48 << 20, 3, 20, 400_000
+#: Features of a model at most; texts that hold one at least; deviations from chance at least.
+FEATURES, LEAST, CLEAR = 3000, 3, 4.0
+#: A text of the rarer class weighs so much more than others in training.
+RARE = 3.0
 #: Categories in the order of the chain, and the probability from which a document is rejected.
 CHAIN, REJECT = ("low_quality", "toxic"), 0.5
 _word = re.compile(r"\w+")
 
 
-class Features:
-    """Sorted feature numbers of a text."""
+def features(word: str) -> tuple:
+    return (word, *(word[:n] + "*" for n in STARTS if len(word) > n))
 
-    def __init__(self):
-        self._known: dict[str, tuple] = {}
 
-    def _of(self, word: str) -> tuple:
-        mask = (1 << BITS) - 1
-        starts = [word[:n] + "*" for n in STARTS if len(word) > n]
-        return tuple(zlib.crc32(x.encode()) * 0x9E3779B1 >> 7 & mask for x in (word, *starts))
+def present(text: str) -> set:
+    """All features of a text."""
+    return {f for w in set(_word.findall(text.lower())) for f in features(w)}
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int64)
-        if len(self._known) > REMEMBERED:
-            self._known.clear()
-        known, found = self._known, set()
-        for w in set(_word.findall(text.lower())):
-            f = known.get(w)
-            if f is None:
-                f = known[w] = self._of(w)
-            found.update(f)
-        out = np.fromiter(found, np.int64, len(found))
-        out.sort()
-        return out
+
+def telling(sets: list[set], y: np.ndarray) -> list[str]:
+    """The features whose share differs most clearly between the two classes."""
+    ones = max(int(y.sum()), 1)
+    zeros = max(len(y) - ones, 1)
+    there, all_ = Counter(), Counter()
+    for s, label in zip(sets, y, strict=True):
+        all_.update(s)
+        if label:
+            there.update(s)
+    found = []
+    for f, n in all_.items():
+        if n < LEAST:
+            continue
+        share = n / len(y)
+        z = abs(there[f] / ones - (n - there[f]) / zeros) / math.sqrt(max(share * (1 - share), 1e-9) * (1 / ones + 1 / zeros))
+        if z >= CLEAR:
+            found.append((-z, f))
+    return [f for _, f in sorted(found)[:FEATURES]]
 
 
 class Linear:
     """Logistic regression over present features and a few dense inputs, by AdaGrad in a fixed order."""
 
     def __init__(self, dense: int):
-        self.w, self.d, self.b = np.zeros(1 << BITS, np.float32), np.zeros(dense), 0.0
-
-    def logit(self, x: np.ndarray, extra: np.ndarray) -> float:
-        return float(self.w[x].sum()) + float(self.d @ extra) + self.b
-
-    def fit(self, xs: list, extra: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> Linear:
-        rng, rate = np.random.default_rng(8), 0.2
-        seen, seen_d, seen_b = np.full(1 << BITS, 0.1, np.float32), np.full(len(self.d), 1.0), 1.0
-        for _ in range(epochs):
+        self.weights: dict[str, float] = {}
+        self.d, self.b = np.zeros(dense), 0.0
+
+    def logit(self, held, extra) -> float:
+        return sum(self.weights.get(f, 0.0) for f in held) + float(self.d @ np.asarray(extra)) + self.b
+
+    def fit(self, sets: list[set], extra: np.ndarray, y: np.ndarray) -> Linear:
+        names = telling(sets, y)
+        number = {f: i for i, f in enumerate(names)}
+        xs = [np.array(sorted(number[f] for f in s if f in number), np.int64) for s in sets]
+        w, seen, seen_d, seen_b = np.zeros(len(names)), np.full(len(names), 1.0), np.full(len(self.d), 1.0), 1.0
+        rng, rate = np.random.default_rng(8), 0.5
+        rare = 1.0 if y.mean() < 0.5 else 0.0
+        for _ in range(EPOCHS):
             for i in rng.permutation(len(xs)):
-                g = probability(self.logit(xs[i], extra[i])) - y[i]
+                g = (probability(w[xs[i]].sum() + self.d @ extra[i] + self.b) - y[i]) * (RARE if y[i] == rare else 1.0)
                 if abs(g) < 1e-3:
                     continue
-                # A long text's gradient is shared among its features.
-                gx = g / np.sqrt(1 + len(xs[i]))
-                seen[xs[i]] += gx * gx
-                self.w[xs[i]] -= rate * gx / np.sqrt(seen[xs[i]])
+                seen[xs[i]] += g * g
+                w[xs[i]] -= rate * g / np.sqrt(seen[xs[i]])
                 gd = g * extra[i]
                 seen_d, seen_b = seen_d + gd * gd, seen_b + g * g
                 self.d -= rate * gd / np.sqrt(seen_d)
                 self.b -= rate * g / seen_b**0.5
+        self.weights = dict(zip(names, w.tolist(), strict=True))
         return self
 
 
@@ -101,29 +114,54 @@ class Chain:
     def __init__(self, categories=CHAIN):
         self.categories, self.models = tuple(categories), []
 
-    def fit(self, xs: list, labels: np.ndarray) -> Chain:
+    def fit(self, sets: list[set], labels: np.ndarray) -> Chain:
         """labels: a column of 0 and 1 for each category."""
-        fold = np.arange(len(xs)) % FOLDS
-        earlier = np.zeros((len(xs), 0))
+        fold = np.arange(len(sets)) % FOLDS
+        earlier = np.zeros((len(sets), 0))
         for k in range(len(self.categories)):
             y = labels[:, k].astype(np.float64)
-            self.models.append(Linear(k).fit(xs, earlier, y))
+            self.models.append(Linear(k).fit(sets, earlier, y))
             if k + 1 < len(self.categories):
-                out = np.zeros(len(xs))
+                out = np.zeros(len(sets))
                 for f in range(FOLDS):
                     train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                    m = Linear(k).fit([xs[i] for i in train], earlier[train], y[train])
-                    out[test] = [probability(m.logit(xs[i], earlier[i])) for i in test]
+                    if len(train) and len(test):
+                        m = Linear(k).fit([sets[i] for i in train], earlier[train], y[train])
+                        out[test] = [probability(m.logit(sets[i], earlier[i])) for i in test]
                 earlier = np.column_stack([earlier, out])
         return self
 
-    def predict(self, x: np.ndarray) -> list[float]:
+    def known(self) -> set:
+        return {f for m in self.models for f in m.weights}
+
+    def predict(self, held) -> list[float]:
         out: list[float] = []
         for m in self.models:
-            out.append(float(probability(m.logit(x, np.array(out)))))
+            out.append(float(probability(m.logit(held, out))))
         return out or [0.0] * len(self.categories)
 
 
+class Reader:
+    """The chain's features that a text holds; words are remembered."""
+
+    def __init__(self, known: set):
+        self.known, self._seen = known, {}
+
+    def __call__(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if len(self._seen) > REMEMBERED:
+            self._seen.clear()
+        seen, found = self._seen, set()
+        for w in set(_word.findall(text.lower())):
+            f = seen.get(w)
+            if f is None:
+                f = seen[w] = tuple(x for x in features(w) if x in self.known)
+            if f:
+                found.update(f)
+        return sorted(found)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """(text, low_quality, toxic): a fixed draw by hash of labelled documents.
 
@@ -132,25 +170,27 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), (1 - F.col("quality").cast("int")).alias("low_quality"), F.col("toxic").cast("int").alias("toxic")).where("_id IS NOT NULL AND low_quality IN (0, 1) AND toxic IN (0, 1)")
     drawn = marks.orderBy(F.xxhash64(F.lit(8), "_id"), "_id", "toxic", "low_quality").limit(rows)
-    return docs.where("text IS NOT NULL").join(F.broadcast(drawn), F.col("doc_id").cast("long") == F.col("_id")).select("_id", F.col("text").cast("string"), *CHAIN)
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_id", "text", *CHAIN)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    features, xs, ys, size = Features(), [], [], 0
+    xs, ys, size = [], [], 0
     found = labelled(docs, labels).orderBy(F.xxhash64(F.lit(8), "_id"), "_id", "text")
     for r in found.toLocalIterator():
         if (size := size + len(r.text)) > BYTES:
             break
-        xs.append(features(r.text))
+        xs.append(present(r.text))
         ys.append([r[c] for c in CHAIN])
     return Chain().fit(xs, np.array(ys).reshape(-1, len(CHAIN))) if xs else Chain()
 
 
 def _judge(shared, keep_clean: bool):
     def run(it):
-        chain, features = shared.value, Features()
+        chain = shared.value
+        read = Reader(chain.known())
         for batch in W.batches(it):
-            p = np.array([chain.predict(features(t)) for t in batch.column("text").to_pylist()]).reshape(-1, len(CHAIN))
+            p = np.array([chain.predict(read(t)) for t in batch.column("text").to_pylist()]).reshape(-1, len(CHAIN))
             bad = p[:, -1] >= REJECT
             if keep_clean:
                 yield batch.filter(pa.array(~bad))
