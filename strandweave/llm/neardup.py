@@ -1,19 +1,24 @@
 """Operator 1: near-duplicate documents by min-max hashing.
 
-Each of 64 permutations of the 32-bit integers gives two signature values, the
-smallest and the largest image of a document's shingles, so 128 values cost 64
+Each of 128 permutations of the 32-bit integers gives two signature values, the
+smallest and the largest image of a document's shingles, so 256 values cost 128
 evaluations a shingle.  Four values (both ends of two permutations) form a
-band; documents with an equal band are candidates.  At a similarity of exactly
+band, 32 bands come from the first 64 permutations; documents with an equal band are candidates.  At a similarity of exactly
 0.75 the chance that two documents share none of the 32 bands is
 (1 - 0.75**4)**32 = 5e-6.
 
 Equal shingle sets fall into one class first.  In every bucket the members are
-then compared with the smallest one only; components of the confirmed links
-follow, and only members of different components that still share a bucket are
-compared with each other, after a bound on their sizes and on the nibbles of
-their signatures.  A bucket of thousands of copies so costs thousands of
-comparisons, and no link between different components is lost.  Every link is
-confirmed on the full shingle sets.
+then compared with one leader only, the member that shares most buckets with
+others.  Components of the confirmed links follow.  Only members of different
+components that still share a bucket may be compared with each other, and of
+those only pairs that could reach the limit: two documents have at most as many
+shingles in common as either has shingles that occur elsewhere among the open
+documents.  That bound is exact; so is the one on sizes.  A pair is also passed
+over if the signatures' nibbles differ in more than 90 of 256 places, 4.5
+deviations beyond what the limit gives (a chance of 4e-6), and it is made in the
+first of its buckets only.  A bucket of thousands of copies so costs
+thousands of comparisons, and no link between different components is lost.
+Every link is confirmed on the full shingle sets.
 
 Defined results: null or empty text has no shingles and links with nothing; a
 text of fewer than five words is one shingle; rows that repeat a doc_id share
@@ -32,10 +37,11 @@ from pyspark.sql import functions as F
 from strandweave.llm import words as W
 from strandweave.runtime import Workspace, connected_components, maybe_in, membership
 
-SHINGLE, PERMUTATIONS, PER_BAND = 5, 64, 2
-BANDS = PERMUTATIONS // PER_BAND
-#: Of 128 nibbles, 30 differ on average at similarity 0.75 (deviation 4.8); beyond 60 a pair isn't compared.
-NIBBLES = 60
+#: Permutations that make bands come first, those for signatures only after them.
+SHINGLE, BANDED, PERMUTATIONS, PER_BAND = 5, 64, 128, 2
+BANDS, LONGS = BANDED // PER_BAND, PERMUTATIONS * 2 // 16
+#: Of 256 nibbles, 60 differ on average at similarity 0.75 (deviation 6.8); beyond 90 a pair isn't compared.
+NIBBLES = 90
 _rng = np.random.default_rng(20260101)
 FLIP = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
 TIMES = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -68,7 +74,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def bands(sig: np.ndarray) -> np.ndarray:
     """(documents, BANDS) keys; the band's number is part of the key."""
-    v = sig.reshape(len(sig), BANDS, 2 * PER_BAND).astype(np.uint64)
+    v = sig[:, :BANDED].reshape(len(sig), BANDS, 2 * PER_BAND).astype(np.uint64)
     key = np.broadcast_to(SALT, v.shape[:2]).copy()
     for j in range(v.shape[2]):
         key = W.mix(key * np.uint64(W.STEP) + v[:, :, j])
@@ -76,8 +82,8 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def nibbles(sig: np.ndarray) -> np.ndarray:
-    """(documents, 8) longs with four bits of each signature value."""
-    v = ((sig.reshape(len(sig), 8, 16) * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64)
+    """(documents, LONGS) longs with four bits of each signature value."""
+    v = ((sig.reshape(len(sig), LONGS, 16) * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64)
     return (v << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
@@ -85,13 +91,13 @@ def _sign(it):
     for batch in W.batches(it, limit=2 << 20):
         sets = shingle_sets(W.raw(batch))
         full = [i for i, s in enumerate(sets) if len(s)]
-        b, s = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), 8), np.int64)
+        b, s = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), LONGS), np.int64)
         if full:
             sig = signatures([sets[i] for i in full])
             b[full], s[full] = bands(sig), nibbles(sig)
         prints = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), W.lists(b.ravel(), [BANDS] * len(sets)), W.lists(s.ravel(), [8] * len(sets))],
+            [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), W.lists(b.ravel(), [BANDS] * len(sets)), W.lists(s.ravel(), [LONGS] * len(sets))],
             ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sig"],
         )
 
@@ -102,22 +108,21 @@ def _sets(it):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), W.lists(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], ["id", "items"])
 
 
-def confirm(ws: Workspace, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those with 100 * intersection >= 75 * union, on full sets.
+def sets_of(ws: Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items) of the documents in ids (id); texts stay where they are read."""
+    some = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), membership(ids, "id")).where("_maybe").select("doc_id", "text")
+    return ws.put(some.mapInArrow(_sets, "id long, items array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+
+def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) those with 100 * intersection >= 75 * union, on full sets (id, items).
 
-    Shingles are computed again for documents of pairs only.  ``a`` may occur in
-    very many pairs: its set is then dealt out over as many salts as it has
-    hundreds of partners.
+    ``a`` may occur in very many pairs; both joins have nothing but the join
+    above their exchanges, so that adaptive execution splits such a key.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), membership(ids, "id")).where("_maybe").select("doc_id", "text")
-    sets = ws.put(some.mapInArrow(_sets, "id long, items array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("salts"))
-    left = sets.join(parts, F.col("id") == F.col("a")).select("a", "salts", F.col("items").alias("x"), F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"))
-    right = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"))
-    right = right.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    right = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
-    return right.join(left.drop("salts"), ["a", "salt"]).where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
+    return right.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -136,29 +141,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = ws.put(linked.join(classes, ["fp1", "fp2"]).where("doc_id = class_id").select("doc_id", "n_shingles", "bands", "sig"), "representatives")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
     buckets = ws.put(keys.join(shared, "key"), "buckets")
-    first = ws.put(buckets.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
-    links = ws.put(confirm(ws, docs, first), "links")
-    parts = connected_components(ws, links)
+    weight = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    weighed = ws.put(buckets.join(weight, "doc_id").select("key", "doc_id", "weight"), "buckets")
+    leader = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("id"))).alias("first")).select("key", (-F.col("first.id")).alias("a"))
+    first = ws.put(weighed.join(leader, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    ids = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = ws.put(confirm(sets_of(ws, docs, ids), first), "links")
+    parts = ws.put(connected_components(ws, links), "components")
 
     placed = buckets.join(parts, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = ws.put(placed, "placed")
     mixed = placed.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
-    open_ = ws.put(placed.join(mixed, "key").join(reps.drop("bands"), "doc_id"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
+    open_ = ws.put(placed.join(mixed, "key", "left_semi"), "open")
+    sets = sets_of(ws, docs, open_.select(F.col("doc_id").alias("id")).distinct())
+    own = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+    able = sets.select("id", F.size("items").alias("n")).join(own, "id", "left").select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), "n").where("100 * common >= 75 * n")
+    keys_of = open_.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("key").alias("keys"))
+    able = ws.put(able.join(keys_of, "id").join(reps.select(F.col("doc_id").alias("id"), "sig"), "id"), "able")
+    near_ = open_.join(able, F.col("doc_id") == F.col("id"))
+    x, y = near_.alias("x"), near_.alias("y")
     ones = F.lit(0x1111111111111111)
     differ = sum(
-        (F.bit_count((z.bitwiseOR(F.shiftright(z, 1)).bitwiseOR(F.shiftright(z, 2)).bitwiseOR(F.shiftright(z, 3))).bitwiseAND(ones)) for z in (F.col(f"x.sig")[i].bitwiseXOR(F.col(f"y.sig")[i]) for i in range(8))),
+        (F.bit_count((z.bitwiseOR(F.shiftright(z, 1)).bitwiseOR(F.shiftright(z, 2)).bitwiseOR(F.shiftright(z, 3))).bitwiseAND(ones)) for z in (F.col(f"x.sig")[i].bitwiseXOR(F.col(f"y.sig")[i]) for i in range(LONGS))),
         F.lit(0),
     )
     near = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part"))
-        & (100 * F.least("x.n_shingles", "y.n_shingles") >= 75 * F.greatest("x.n_shingles", "y.n_shingles")) & (differ <= NIBBLES)
+        & (100 * F.least("x.n", "y.n") >= 75 * F.greatest("x.n", "y.n")) & (7 * F.least("x.common", "y.common") >= 3 * (F.col("x.n") + F.col("y.n"))) & (differ <= NIBBLES) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     )
-    second = x.join(y, near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = ws.put(second, "pairs")
-    links = links.union(ws.put(confirm(ws, docs, second), "links"))
-    parts = ws.put(connected_components(ws, links), "components")
+    second = ws.put(x.join(y, near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.part").alias("p"), F.col("y.part").alias("q")), "pairs")
+    more = ws.put(confirm(sets, second.select("a", "b")).join(second, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), "links")
+    # The second links join whole components.
+    if not more.isEmpty():
+        joined = connected_components(ws, more).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+        lone = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(parts, "node", "left_anti").select("node", F.col("node").alias("component"))
+        parts = parts.union(lone).join(joined, F.col("component") == F.col("part"), "left").select("node", F.coalesce("whole", "component").alias("component"))
+        parts = ws.put(parts, "components")
 
     of_class = classes.join(parts, F.col("class_id") == F.col("node"), "left").select("fp1", "fp2", "class_id", "n_copies", F.coalesce("component", "class_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, ["fp1", "fp2"], "left")
