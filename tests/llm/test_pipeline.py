@@ -4,6 +4,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from strandweave.llm import decontaminate, toxicity
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
@@ -16,8 +18,12 @@ def test_stages_follow_each_other(spark, sf_dir):
         kept[name] = docs.collect()
         if name != names[-1]:
             assert docs.columns == columns
-    toxic = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").collect()}
-    assert not toxic & {r.doc_id for r in kept["toxicity"]}
+    first = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chain = toxicity.train(first, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert {r.doc_id for r in kept["toxicity"]} == {r.doc_id for r in first.collect() if chain.predict(toxicity.present(r.text))[-1] < toxicity.REJECT}
+    items = [set(decontaminate.segments(decontaminate.reduce(r.text))) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    clean = [decontaminate.reduce(r.text) for r in kept["decontamination"]]
+    assert not any(s in t for t in clean for x in items for s in x)
     ids = {n: Counter(r.doc_id for r in rows) for n, rows in kept.items()}
     assert max(ids["near_dedup"].values()) == 1
     assert set(ids["mixing"]) <= set(ids["decontamination"]) <= set(ids["near_dedup"]) <= set(ids["toxicity"])
