@@ -54,30 +54,30 @@ def paths(ws: Workspace, messages: DataFrame, best: int | None = None) -> DataFr
     """(tree, leaf, branch_rank, node, depth) of root-to-leaf paths of messages (tree, node, parent, score).
 
     A message whose parent is null or missing is a root.  Round k joins each
-    message with the one 2**k steps above, which gives depths, sums of scores
-    and a table of jumps of that length; rows are of fixed size.  From the leaves
+    message that has one with that 2**k steps above, which gives depths, sums of
+    scores and a table of jumps of that length; rows are of fixed size.  From the leaves
     chosen, the jump tables are then followed from the longest to the shortest,
     each adding the messages that far above: the rows made are those of the
     result.  Messages on or below a cycle never reach a root and are in no path.
     """
     known = messages.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     base = messages.join(known, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("p")), "left")
-    now = ws.put(base.select("tree", "node", F.col("p").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("depth")), "jumps")
-    limit, jumps = now.count(), []
-    while (1 << len(jumps)) <= limit and not now.where("up IS NOT NULL").isEmpty():
-        jumps.append(now)
-        above = now.select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("depth").alias("higher"))
-        step = now.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("p")), "left")
-        now = ws.put(step.select("tree", "node", F.col("further").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("higher", F.lit(0))).alias("depth")), "jumps")
-    ended = now.where("up IS NULL")
+    base = ws.put(base.select("tree", "node", F.col("p").alias("up"), F.coalesce("score", F.lit(0.0)).cast("double").alias("total"), F.lit(1).cast("long").alias("depth")), "jumps")
+    limit, tables = base.count(), [base]
+    ended = base.where("up IS NULL")
+    while (1 << (len(tables) - 1)) <= limit and not (open_ := tables[-1].where("up IS NOT NULL")).isEmpty():
+        above = ended.unionByName(open_).select(F.col("tree").alias("t"), F.col("node").alias("p"), F.col("up").alias("further"), F.col("total").alias("more"), F.col("depth").alias("higher"))
+        step = open_.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("p")))
+        tables.append(ws.put(step.select("tree", "node", F.col("further").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("higher")).alias("depth")), "jumps"))
+        ended = ended.unionByName(tables[-1].where("up IS NULL"))
+    jumps = [t.where("up IS NOT NULL").select("tree", "node", "up") for t in tables[:-1]]
     parents = messages.where("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = ended.join(parents, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     ranked = leaves.withColumn("branch_rank", F.row_number().over(Over.partitionBy("tree").orderBy(F.desc("total"), F.asc("node"))))
     if best is not None:
         ranked = ranked.where(F.col("branch_rank") <= best)
     found = ranked.select("tree", F.col("node").alias("leaf"), "branch_rank", "node")
-    for k in reversed(jumps):
-        up = k.where("up IS NOT NULL").select("tree", "node", "up")
+    for up in reversed(jumps):
         found = found.join(up, ["tree", "node"], "left").select("tree", "leaf", "branch_rank", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
     return found.join(ended.select("tree", "node", "depth"), ["tree", "node"])
 
