@@ -33,7 +33,7 @@ from strandweave.llm import words as W
 
 STARTS = (3, 4, 5, 6, 7)
 #: Labelled rows and bytes of text learned from, at most; folds; passes; words remembered by a worker.
-ROWS, BYTES, FOLDS, EPOCHS, REMEMBERED = 6000, 48 << 20, 3, 20, 400_000
+ROWS, BYTES, FOLDS, EPOCHS, REMEMBERED = 6000, 48 << 20, 3, 12, 400_000
 #: Features of a model at most; texts that hold one at least; deviations from chance at least.
 FEATURES, LEAST, CLEAR = 3000, 3, 4.0
 #: A text of the rarer class weighs so much more than others in training.
@@ -116,6 +116,10 @@ class Chain:
 
     def fit(self, sets: list[set], labels: np.ndarray) -> Chain:
         """labels: a column of 0 and 1 for each category."""
+        held = Counter()
+        for s in sets:
+            held.update(s)
+        sets = [{f for f in s if held[f] >= LEAST} for s in sets]
         fold = np.arange(len(sets)) % FOLDS
         earlier = np.zeros((len(sets), 0))
         for k in range(len(self.categories)):
