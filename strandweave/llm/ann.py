@@ -30,7 +30,7 @@ from strandweave.llm import words as W
 from strandweave.runtime import Workspace
 
 #: Vectors of the sample, vectors of a part (on average) and parts at most, neighbours in the graph, wanted recall, rows of a block.
-SAMPLE, PART, PARTS, GRAPH, RECALL, BLOCK = 16384, 400, 256, 10, 0.97, 4096
+SAMPLE, PART, PARTS, GRAPH, RECALL, BLOCK = 8192, 400, 256, 10, 0.97, 4096
 HIDDEN, EPOCHS, SEED = 96, 40, 5
 
 
@@ -39,8 +39,8 @@ def nearest(x: np.ndarray, k: int, queries: np.ndarray | None = None) -> np.ndar
     rows = np.arange(len(x)) if queries is None else queries
     squares = (x * x).sum(1)
     out = []
-    for i in range(0, len(rows), 512):
-        own = rows[i : i + 512]
+    for i in range(0, len(rows), 64):
+        own = rows[i : i + 64]
         d = squares[None, :] - 2 * (x[own] @ x.T)
         d[np.arange(len(own)), own] = np.inf
         out.append(np.argpartition(d, k - 1, axis=1)[:, :k])

@@ -13,10 +13,10 @@ u64; the bounds of the documents (documents + 1 times u64); the documents' ids
 packed bits (bit i of byte j is position 8 j + i) and the counts of ones u32.
 Then everything after the magic is one zstandard frame.
 
-A text's ids are those the tokenizers library gives for the whole text.  Words
-of Latin letters with punctuation behind are encoded once and remembered, since
-in this vocabulary nothing reaches over white space or from letters into
-punctuation; every other word goes to the library as it is.
+A text's ids are those the tokenizers library gives for the whole text.  In this
+vocabulary nothing reaches over white space or from letters into punctuation, so
+every distinct word goes to the library once and is remembered; of words of Latin
+letters with punctuation behind, either part.
 
 Defined results: null text is empty and has the end id only; null doc_ids come
 first; rows with the same doc_id follow by text; an empty table makes no file.
@@ -29,9 +29,11 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
@@ -43,54 +45,64 @@ from strandweave.runtime import Workspace
 
 MAGIC, RANK = b"SWWM0001", 512
 END = 2
-#: Bytes of text in a shard, on average; words remembered by a worker.
-SHARD, REMEMBERED = 24 << 20, 1_500_000
-#: Latin letters without the two that are letters only by their number form, then other visible ASCII.
-_plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\\[-`{-~]*)")
+#: Bytes of text in a shard, on average; words as written, and their encoded parts, that a worker remembers.
+SHARD, WORDS, PARTS = 24 << 20, 500_000, 900_000
+#: Latin letters but for those without a case or form of their own, then visible ASCII but for ' and <.
+_plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\\[-`{-~]*)").fullmatch
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit integers."""
+    """Token ids of whole texts."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_str(vocabulary)
+        self._end = array("I", [end]).tobytes()
         self._known: dict[str, bytes] = {}
         self._parts: dict[str, bytes] = {}
 
     def _encode(self, strings: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
     def _learn(self, fresh: list[str]) -> None:
-        split, need = {}, {}
+        known, have, cut, need = self._known, self._parts, [], set()
         for w in fresh:
-            m = _plain.fullmatch(w)
-            # An apostrophe behind letters may begin a contraction; with a < a special token. Those stay whole.
-            split[w] = parts = (m[1].lower(), m[2]) if m and "'" not in m[2] and "<" not in m[2] else (w,)
-            for x in parts:
-                if x and x not in self._parts:
-                    need[x] = None
-        self._parts.update(zip(need, self._encode(list(need)), strict=True))
-        for w, parts in split.items():
-            self._known[w] = b"".join([self._parts[x] for x in parts if x])
-
-    def __call__(self, texts: list) -> list[bytes]:
-        split = [t.split() if t else [] for t in texts]
-        if len(self._known) > REMEMBERED:
+            m = _plain(w)
+            # An apostrophe behind letters may begin a contraction, a < a special token: such words stay whole.
+            head, tail = (m[1].lower(), m[2]) if m else (w, "")
+            cut.append((w, head, tail))
+            need.add(head)
+            if tail:
+                need.add(tail)
+        need = list(need.difference(have))
+        have.update(zip(need, self._encode(need), strict=True))
+        for w, head, tail in cut:
+            known[w] = have[head] + have[tail] if tail else have[head]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts with the end id behind each, number of ids of each); null is empty."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        ends = words.offsets.to_numpy()[1:].astype(np.int64) - words.offsets[0].as_py()
+        flat = words.flatten().dictionary_encode()
+        names = flat.dictionary.to_pylist()
+        if len(self._known) > WORDS:
             self._known.clear()
+        if len(self._parts) > PARTS:
             self._parts.clear()
         known = self._known
-        fresh = {w for ws in split for w in ws if w not in known}
-        if fresh:
-            self._learn(list(fresh))
-        out = [b"".join([known[w] for w in ws]) for ws in split]
-        # Python splits at these four, the library doesn't.
-        for i, t in enumerate(texts):
-            if t and ("\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t):
-                out[i] = self._encode([t])[0]
-        return out
+        if fresh := [w for w in names if w not in known]:
+            self._learn(fresh)
+        values = [known[w] for w in names] + [self._end]
+        codes = np.insert(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(names))
+        size = np.array([len(v) >> 2 for v in values], np.int64)
+        start = np.cumsum(size) - size
+        each = size[codes]
+        stop = np.cumsum(each)
+        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(start[codes] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)]
+        last = stop[ends + np.arange(len(ends))]
+        return ids, np.diff(last, prepend=0)
 
 
 class WaveletMatrix:
@@ -235,7 +247,16 @@ def put_file(uri: str, data: bytes) -> None:
     fs.move(own, path)
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(vocabulary: str, end: int) -> Encoder:
+    """The worker's encoder, with what it remembers from earlier tasks."""
+    key = (zlib.crc32(vocabulary.encode()), end)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary, end)
+    return _encoders[key]
 
 
 def _write(folder: str, vocabulary, end: int):
@@ -244,25 +265,20 @@ def _write(folder: str, vocabulary, end: int):
     def run(it):
         from pyspark import TaskContext
 
-        key = zlib.crc32(vocabulary.value.encode())
-        if key not in _encoders:
-            _encoders.clear()
-            _encoders[key] = Encoder(vocabulary.value)
-        encode, close = _encoders[key], np.array([end], "<u4").tobytes()
+        encode = _encoder(vocabulary.value, end)
         doc_ids, sizes, parts = [], [], []
-        for batch in W.batches(it):
-            ids = encode(batch.column("text").to_pylist())
+        for batch in W.batches(it, limit=16 << 20):
+            ids, n = encode(batch.column("text"))
             doc_ids += batch.column("doc_id").to_pylist()
-            sizes += [len(x) // 4 + 1 for x in ids]
-            both = np.frombuffer(b"".join([y for x in ids for y in (x, close)]), "<u4")
-            parts.append(both.astype(np.uint16) if not len(both) or both.max() < 1 << 16 else both)
+            sizes.append(n)
+            parts.append(ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids)
         if not doc_ids:
             return
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}.swwm"
         all_ids = np.concatenate(parts)
         del parts
-        put_file(path, to_file(WaveletMatrix.build(all_ids), np.concatenate([[0], np.cumsum(sizes)]), doc_ids))
+        put_file(path, to_file(WaveletMatrix.build(all_ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), doc_ids))
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(doc_ids)], pa.int64()), pa.array([len(all_ids)], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
     return run

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,10 +34,10 @@ from strandweave.llm import words as W
 
 STARTS = (3, 4, 5, 6, 7)
 #: Labelled rows and bytes of text learned from, at most; folds; passes; words remembered by a worker.
-ROWS, BYTES, FOLDS, EPOCHS, REMEMBERED = 6000, 48 << 20, 3, 12, 400_000
+ROWS, BYTES, FOLDS, EPOCHS, REMEMBERED = 4000, 16 << 20, 3, 12, 400_000
 #: Features of a model at most; texts that hold one at least; deviations from chance at least.
 FEATURES, LEAST, CLEAR = 3000, 3, 4.0
-#: A text of the rarer class weighs so much more than others in training.
+#: A text of the rarer class weighs so much more than others in training the last category.
 RARE = 3.0
 #: Categories in the order of the chain, and the probability from which a document is rejected.
 CHAIN, REJECT = ("low_quality", "toxic"), 0.5
@@ -82,7 +83,7 @@ class Linear:
     def logit(self, held, extra) -> float:
         return sum(self.weights.get(f, 0.0) for f in held) + float(self.d @ np.asarray(extra)) + self.b
 
-    def fit(self, sets: list[set], extra: np.ndarray, y: np.ndarray) -> Linear:
+    def fit(self, sets: list, extra: np.ndarray, y: np.ndarray, weight: float = 1.0) -> Linear:
         names = telling(sets, y)
         number = {f: i for i, f in enumerate(names)}
         xs = [np.array(sorted(number[f] for f in s if f in number), np.int64) for s in sets]
@@ -91,7 +92,7 @@ class Linear:
         rare = 1.0 if y.mean() < 0.5 else 0.0
         for _ in range(EPOCHS):
             for i in rng.permutation(len(xs)):
-                g = (probability(w[xs[i]].sum() + self.d @ extra[i] + self.b) - y[i]) * (RARE if y[i] == rare else 1.0)
+                g = (probability(w[xs[i]].sum() + self.d @ extra[i] + self.b) - y[i]) * (weight if y[i] == rare else 1.0)
                 if abs(g) < 1e-3:
                     continue
                 seen[xs[i]] += g * g
@@ -119,12 +120,12 @@ class Chain:
         held = Counter()
         for s in sets:
             held.update(s)
-        sets = [{f for f in s if held[f] >= LEAST} for s in sets]
+        sets = [tuple(f for f in s if held[f] >= LEAST) for s in sets]
         fold = np.arange(len(sets)) % FOLDS
         earlier = np.zeros((len(sets), 0))
         for k in range(len(self.categories)):
             y = labels[:, k].astype(np.float64)
-            self.models.append(Linear(k).fit(sets, earlier, y))
+            self.models.append(Linear(k).fit(sets, earlier, y, RARE if k + 1 == len(self.categories) else 1.0))
             if k + 1 < len(self.categories):
                 out = np.zeros(len(sets))
                 for f in range(FOLDS):
@@ -178,15 +179,46 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     return texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_id", "text", *CHAIN)
 
 
+class Sample:
+    """Labelled texts in little memory: numbers of words, then only features that LEAST texts may hold.
+
+    Features are counted by a hash first; one that shares its slot with others is
+    counted too high and kept, never lost.
+    """
+
+    def __init__(self):
+        self._number: dict[str, int] = {}
+        self._texts: list[np.ndarray] = []
+
+    def add(self, text: str) -> None:
+        number = self._number
+        own = {number.setdefault(w, len(number)) for w in set(_word.findall(text.lower()))}
+        self._texts.append(np.fromiter(own, np.int32, len(own)))
+
+    def held(self) -> list[tuple]:
+        """The features of each text."""
+        words, wide = list(self._number), 1 + len(STARTS)
+        slots = np.zeros((len(words), wide), np.int32)
+        for i, w in enumerate(words):
+            own = [zlib.crc32(f.encode()) & 0x3FFFFF for f in features(w)]
+            slots[i] = own + [own[0]] * (wide - len(own))
+        counts = np.zeros(1 << 22, np.int32)
+        for t in self._texts:
+            counts[np.unique(slots[t].ravel())] += 1
+        known: dict[str, str] = {}
+        of_word = [tuple(known.setdefault(f, f) for f, s in zip(features(w), slots[i], strict=False) if counts[s] >= LEAST) for i, w in enumerate(words)]
+        return [tuple({f for i in t for f in of_word[i]}) for t in self._texts]
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Chain:
-    xs, ys, size = [], [], 0
+    sample, ys, size = Sample(), [], 0
     found = labelled(docs, labels).orderBy(F.xxhash64(F.lit(8), "_id"), "_id", "text")
     for r in found.toLocalIterator():
         if (size := size + len(r.text)) > BYTES:
             break
-        xs.append(present(r.text))
+        sample.add(r.text)
         ys.append([r[c] for c in CHAIN])
-    return Chain().fit(xs, np.array(ys).reshape(-1, len(CHAIN))) if xs else Chain()
+    return Chain().fit(sample.held(), np.array(ys).reshape(-1, len(CHAIN))) if ys else Chain()
 
 
 def _judge(shared, keep_clean: bool):
