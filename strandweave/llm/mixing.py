@@ -150,15 +150,16 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     kind = F.when(F.col("sum") <= F.col("rest"), "whole").when(F.col("sum") - F.col("words") < F.col("rest"), "part").otherwise("none")
     blocks = ws.put(blocks.withColumn("last", kind), "blocks")
 
-    # Documents of the block that the rest ends in, as far as they fit, in several rounds over those still small enough.
+    # Documents of the block that the rest ends in: a permuted run of them, then in several rounds the largest that still fit.
     part = blocks.where("last = 'part'").select("key", "block", (F.col("rest") - F.col("sum") + F.col("words")).alias("room"))
     tried = dealt.select("key", "block", "doc_id", "row", "size").join(part, ["key", "block"])
     one, run = Over.partitionBy("key"), Over.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "row"), "doc_id", "row", "copy")
     tried = tried.withColumn("copy", F.row_number().over(Over.partitionBy("key", "doc_id", "row").orderBy("size"))).withColumn("fits", F.lit(False))
-    run = run.rowsBetween(Over.unboundedPreceding, Over.currentRow)
-    for _ in range(ROUNDS):
+    largest = Over.partitionBy("key").orderBy(F.desc("size"), F.xxhash64(F.lit(seed), "row"), "doc_id", "row", "copy")
+    run, largest = (x.rowsBetween(Over.unboundedPreceding, Over.currentRow) for x in (run, largest))
+    for turn in range(ROUNDS):
         tried = tried.withColumn("can", ~F.col("fits") & (F.col("size") <= F.col("room")))
-        tried = tried.withColumn("now", F.col("can") & (F.sum(F.when(F.col("can"), F.col("size")).otherwise(0)).over(run) <= F.col("room")))
+        tried = tried.withColumn("now", F.col("can") & (F.sum(F.when(F.col("can"), F.col("size")).otherwise(0)).over(largest if turn else run) <= F.col("room")))
         tried = tried.withColumn("room", F.col("room") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(one)).withColumn("fits", F.col("fits") | F.col("now"))
     fitted = ws.put(tried.where("fits").groupBy("key", "doc_id", "row").agg(F.count("*").alias("n_fit")), "fitted")
 
