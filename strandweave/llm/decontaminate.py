@@ -19,6 +19,7 @@ item_ids are reported as null; items with the same text are all reported.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 
 import pyarrow as pa
@@ -147,7 +148,7 @@ def blocks(items: DataFrame, limit: int = BLOCK):
         yield now
 
 
-_matchers: dict[int, Matcher] = {}
+_matchers: dict[str, Matcher] = {}
 
 
 def _matcher(shared) -> Matcher:
@@ -160,7 +161,8 @@ def _matcher(shared) -> Matcher:
 class _Shared:
     def __init__(self, spark, items: list):
         self.items = spark.sparkContext.broadcast(items)
-        self.id = id(self)
+        #: A worker outlives this object, so its memory address may come again with other items.
+        self.id = uuid.uuid4().hex
 
 
 def _find(shared):

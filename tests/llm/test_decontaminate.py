@@ -68,3 +68,18 @@ def test_empty_tables(spark):
 def test_blocks_are_bounded(spark):
     items = spark.createDataFrame([(k, "w " * 50) for k in range(20)], "item_id long, text string")
     assert [len(b) for b in d.blocks(items, 300)] == [3] * 6 + [2]
+
+
+def test_tables_and_blocks_one_after_the_other(spark, monkeypatch):
+    blocks = d.blocks
+    monkeypatch.setattr(d, "blocks", lambda items: blocks(items, 300))
+    for round_ in range(3):
+        items = [(k, " ".join(f"r{round_}k{k}w{j}" for j in range(10))) for k in range(20)]
+        docs = [(k, f"intro {t} end") for k, t in items] + [(99, "nothing of this is in it")]
+        found, clean = run(spark, docs, items)
+        assert found == {(k, k, 0, 0) for k, _ in items}
+        assert clean == [99]
+
+
+def test_shared_items_never_have_the_same_key(spark):
+    assert len({d._Shared(spark, [(k, "x")]).id for k in range(50)}) == 50
