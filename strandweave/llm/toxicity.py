@@ -35,6 +35,8 @@ from strandweave.llm import words as W
 STARTS = (3, 4, 5, 6, 7)
 #: Labelled rows and bytes of text learned from, at most; folds; passes; words remembered by a worker.
 ROWS, BYTES, FOLDS, EPOCHS, REMEMBERED = 4000, 16 << 20, 3, 12, 400_000
+#: A text with more than this part of BYTES is not learned from, so that none takes the place of all others.
+SHARE = 16
 #: Features of a model at most; texts that hold one at least; deviations from chance at least.
 FEATURES, LEAST, CLEAR = 3000, 3, 4.0
 #: A text of the rarer class weighs so much more than others in training the last category.
@@ -171,11 +173,13 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     """(text, low_quality, toxic): a fixed draw by hash of labelled documents.
 
     The draw is made on the labels, so only its documents' texts are sought, with
-    a join whose small side is bounded by ``rows``.
+    a join whose small side is bounded by ``rows``.  Documents too long to learn
+    from are left out before the draw, so others are drawn in their place.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), (1 - F.col("quality").cast("int")).alias("low_quality"), F.col("toxic").cast("int").alias("toxic")).where("_id IS NOT NULL AND low_quality IN (0, 1) AND toxic IN (0, 1)")
-    drawn = marks.orderBy(F.xxhash64(F.lit(8), "_id"), "_id", "toxic", "low_quality").limit(rows)
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    long = docs.where(F.length(F.col("text").cast("string")) > BYTES // SHARE).select(F.col("doc_id").cast("long").alias("_id")).distinct()
+    drawn = marks.join(long, "_id", "left_anti").orderBy(F.xxhash64(F.lit(8), "_id"), "_id", "toxic", "low_quality").limit(rows)
+    texts = docs.where(F.length(F.col("text").cast("string")) <= BYTES // SHARE).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_id", "text", *CHAIN)
 
 
@@ -214,8 +218,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Chain:
     sample, ys, size = Sample(), [], 0
     found = labelled(docs, labels).orderBy(F.xxhash64(F.lit(8), "_id"), "_id", "text")
     for r in found.toLocalIterator():
-        if (size := size + len(r.text)) > BYTES:
-            break
+        if size + len(r.text) > BYTES:
+            continue
+        size += len(r.text)
         sample.add(r.text)
         ys.append([r[c] for c in CHAIN])
     return Chain().fit(sample.held(), np.array(ys).reshape(-1, len(CHAIN))) if ys else Chain()

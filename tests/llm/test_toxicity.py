@@ -52,3 +52,16 @@ def test_nothing_labelled_and_empty_table(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [tuple(r) for r in toxicity.judge(df, toxicity.train(df, lab)).collect()] == [(1, 0.0, 0.0, False)]
     assert toxicity.judge(df.limit(0), toxicity.train(df.limit(0), lab)).collect() == []
+
+
+def test_long_labelled_texts_do_not_end_learning(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BYTES", 6000)
+    order = [r.id for r in spark.range(80).selectExpr("id", "xxhash64(8, id) h").orderBy("h").collect()]
+    first, early = order[0], order[3]
+    bad, good = "you are an awful idiot and scum", "what a lovely day for a walk"
+    text = lambda k: (bad if k % 3 == 0 else good) + {first: " x" * 5000, early: " y" * 2900}.get(k, "")
+    df = spark.createDataFrame([(k, text(k)) for k in range(80)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(80)], "doc_id long, quality int, toxic int")
+    assert toxicity.labelled(df, lab, 60).count() == 60
+    rows = toxicity.judge(df, toxicity.train(df, lab)).collect()
+    assert all(r.rejected == (r.doc_id % 3 == 0) for r in rows if r.doc_id not in (first, early))
