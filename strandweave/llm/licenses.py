@@ -1,10 +1,10 @@
 """Operator 7: licences of files, from their headers and from licence files above them.
 
-Every line of a file that holds a cue word is a header; header and, for files
-short enough to be a licence, the whole text are compared with templates by the
-cosine of sparse TF-IDF vectors.  Terms are words and pairs of neighbouring
-words of the templates; a term's weight comes from the number of documents of
-the whole table that hold it.  A file whose whole text is like a template is a
+Every line of a file that holds a cue word is a header; header and whole text
+are compared with templates by the cosine of sparse TF-IDF vectors, the whole
+text also with the full licences in ``licences/``.  Terms are words and pairs of
+neighbouring words; a term's weight comes from the number of documents of the
+whole table that hold it if a template has it, and is the largest one if not.  A file whose whole text is like a template is a
 licence file and speaks for its directory; a file without a licence of its own
 inherits that of the nearest directory above it that has one, found by joining
 each directory's ancestors with the directories that have licences.
@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from strandweave.llm import words as W
 from strandweave.runtime import Workspace
 
-#: Least cosine of a header and of a licence file; characters of a licence file at most; salts of a directory's files.
-HEADER, FILE, FILE_CHARS, SALTS = 0.6, 0.9, 40_000, 16
+#: Least cosine of a header and of a licence file; characters of a header line at most; salts of a directory's files.
+HEADER, FILE, LINE_CHARS, SALTS = 0.6, 0.9, 40_000, 16
 
 #: Licence names with notices and openings by which they are known.
 TEMPLATES = {
@@ -54,6 +55,9 @@ TEMPLATES = {
 #: A line without any of these is no header.
 CUES = ["licen", "copyright", "rights reserved", "spdx", "public domain", "permission", "redistribution", "cc0", "creative commons"]
 
+#: The AGPL is the GPL but for a section and its title; characters of a text in which the title is.
+AFFERO, TITLE_CHARS = re.compile(r"affero\s+general\s+public\s+license", re.IGNORECASE), 200
+
 _cue = re.compile("|".join(CUES), re.IGNORECASE)
 _term = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
@@ -92,19 +96,34 @@ def weights(docs: DataFrame) -> dict[str, float]:
     return {t: math.log((1 + rows) / (1 + n.get(i, 0))) + 1 for i, t in enumerate(VOCABULARY)}
 
 
+def full_texts() -> dict[str, str]:
+    """The whole licences by name; read on the driver only."""
+    return {p.name.removesuffix(".txt"): p.read_text("utf-8") for p in (resources.files("strandweave.llm") / "licences").iterdir() if p.name.endswith(".txt")}
+
+
 class Scorer:
-    def __init__(self, idf: dict[str, float]):
+    def __init__(self, idf: dict[str, float], full: dict[str, str]):
         self.idf = idf
+        self.full = sorted(full)
+        self.holding: dict[str, list] = defaultdict(list)
+        for i, name in enumerate(self.full):
+            for t, x in self.vector(full[name], damped=True).items():
+                self.holding[t].append((i, x))
         self.templates = [(name, self.vector(x)) for name, texts in sorted(TEMPLATES.items()) for x in texts]
 
-    def vector(self, text: str) -> dict[str, float]:
-        """Unit vector; terms of no template count in its length as terms of no document."""
+    def vector(self, text: str | Counter, damped: bool = False) -> dict[str, float]:
+        """Unit vector; terms of no template count in its length as terms of no document.
+
+        Damped, a term counts by the logarithm of its occurrences: of long texts
+        the common words would decide otherwise.
+        """
         rare = max(self.idf.values(), default=1.0)
-        v = {t: n * self.idf.get(t, rare) for t, n in terms(text).items()}
+        counts = terms(text) if isinstance(text, str) else text
+        v = {t: (1 + math.log(n) if damped else n) * self.idf.get(t, rare) for t, n in counts.items()}
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / norm for t, x in v.items()}
 
-    def best(self, text: str) -> tuple[float, str | None]:
+    def best(self, text: str | Counter) -> tuple[float, str | None]:
         v, score, name = self.vector(text), 0.0, None
         for n, t in self.templates:
             s = sum(x * v[k] for k, x in t.items() if k in v)
@@ -112,17 +131,31 @@ class Scorer:
                 score, name = s, n
         return score, name
 
+    def whole(self, text: str) -> tuple[float, str | None]:
+        """The best of the templates and the full licences for a whole text."""
+        counts, sums = terms(text), [0.0] * len(self.full)
+        for t, x in self.vector(counts, damped=True).items():
+            for i, y in self.holding.get(t, ()):
+                sums[i] += x * y
+        score, name = self.best(counts)
+        for s, n in zip(sums, self.full, strict=True):
+            if s > score + 1e-12:
+                score, name = s, n
+        if name == "GPL-3.0" and AFFERO.search(text[:TITLE_CHARS]):
+            name = "AGPL-3.0"
+        return score, name
+
     def __call__(self, text: str | None) -> tuple:
         """(licence, score, file_licence, file_score): the best of headers and whole text, and what a licence file says, null for other files."""
         if not text or not _cue.search(text):
             return None, 0.0, None, 0.0
         score, name = 0.0, None
         for line in text.split("\n"):
-            if _cue.search(line) and len(line) <= FILE_CHARS:
+            if _cue.search(line) and len(line) <= LINE_CHARS:
                 s, n = self.best(line)
                 if s >= HEADER and s > score + 1e-12:
                     score, name = s, n
-        s, n = self.best(text) if len(text) <= FILE_CHARS else (0.0, None)
+        s, n = self.whole(text)
         if s < FILE:
             return name, score, None, 0.0
         return (n, s, n, s) if s >= score - 1e-12 else (name, score, n, s)
@@ -130,7 +163,7 @@ class Scorer:
 
 def _scan(shared):
     def run(it):
-        score = Scorer(shared.value)
+        score = Scorer(*shared.value)
         for batch in W.batches(it):
             found = [score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -152,7 +185,7 @@ def scan(files: DataFrame) -> DataFrame:
     origin is 'own', 'inherited' or 'none'.
     """
     ws = Workspace(files.sparkSession, "licenses")
-    shared = files.sparkSession.sparkContext.broadcast(weights(files))
+    shared = files.sparkSession.sparkContext.broadcast((weights(files), full_texts()))
     rows = files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string"))
     found = rows.mapInArrow(_scan(shared), "id long, path string, license string, score double, file_license string, file_score double").withColumn("dir", F.when(F.col("path").isNotNull(), directory(F.col("path"))))
     found = ws.put(found, "found")

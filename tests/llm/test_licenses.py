@@ -36,3 +36,18 @@ def test_licence_lines_of_documents(spark, sf_dir):
     got = {r.id: r.license for r in licenses.scan(licenses.as_files(docs)).collect()}
     assert set(got) == set(want)
     assert all((got[i] in w) if w else got[i] is None for i, w in want.items())
+
+
+def test_full_licence_files_speak_for_their_directories(spark):
+    full = licenses.full_texts()
+    assert {"MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} == set(full)
+    holder = "Copyright (c) 2024 Some Holder and the Sample Project authors\n\n"
+    texts = {n: holder + t for n, t in full.items()} | {"AGPL-3.0": full["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL", 1)}
+    texts["GPL-3.0"] = full["GPL-3.0"] + "\n" * 10_000
+    assert len(texts["GPL-3.0"]) > 40_000
+    rows = [(k, f"{n}/LICENSE", t) for k, (n, t) in enumerate(texts.items())] + [(100 + k, f"{n}/src/x.py", "print(1)") for k, n in enumerate(texts)]
+    prose = "All rights reserved.\n" + " ".join(full["GPL-3.0"].split()[:200]) + " and the story of the house by the sea" * 40
+    rows += [(300, "prose/a.txt", prose), (301, "prose/b.txt", "print(2)")]
+    got, _ = run(spark, rows)
+    assert {p: g for (i, p), g in got.items() if 100 <= i < 300} == {f"{n}/src/x.py": (n, "inherited", n) for n in texts}
+    assert got[(301, "prose/b.txt")] == (None, "none", None)
