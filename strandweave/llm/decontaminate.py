@@ -11,9 +11,13 @@ its own, so that half an item in a text is found too.
 Items are taken to the tasks in blocks of bounded size; a larger test set means
 more blocks, each one more pass over the documents.
 
-Defined results: null or empty texts hold nothing; items of fewer than
-``LEAST_WORDS`` words after reduction are no evidence and are left out; null
-item_ids are reported as null; items with the same text are all reported.
+Words are what stands between spaces; in scripts without spaces two characters
+count as one.  An item of fewer than ``LEAST_WORDS`` words and ``SHORT``
+characters must occur exactly, from word bound to word bound.
+
+Defined results: null or empty texts hold nothing, and items without a letter or
+digit are in no text; null item_ids are reported as null; items with the same
+text are all reported.
 """
 
 from __future__ import annotations
@@ -28,8 +32,11 @@ from pyspark.sql import functions as F
 
 from strandweave.llm import words as W
 
-#: One edit for so many characters; words of a segment at least; words of an item at least; characters of items in a block.
-PER_EDIT, SEGMENT, LEAST_WORDS, BLOCK = 20, 24, 8, 4 << 20
+#: One edit for so many characters; words of a segment at least; words, or else characters, of an item that may differ at all; characters of items in a block.
+PER_EDIT, SEGMENT, LEAST_WORDS, SHORT, BLOCK = 20, 24, 8, 40, 4 << 20
+#: Thai to Tibetan, Myanmar, Khmer, Chinese and Japanese letters, which stand without spaces.
+_JOINED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u312f\u31a0-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_word, _joined = re.compile(f"[{_JOINED}]{{1,2}}|[^ {_JOINED}]+"), re.compile(f"[{_JOINED}]")
 _other = re.compile(r"[\W_]+")
 
 
@@ -39,11 +46,21 @@ def reduce(text: str) -> str:
 
 def segments(text: str) -> list[str]:
     """The parts of a reduced item: equal runs of SEGMENT words or more, or the item."""
-    w = text.split()
-    if len(w) < LEAST_WORDS:
+    w = [m.span() for m in _word.finditer(text)]
+    if not w:
         return []
     n = max(1, len(w) // SEGMENT)
-    return [" ".join(w[len(w) * i // n : len(w) * (i + 1) // n]) for i in range(n)]
+    return [text[w[len(w) * i // n][0] : w[len(w) * (i + 1) // n - 1][1]] for i in range(n)]
+
+
+def short(segment: str) -> bool:
+    """Whether a segment, then a whole item, is too short to differ."""
+    return len(segment) < SHORT and len(_word.findall(segment)) < LEAST_WORDS
+
+
+def bounded(text: str, start: int, end: int) -> bool:
+    """Whether a word bound is at both ends of a passage of a reduced text."""
+    return all(not 0 < at < len(text) or " " in (pair := text[at - 1 : at + 1]) or _joined.search(pair) is not None for at in (start, end))
 
 
 def pieces(segment: str) -> list[tuple[int, str]]:
@@ -97,9 +114,10 @@ class Matcher:
         self.segments = list(by_text)
         self.owners = [by_text[s] for s in self.segments]
         self.myers = [Myers(s) for s in self.segments]
+        self.short = [short(s) for s in self.segments]
         where: dict[str, list] = defaultdict(list)
         for i, s in enumerate(self.segments):
-            for offset, piece in pieces(s):
+            for offset, piece in [(0, s)] if self.short[i] else pieces(s):
                 where[piece].append((i, offset))
         self.automaton = ahocorasick.Automaton()
         for piece, spots in where.items():
@@ -114,10 +132,14 @@ class Matcher:
             return []
         t = reduce(text)
         starts: dict[int, list] = defaultdict(list)
+        exact: set[int] = set()
         for end, (size, spots) in self.automaton.iter(t):
             for i, offset in spots:
-                starts[i].append(end + 1 - size - offset)
-        out = []
+                if not self.short[i]:
+                    starts[i].append(end + 1 - size - offset)
+                elif i not in exact and bounded(t, end + 1 - size, end + 1):
+                    exact.add(i)
+        out = [(item_id, k, 0) for i in sorted(exact) for item_id, k in self.owners[i]]
         for i, found in starts.items():
             n = len(self.segments[i])
             budget, low = n // PER_EDIT, n

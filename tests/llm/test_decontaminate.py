@@ -83,3 +83,19 @@ def test_tables_and_blocks_one_after_the_other(spark, monkeypatch):
 
 def test_shared_items_never_have_the_same_key(spark):
     assert len({d._Shared(spark, [(k, "x")]).id for k in range(50)}) == 50
+
+
+def test_short_items_and_scripts_without_spaces():
+    question = "下列关于细胞膜结构与功能的说法中哪一项是正确的请选择最合适的答案并说明理由"
+    items = [(1, "What is ten plus ten?"), (2, question), (3, "今天天气很好吗？"), (4, "cat"), (5, "?!"), (6, "Name the capital city of northern Freedonia please")]
+    match = d.Matcher(items)
+    found = lambda t: {(i, b) for i, _, b in match(t)}
+    assert found("quiz: what is TEN plus ten - yes") == {(1, 0)}
+    assert found("what is ten plus tenths") == found("somewhat is ten plus ten") == found("concatenate cats") == set()
+    assert found("the cat.") == {(4, 0)}
+    assert found("他说：今天天气很好吗，然后走了") == found("他说今天天气很好吗然后走了") == {(3, 0)}
+    assert found("开头" + question + "结尾") == {(2, 0)}
+    assert found("开头" + question.replace("哪一", "那一") + "结尾") == {(2, 1)}
+    assert found("name the capitol city of northern Freedonia, please") == {(6, 1)}
+    words = "a few words that stand between spaces and nothing else here " * 9
+    assert " ".join(d.segments(words.strip())) == words.strip()
