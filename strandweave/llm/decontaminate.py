@@ -6,7 +6,9 @@ into k + 1 pieces, one piece must then occur exactly; an Aho-Corasick automaton
 finds all pieces of all items in one pass over a text.  Around every hit the
 item's distance to the best-fitting passage is computed with Myers' bit-parallel
 algorithm.  Long items are split into segments first, each matched as an item of
-its own, so that half an item in a text is found too.
+its own; further segments overlap so that any run of half an item's words holds a
+whole one.  So half an item of 2 * ``LEAST_WORDS`` words or more is found too;
+shorter items must be there as a whole.
 
 Items are taken to the tasks in blocks of bounded size; a larger test set means
 more blocks, each one more pass over the documents.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from strandweave.llm import words as W
 
 #: One edit for so many characters; words of a segment at least; words, or else characters, of an item that may differ at all; characters of items in a block.
-PER_EDIT, SEGMENT, LEAST_WORDS, SHORT, BLOCK = 20, 24, 8, 40, 4 << 20
+PER_EDIT, SEGMENT, LEAST_WORDS, SHORT, BLOCK = 20, 24, 8, 40, 1 << 20
 #: Thai to Tibetan, Myanmar, Khmer, Chinese and Japanese letters, which stand without spaces.
 _JOINED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u312f\u31a0-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 _word, _joined = re.compile(f"[{_JOINED}]{{1,2}}|[^ {_JOINED}]+"), re.compile(f"[{_JOINED}]")
@@ -45,12 +47,17 @@ def reduce(text: str) -> str:
 
 
 def segments(text: str) -> list[str]:
-    """The parts of a reduced item: equal runs of SEGMENT words or more, or the item."""
+    """The parts of a reduced item: equal runs of SEGMENT words or more, or the item; then overlapping ones, of which each half holds one."""
     w = [m.span() for m in _word.finditer(text)]
     if not w:
         return []
     n = max(1, len(w) // SEGMENT)
-    return [text[w[len(w) * i // n][0] : w[len(w) * (i + 1) // n - 1][1]] for i in range(n)]
+    runs, half = [(len(w) * i // n, len(w) * (i + 1) // n) for i in range(n)], len(w) // 2
+    if half >= LEAST_WORDS:
+        step = min(len(w) // 8, half - LEAST_WORDS + 1, SEGMENT // 2)
+        size = min(half - step + 1, SEGMENT)
+        runs += [(a, a + size) for a in range(0, len(w) - size + 1, step)]
+    return [text[w[a][0] : w[b - 1][1]] for a, b in runs]
 
 
 def short(segment: str) -> bool:
