@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a membership filter: 2**24 bits are at most 2**18 rows of 16 bytes, whatever they were made from.
 FILTER_BITS = 24
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of fewer rows than Spark's default unless the session has a number: rows here hold whole texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 class Workspace:
     """A folder of one run's intermediate tables below the shared folder.
 
@@ -40,6 +48,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.path = f"{shared_dir(spark)}/strandweave/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
