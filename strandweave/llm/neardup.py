@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,14 +50,12 @@ TIMES = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2)
 SALT = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(texts: list) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text (bytes or None)."""
-    split = [t.lower().split() if t else [] for t in texts]
-    h = W.hash_words([w for ws in split for w in ws])
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text (string or null)."""
+    h, ends = W.hash_texts(pc.ascii_lower(texts))
     out, at = [], 0
-    for ws in split:
-        own = h[at : at + len(ws)]
-        at += len(ws)
+    for end in ends.tolist():
+        own, at = h[at:end], end
         out.append(np.unique(W.hash_runs(own, min(SHINGLE, len(own)))) if len(own) else own)
     return out
 
@@ -90,7 +89,7 @@ def nibbles(sig: np.ndarray) -> np.ndarray:
 
 def _sign(it):
     for batch in W.batches(it, limit=2 << 20):
-        sets = shingle_sets(W.raw(batch))
+        sets = shingle_sets(batch.column("text"))
         full = [i for i, s in enumerate(sets) if len(s)]
         b, s = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), LONGS), np.int64)
         if full:
@@ -105,14 +104,14 @@ def _sign(it):
 
 def _sets(it):
     for batch in W.batches(it):
-        sets = shingle_sets(W.raw(batch))
+        sets = shingle_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), W.lists(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], ["id", "items"])
 
 
 def sets_of(ws: Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, items) of the documents in ids (id); texts stay where they are read."""
     some = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), membership(ids, "id")).where("_maybe").select("doc_id", "text")
-    return ws.put(some.mapInArrow(_sets, "id long, items array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    return ws.put(some.mapInArrow(W.tidy(_sets), "id long, items array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
 
 def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -135,7 +134,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = ws.put(docs.mapInArrow(_sign, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig array<long>"), "signed")
+    signed = ws.put(docs.mapInArrow(W.tidy(_sign), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig array<long>"), "signed")
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
     classes = ws.put(classes, "classes")

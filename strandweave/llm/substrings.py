@@ -10,11 +10,11 @@ one: there are a thirteenth as many anchors as words.  The first pass counts
 anchors in a count-min sketch for each partition; merging adds them up.  The
 second pass groups exactly those anchors that the sketch estimates to occur
 twice or more, and then the windows of those that do occur in two documents.
-The sketch never underestimates, so no repeated window is lost.  It has a fixed
-size; where it grows full, more anchors reach the exact grouping, up to all of
-them, and the result is the same.
+The sketch never underestimates, so no repeated window is lost.  Its size follows
+the text up to ``MOST_BITS``; beyond that it grows full, more anchors reach the
+exact grouping, up to all of them, and the result is the same.
 
-Window keys have 96 bits.
+Window keys have 96 bits, from two independent hashes of the words.
 
 Defined results: a null text has no words; windows of rows without a doc_id
 count for nothing and such rows are returned whole; a window repeated inside one
@@ -35,11 +35,11 @@ from strandweave.llm import words as W
 from strandweave.runtime import Workspace, maybe_in, membership
 
 WINDOW, ANCHOR = 50, 25
-#: Rows and columns of the sketch; cells saturate at 3, four to a byte: 2 * 2**25 cells are 16 MB.
-ROWS, BITS = 2, 25
-#: Cells of one stored segment of the merged sketch.
-SEGMENT_BITS = 19
-FULL = 3
+#: Rows of the sketch, cells of a row for an anchor, and cells of a row at least and at most (powers of two).
+#: A cell counts up to two in two bits; the tasks get the one that says two: 2 * 2**28 cells are 64 MB.
+ROWS, CELLS, LEAST_BITS, MOST_BITS = 2, 3, 19, 28
+#: Cells of one stored segment of the merged sketch; bytes of text for an anchor, about.
+SEGMENT_BITS, PER_ANCHOR = 19, 80
 
 
 def least_of_each(h: np.ndarray, width: int) -> np.ndarray:
@@ -61,82 +61,76 @@ def anchors(h: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> np.nda
     return least_of_each(W.hash_runs(h, anchor), window - anchor + 1)
 
 
-def cells(a: np.ndarray) -> list[np.ndarray]:
-    """The cell of each key in each row of the sketch."""
-    low = np.uint64((1 << BITS) - 1)
-    return [((a >> np.uint64(7 * r)) * np.uint64(W.BASES[r % 2]) >> np.uint64(64 - BITS)) & low for r in range(ROWS)]
+def cells(a: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The cell of each key in each row of a sketch of 2**bits cells."""
+    return [W.join(a, np.uint64(r)) >> np.uint64(64 - bits) for r in range(ROWS)]
 
 
-def _split(batch) -> tuple[list, list[np.ndarray], np.ndarray]:
-    words = [t.split() if t else [] for t in W.raw(batch)]
-    flat = [w for ws in words for w in ws]
-    at = np.cumsum([0] + [len(ws) for ws in words])
-    return words, at, flat
+def _note(seen: np.ndarray, again: np.ndarray, where: np.ndarray) -> None:
+    """Count cells in two bitmaps: noted once at least, and twice at least."""
+    spots, n = np.unique(where.astype(np.int64), return_counts=True)
+    byte, bit = spots >> 3, np.left_shift(1, spots & 7).astype(np.uint8)
+    more = ((seen[byte] & bit) != 0) | (n > 1)
+    np.bitwise_or.at(again, byte[more], bit[more])
+    np.bitwise_or.at(seen, byte, bit)
 
 
-def _sketch(it):
-    """Of a whole partition: rows (row, segment, packed two-bit counts); empty segments are left out."""
-    size = 1 << BITS
-    counts = None
-    for batch in W.batches(it):
-        words, at, flat = _split(batch)
-        h = W.hash_words(flat)
-        found = [np.unique(anchors(h[at[i] : at[i + 1]])) for i in range(len(words))]
-        found = np.concatenate(found) if found else np.empty(0, np.uint64)
-        if not len(found):
-            continue
-        if counts is None:
-            counts = [np.zeros(size, np.uint8) for _ in range(ROWS)]
-        for c, where in zip(counts, cells(found), strict=True):
-            where = np.sort(where.astype(np.int64))
-            first = np.flatnonzero(np.diff(where, prepend=-1))
-            n = np.diff(first, append=len(where))
-            spots = where[first]
-            c[spots] = np.minimum(c[spots] + np.minimum(n, FULL), FULL)
-    if counts is None:
-        return
-    for r, c in enumerate(counts):
-        for s in range(size >> SEGMENT_BITS):
-            part = c[s << SEGMENT_BITS : (s + 1) << SEGMENT_BITS]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([s], pa.int32()), pa.array([_pack(part)], pa.binary())], ["r", "segment", "cells"])
-
-
-def _pack(counts: np.ndarray) -> bytes:
-    q = counts.reshape(-1, 4)
-    return zstandard.ZstdCompressor(level=1).compress((q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6).tobytes())
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    b = np.frombuffer(zstandard.decompress(packed), np.uint8)
-    return np.stack([b & 3, b >> 2 & 3, b >> 4 & 3, b >> 6], axis=1).ravel()
+def _sketch(bits: int):
+    """Of a whole partition: rows (row, segment, both bitmaps); empty segments are left out."""
 
+    def run(it):
+        maps = None
+        for batch in W.batches(it):
+            h, ends = W.hash_texts(batch.column("text"))
+            found = [np.unique(anchors(own)) for own in np.split(h, ends[:-1]) if len(own) >= WINDOW]
+            if not found:
+                continue
+            if maps is None:
+                maps = [(np.zeros(1 << bits - 3, np.uint8), np.zeros(1 << bits - 3, np.uint8)) for _ in range(ROWS)]
+            for (seen, again), where in zip(maps, cells(np.concatenate(found), bits), strict=True):
+                _note(seen, again, where)
+        width = 1 << SEGMENT_BITS - 3
+        for r, (seen, again) in enumerate(maps or []):
+            for s in range(len(seen) // width):
+                part = seen[s * width : (s + 1) * width]
+                if part.any():
+                    yield _segment((r, s), part, again[s * width : (s + 1) * width])
+
+    return W.tidy(run)
 
-def _merge(it):
-    """Partial sketches in order of segments into one for each segment, one at a time."""
-    key, total = None, None
 
-    def done():
-        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([_pack(total)], pa.binary())], ["r", "segment", "cells"])
+def _segment(key, seen: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([pack(seen.tobytes())], pa.binary()), pa.array([pack(again.tobytes())], pa.binary())], ["r", "segment", "seen", "again"])
 
+
+def _bitmap(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(packed), np.uint8)
+
+
+def _merge(it):
+    """Partial sketches in order of segments into one for each segment, one at a time."""
+    key, seen, again = None, None, None
     for batch in it:
-        for *now, packed in zip(*(batch.column(c).to_pylist() for c in ("r", "segment", "cells")), strict=True):
-            part = _unpack(packed)
+        for *now, x, y in zip(*(batch.column(c).to_pylist() for c in ("r", "segment", "seen", "again")), strict=True):
+            x, y = _bitmap(x), _bitmap(y)
             if now == key:
-                total = np.minimum(total + part, FULL)
+                again |= y | (seen & x)
+                seen |= x
                 continue
             if key is not None:
-                yield done()
-            key, total = now, part.copy()
+                yield _segment(key, seen, again)
+            key, seen, again = now, x.copy(), y.copy()
     if key is not None:
-        yield done()
+        yield _segment(key, seen, again)
 
 
 def _repeats(sketch: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Whether the sketch estimates two or more of each key; sketch has packed rows."""
+    """Whether the sketch estimates two or more of each key; sketch has a bitmap a row."""
     out = np.ones(len(a), bool)
-    for row, where in zip(sketch, cells(a), strict=True):
-        out &= (row[(where >> np.uint64(2)).astype(np.int64)] >> ((where & np.uint64(3)) * np.uint64(2)).astype(np.uint8) & 3) >= 2
+    for row, where in zip(sketch, cells(a, (sketch.shape[1] << 3).bit_length() - 1), strict=True):
+        where = where.astype(np.int64)
+        out &= (row[where >> 3] >> (where & 7).astype(np.uint8) & 1) > 0
     return out
 
 
@@ -146,10 +140,10 @@ def _anchor_runs(shared):
     def run(it):
         sketch = shared.value
         for batch in W.batches(it):
-            _, at, flat = _split(batch)
-            h, ids, out = W.hash_words(flat), batch.column("doc_id").to_pylist(), []
-            for i, doc_id in enumerate(ids):
-                if doc_id is None or not len(a := anchors(h[at[i] : at[i + 1]])):
+            h, ends = W.hash_texts(batch.column("text"))
+            out = []
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), np.split(h, ends[:-1]), strict=True):
+                if doc_id is None or not len(a := anchors(own)):
                     continue
                 first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
                 n = np.diff(first, append=len(a))
@@ -168,10 +162,10 @@ def _anchor_runs(shared):
 def _windows(it):
     """Of documents with runs: (doc_id, print, at, key, check) for each window in a run."""
     for batch in W.batches(it):
-        _, at, flat = _split(batch)
-        h, g = W.hash_words(flat), W.hash_words(flat, W.BASES[1])
-        for i, (doc_id, mark, runs) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "print", "runs")), strict=True)):
-            total = at[i + 1] - at[i] - WINDOW + 1
+        codes, ends, names = W.split(batch.column("text"))
+        both = W.hash_names(names)
+        for own, doc_id, mark, runs in zip(np.split(codes, ends[:-1]), *(batch.column(c).to_pylist() for c in ("doc_id", "print", "runs")), strict=True):
+            total = len(own) - WINDOW + 1
             inside = np.zeros(max(total, 0) + 1, np.int64)
             starts = np.array([r["at"] for r in runs], np.int64)
             stops = starts + np.array([r["n"] for r in runs], np.int64)
@@ -180,7 +174,7 @@ def _windows(it):
             np.add.at(inside, stops[ok], -1)
             spots = np.flatnonzero(np.cumsum(inside)[:-1])
             if len(spots):
-                key, check = (W.hash_runs(x[at[i] : at[i + 1]], WINDOW)[spots] for x in (h, g))
+                key, check = (W.hash_runs(both[own, k], WINDOW)[spots] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(spots), doc_id, np.int64)), pa.array(np.full(len(spots), mark, np.int64)), pa.array(spots.astype(np.int32)), pa.array(key.view(np.int64)), pa.array((check >> np.uint64(32)).astype(np.uint32).view(np.int32))],
                     ["doc_id", "print", "at", "key", "check"],
@@ -216,34 +210,41 @@ def _cut(it):
         )
 
 
+def sketch_bits(n_bytes: int) -> int:
+    """Cells of a row, as a power of two, for so many bytes of text."""
+    return min(max((CELLS * n_bytes // PER_ANCHOR).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 def merged_sketch(ws: Workspace, docs: DataFrame) -> np.ndarray:
-    """The corpus's sketch, ROWS x 2**BITS / 4 packed bytes.
+    """The corpus's sketch: ROWS bitmaps of the cells that count two or more.
 
-    A task's partial sketch goes to the shared folder in compressed segments;
-    a segment's parts are then added up one after the other.  What the driver
-    gets and broadcasts is 16 MB for any input.
+    Its size follows the bytes of text.  A task's partial sketch goes to the
+    shared folder in compressed segments; a segment's parts are then added up one
+    after the other.  What the driver gets and broadcasts is 64 MB at most.
     """
-    kind = "r int, segment int, cells binary"
-    partial = ws.put(docs.select("text").mapInArrow(_sketch, kind), "sketches")
+    bits = sketch_bits(docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0)
+    kind = "r int, segment int, seen binary, again binary"
+    partial = ws.put(docs.select("text").mapInArrow(_sketch(bits), kind), "sketches")
     merged = ws.put(partial.repartition("r", "segment").sortWithinPartitions("r", "segment").mapInArrow(_merge, kind), "sketch")
     ws.drop(partial)
-    out = np.zeros((ROWS, (1 << BITS) >> 2), np.uint8)
-    width = (1 << SEGMENT_BITS) >> 2
-    for row in merged.toLocalIterator():
-        out[row.r, row.segment * width : (row.segment + 1) * width] = np.frombuffer(zstandard.decompress(bytes(row.cells)), np.uint8)
+    out = np.zeros((ROWS, 1 << bits - 3), np.uint8)
+    width = 1 << SEGMENT_BITS - 3
+    for row in merged.select("r", "segment", "again").toLocalIterator():
+        out[row.r, row.segment * width : (row.segment + 1) * width] = _bitmap(bytes(row.again))
     return out
 
 
 def repeated_starts(ws: Workspace, docs: DataFrame) -> DataFrame:
     """(doc_id, print, starts): of each document the first words' numbers of windows that start in an earlier document."""
     shared = docs.sparkSession.sparkContext.broadcast(merged_sketch(ws, docs))
-    found = ws.put(docs.select("doc_id", "text").mapInArrow(_anchor_runs(shared), "doc_id long, at int, n int, anchor long"), "anchors")
+    found = ws.put(docs.select("doc_id", "text").mapInArrow(W.tidy(_anchor_runs(shared)), "doc_id long, at int, n int, anchor long"), "anchors")
     twice = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     runs = ws.put(found.join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "runs")
     some = maybe_in(docs, F.col("doc_id"), membership(runs, "doc_id")).where("_maybe").select("doc_id", "print", "text").join(runs, "doc_id")
-    windows = ws.put(some.mapInArrow(_windows, "doc_id long, print long, at int, key long, check int"), "windows")
+    windows = ws.put(some.mapInArrow(W.tidy(_windows), "doc_id long, print long, at int, key long, check int"), "windows")
     first = windows.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "check", "low")
-    later = windows.join(first, ["key", "check"]).where("doc_id > low")
+    # Written first, and the join has nothing but a filter above it: so adaptive execution splits a window of very many documents.
+    later = ws.put(windows.join(ws.put(first, "first"), ["key", "check"]).where("doc_id > low").select("doc_id", "print", "at"), "later")
     return ws.put(later.groupBy("doc_id", "print").agg(F.collect_set("at").alias("starts")), "starts")
 
 
@@ -259,6 +260,6 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     starts = repeated_starts(ws, docs)
     seen = maybe_in(docs, F.col("doc_id"), membership(starts, "doc_id"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    whole = seen.where("NOT _maybe").select("doc_id", "text").mapInArrow(_whole, kind)
-    cut = seen.where("_maybe").select("doc_id", "print", "text").join(starts, ["doc_id", "print"], "left").select("doc_id", "text", "starts").mapInArrow(_cut, kind)
+    whole = seen.where("NOT _maybe").select("doc_id", "text").mapInArrow(W.tidy(_whole), kind)
+    cut = seen.where("_maybe").select("doc_id", "print", "text").join(starts, ["doc_id", "print"], "left").select("doc_id", "text", "starts").mapInArrow(W.tidy(_cut), kind)
     return whole.union(cut)

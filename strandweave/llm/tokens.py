@@ -3,33 +3,38 @@
 Documents are put in ascending doc_id order over shards; every shard is one
 file.  A file holds the ids as bit planes, most significant bit first: plane l
 has bit l of every id, in the order in which the zeros of the plane above come
-first and then its ones.  Numbers of ones before every 512th bit give rank in
-constant time; so the file answers the id at a place, the number of an id before
-a place and the place of an id's n-th occurrence without being unpacked.
-
-File layout (little-endian): magic ``SWWM0001``; planes u32, documents u64, ids
-u64; the bounds of the documents (documents + 1 times u64); the documents' ids
-(i64, with a byte each for null); for each plane the number of zeros u64, the
-packed bits (bit i of byte j is position 8 j + i) and the counts of ones u32.
-Then everything after the magic is one zstandard frame.
-
-A text's ids are those the tokenizers library gives for the whole text.  In this
-vocabulary nothing reaches over white space or from letters into punctuation, so
-every distinct word goes to the library once and is remembered; of words of Latin
-letters with punctuation behind, either part.
+first and then its ones.  The file answers the id at a place, the number of an id
+before a place and the place of an id's n-th occurrence; for that it unpacks a
+block of a plane or two and never the whole.
+
+File layout (little-endian): magic ``SWWM0002``; planes u32, bits of a block u32,
+documents u64, ids u64, blocks of a plane u64; the zeros of each plane u64; the
+ones before each block of each plane u64; the place of every frame in the file
+u64 and the end of the last.  Then zstandard frames: the bounds of the documents
+(documents + 1 times u64), their ids (i64), a byte each for null ids, and each
+block of each plane (bit i of byte j is position 8 j + i).
+
+A text's ids are those the tokenizers library gives for the whole text.  Where
+the vocabulary's file asks for the steps in ``STEPS``, nothing reaches over white
+space or from letters into punctuation; then every distinct word goes to the
+library once in a while and is remembered, and words of Latin letters go there in
+lower case and without the steps that change nothing in them.  With other steps
+whole texts are encoded.
 
 Defined results: null text is empty and has the end id only; null doc_ids come
-first; rows with the same doc_id follow by text; an empty table makes no file.
+first; rows with the same doc_id follow by text; an empty table makes no file;
+files that are not in the table of shards are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import struct
 import uuid
 import zlib
-from array import array
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,121 +42,157 @@ import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from strandweave.llm import words as W
-from strandweave.runtime import Workspace
+from strandweave.runtime import Workspace, running_total
 
-MAGIC, RANK = b"SWWM0001", 512
+#: Bits of a block of a plane: what one look-up unpacks.
+MAGIC, HEAD, BLOCK = b"SWWM0002", "<IIQQQ", 1 << 15
 END = 2
-#: Bytes of text in a shard, on average; words as written, and their encoded parts, that a worker remembers.
-SHARD, WORDS, PARTS = 24 << 20, 500_000, 900_000
+#: Bytes of text in a shard, on average; of text encoded at once; words that a worker remembers.
+SHARD, PIECE, KNOWN = 24 << 20, 4 << 20, 400_000
+#: The normalizer and pre-tokenizer under which words may be encoded one by one.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: Latin letters but for those without a case or form of their own, then visible ASCII but for ' and <.
-_plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=-@\\[-`{-~]*)").fullmatch
+#: An apostrophe behind letters may begin a contraction, a < a special token: such words stay whole.
+PLAIN = "^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:;=-@\\[-`{-~]*)$"
 
 
 class Encoder:
     """Token ids of whole texts."""
 
-    def __init__(self, vocabulary: str, end: int = END):
+    def __init__(self, vocabulary: str, end: int = END, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_str(vocabulary)
-        self._end = array("I", [end]).tobytes()
-        self._known: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-
-    def _encode(self, strings: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-
-    def _learn(self, fresh: list[str]) -> None:
-        known, have, cut, need = self._known, self._parts, [], set()
-        for w in fresh:
-            m = _plain(w)
-            # An apostrophe behind letters may begin a contraction, a < a special token: such words stay whole.
-            head, tail = (m[1].lower(), m[2]) if m else (w, "")
-            cut.append((w, head, tail))
-            need.add(head)
-            if tail:
-                need.add(tail)
-        need = list(need.difference(have))
-        have.update(zip(need, self._encode(need), strict=True))
-        for w, head, tail in cut:
-            known[w] = have[head] + have[tail] if tail else have[head]
+        made = json.loads(vocabulary)
+        self.by_word = all(made[k] == v for k, v in STEPS.items()) and all(x["special"] and not x["single_word"] and not x["lstrip"] and not x["rstrip"] and x["content"][:1] == "<" and not set(x["content"]) & set(" \t\n\v\f\r") for x in made["added_tokens"])
+        self._whole = Tokenizer.from_str(vocabulary)
+        # For lower-case letters all other steps change nothing.
+        self._letters = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": STEPS["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []})) if self.by_word else None
+        self._end, self._most = end, known
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[str, int] = {}
+        self._starts, self._ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def _learn(self, strings: list[str], letters: list[bool]) -> None:
+        fresh = [s for s, x in zip(strings, letters, strict=True) if x], [s for s, x in zip(strings, letters, strict=True) if not x]
+        ids = [e.ids for coder, own in zip((self._letters, self._whole), fresh, strict=True) for e in coder.encode_batch_fast(own, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._number.update(zip(chain(*fresh), range(len(self._number), len(self._number) + len(strings)), strict=True))
+        self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
+        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+
+    def _numbers(self, strings: pa.Array, letters: np.ndarray) -> np.ndarray:
+        """Each string's number among the known; letters says which go without the steps."""
+        names = strings.to_pylist()
+        out = np.fromiter(map(self._number.get, names, [-1] * len(names)), np.int64, len(names))
+        if len(fresh := np.flatnonzero(out < 0)):
+            own = [names[i] for i in fresh]
+            self._learn(own, letters[fresh].tolist())
+            out[fresh] = np.fromiter(map(self._number.__getitem__, own), np.int64, len(own))
+        return out
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with the end id behind each, number of ids of each); null is empty."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-        ends = words.offsets.to_numpy()[1:].astype(np.int64) - words.offsets[0].as_py()
-        flat = words.flatten().dictionary_encode()
-        names = flat.dictionary.to_pylist()
-        if len(self._known) > WORDS:
-            self._known.clear()
-        if len(self._parts) > PARTS:
-            self._parts.clear()
-        known = self._known
-        if fresh := [w for w in names if w not in known]:
-            self._learn(fresh)
-        values = [known[w] for w in names] + [self._end]
-        codes = np.insert(flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), ends, len(names))
-        size = np.array([len(v) >> 2 for v in values], np.int64)
-        start = np.cumsum(size) - size
-        each = size[codes]
-        stop = np.cumsum(each)
-        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(start[codes] - (stop - each), each) + np.arange(stop[-1] if len(stop) else 0)]
-        last = stop[ends + np.arange(len(ends))]
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            ids = [np.array([*e.ids, self._end], np.uint32) for e in self._whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.array([len(x) for x in ids], np.int64)
+        codes, ends, names = W.split(texts)
+        if len(self._number) > self._most:
+            self._forget()
+        cut = pc.extract_regex(names, PLAIN)
+        plain = cut.is_valid()
+        head = pc.if_else(plain, pc.utf8_lower(pc.struct_field(cut, "head")), names).dictionary_encode()
+        tail = pc.if_else(plain, pc.struct_field(cut, "tail"), "").dictionary_encode()
+        letters = np.zeros(len(head.dictionary), bool)
+        letters[head.indices.to_numpy()] = plain.to_numpy(zero_copy_only=False)
+        first = self._numbers(head.dictionary, letters)[head.indices.to_numpy()]
+        second = self._numbers(tail.dictionary, np.zeros(len(tail.dictionary), bool))[tail.indices.to_numpy()]
+        starts, size = self._starts, np.diff(self._starts)
+        # Each distinct word's ids in one row, then the end id's.
+        own = np.empty(2 * len(names) + 1, np.int64)
+        own[:-1:2], own[1::2] = size[first], size[second]
+        own[-1] = 1
+        stop = np.cumsum(own)
+        of_word = np.empty(stop[-1], np.uint32)
+        of_word[-1] = self._end
+        at = np.empty(2 * len(names), np.int64)
+        at[::2], at[1::2] = starts[first], starts[second]
+        of_word[:-1] = self._ids[_spread(at, own[:-1])]
+        start = np.concatenate([[0], stop[1::2]])
+        each = np.diff(np.append(start, stop[-1]))
+        codes = np.insert(codes, ends, len(names))
+        n = each[codes]
+        ids = of_word[_spread(start[codes], n)]
+        last = np.cumsum(n)[ends + np.arange(len(ends))]
         return ids, np.diff(last, prepend=0)
 
 
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then the same of the next."""
+    stop = np.cumsum(sizes)
+    return np.repeat(starts - (stop - sizes), sizes) + np.arange(stop[-1] if len(stop) else 0)
+
+
 class WaveletMatrix:
-    """Access, rank and select over ids; built from an array or from planes."""
+    """Access, rank and select over ids, by blocks of packed planes.
+
+    ``block(level, k)`` gives the bytes of a plane's k-th block and ``ones[level][k]``
+    the ones before it.
+    """
 
-    def __init__(self, zeros: list[int], bits: list[np.ndarray], ones: list[np.ndarray], n: int):
-        self.zeros, self.bits, self.ones, self.n = zeros, bits, ones, n
+    def __init__(self, n: int, zeros: np.ndarray, ones: np.ndarray, block, bits: int = BLOCK):
+        self.n, self.zeros, self.ones, self.block, self.bits = n, [int(z) for z in zeros], ones, block, bits
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
         now = ids.astype(np.uint16 if planes <= 16 else np.uint32)
-        zeros, bits, ones = [], [], []
+        blocks, zeros, ones, kept = -(-len(ids) // BLOCK), [], [], []
         for level in range(planes):
-            b = ((now >> (planes - 1 - level)) & 1).astype(bool)
+            b = (now & now.dtype.type(1 << (planes - 1 - level))) != 0
             packed = np.packbits(b, bitorder="little")
-            zeros.append(int(len(b) - b.sum()))
-            bits.append(packed)
-            ones.append(cls._counts(packed))
+            cuts = np.arange(blocks) * (BLOCK >> 3)
+            each = np.add.reduceat(np.bitwise_count(packed), cuts, dtype=np.int64) if blocks else np.empty(0, np.int64)
+            ones.append(np.concatenate([[0], np.cumsum(each)])[:blocks])
+            zeros.append(len(b) - int(each.sum()))
+            kept.append(packed)
             now = np.concatenate([now[~b], now[b]])
-        return cls(zeros, bits, ones, len(ids))
-
-    @staticmethod
-    def _counts(packed: np.ndarray) -> np.ndarray:
-        per = np.bitwise_count(packed).astype(np.uint32)
-        blocks = np.add.reduceat(per, np.arange(0, len(per), RANK // 8)) if len(per) else per
-        return np.concatenate([[0], np.cumsum(blocks)]).astype(np.uint32)
-
-    def _bit(self, level: int, i: int) -> int:
-        return int(self.bits[level][i >> 3] >> (i & 7) & 1)
+        return cls(len(ids), np.array(zeros), np.array(ones).reshape(planes, blocks), lambda level, k: kept[level][k * (BLOCK >> 3) : (k + 1) * (BLOCK >> 3)])
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        block = i // RANK
-        out, byte = int(self.ones[level][block]), block * RANK >> 3
-        out += int(np.bitwise_count(self.bits[level][byte : i >> 3]).sum())
-        return out + (int(self.bits[level][i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        if i >= self.n:
+            return self.n - self.zeros[level]
+        k, inside = divmod(i, self.bits)
+        block = self.block(level, k)
+        out = int(self.ones[level][k]) + int(np.bitwise_count(block[: inside >> 3]).sum(dtype=np.int64))
+        return out + (int(block[inside >> 3] & ((1 << (inside & 7)) - 1)).bit_count() if inside & 7 else 0)
+
+    def _bit(self, level: int, i: int) -> int:
+        k, inside = divmod(i, self.bits)
+        return int(self.block(level, k)[inside >> 3] >> (inside & 7) & 1)
 
     def _select(self, level: int, bit: int, k: int) -> int:
         """The place of the k-th (from 0) such bit of a plane."""
-        low, high = 0, self.n
-        while low < high:
-            mid = (low + high) // 2
-            have = self._rank1(level, mid + 1)
-            if (have if bit else mid + 1 - have) > k:
-                high = mid
-            else:
-                low = mid + 1
-        return low
+        before = self.ones[level] if bit else np.arange(len(self.ones[level])) * self.bits - self.ones[level]
+        b = int(np.searchsorted(before, k, "right")) - 1
+        inside = np.unpackbits(self.block(level, b), bitorder="little") == bit
+        return b * self.bits + int(np.flatnonzero(inside)[k - int(before[b])])
 
     def access(self, i: int) -> int:
         """The id at place i."""
@@ -191,13 +232,17 @@ class WaveletMatrix:
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
+    def plane(self, level: int) -> np.ndarray:
+        parts = [self.block(level, k) for k in range(self.ones.shape[1])]
+        return np.concatenate(parts) if parts else np.empty(0, np.uint8)
+
     def ids(self) -> np.ndarray:
         """All ids, from the last plane up."""
         planes = len(self.zeros)
         kind = np.uint16 if planes <= 16 else np.uint32
         out = np.zeros(self.n, kind)
         for level in reversed(range(planes)):
-            b = np.unpackbits(self.bits[level], count=self.n, bitorder="little").view(bool)
+            b = np.unpackbits(self.plane(level), count=self.n, bitorder="little").view(bool)
             above = np.empty(self.n, kind)
             above[~b] = out[: self.zeros[level]]
             above[b] = out[self.zeros[level] :] | kind(1 << (planes - 1 - level))
@@ -206,45 +251,70 @@ class WaveletMatrix:
 
 
 def to_file(matrix: WaveletMatrix, bounds: np.ndarray, doc_ids: list) -> bytes:
-    parts = [struct.pack("<IQQ", len(matrix.zeros), len(doc_ids), matrix.n), np.asarray(bounds, "<u8").tobytes()]
-    parts += [np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids)]
-    for zeros, bits, ones in zip(matrix.zeros, matrix.bits, matrix.ones, strict=True):
-        parts += [struct.pack("<Q", zeros), bits.tobytes(), ones.astype("<u4").tobytes()]
-    return MAGIC + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def from_file(data: bytes) -> tuple[WaveletMatrix, np.ndarray, list]:
-    """(matrix, bounds, doc_ids) of a file's bytes."""
-    if data[: len(MAGIC)] != MAGIC:
-        raise ValueError("not a token file")
-    body = zstandard.ZstdDecompressor().decompress(data[len(MAGIC) :])
-    planes, docs, n = struct.unpack_from("<IQQ", body)
-    at = 20
-
-    def take(kind, count):
-        nonlocal at
-        out = np.frombuffer(body, kind, count, at)
-        at += out.nbytes
-        return out
+    pack = zstandard.ZstdCompressor(level=1).compress
+    planes, blocks = matrix.ones.shape
+    frames = [pack(np.asarray(bounds, "<u8").tobytes()), pack(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()), pack(bytes(d is None for d in doc_ids))]
+    frames += [pack(matrix.block(level, k).tobytes()) for level in range(planes) for k in range(blocks)]
+    head = MAGIC + struct.pack(HEAD, planes, matrix.bits, len(doc_ids), matrix.n, blocks) + np.array(matrix.zeros, "<u8").tobytes() + matrix.ones.astype("<u8").tobytes()
+    places = len(head) + 8 * (len(frames) + 1) + np.concatenate([[0], np.cumsum([len(f) for f in frames])])
+    return b"".join([head, places.astype("<u8").tobytes(), *frames])
+
+
+class TokenFile(WaveletMatrix):
+    """A stored matrix, its documents' bounds and ids; read(start, stop) gives bytes of the file.
+
+    Only the head is read at once.  ``kept`` unpacked blocks are remembered.
+    """
+
+    def __init__(self, read, kept: int = 64):
+        size = len(MAGIC) + struct.calcsize(HEAD)
+        head = bytes(read(0, size))
+        if head[: len(MAGIC)] != MAGIC:
+            raise ValueError("not a token file")
+        planes, bits, self.docs, n, blocks = struct.unpack_from(HEAD, head, len(MAGIC))
+        rest = np.frombuffer(read(size, size + 8 * (planes + planes * blocks + 4 + planes * blocks)), "<u8").astype(np.int64)
+        zeros, ones, self._places = np.split(rest, [planes, planes + planes * blocks])
+        self._read = read
+        block = lru_cache(kept)(lambda level, k: np.frombuffer(self._frame(3 + level * blocks + k), np.uint8))
+        super().__init__(n, zeros, ones.reshape(planes, blocks), block, bits)
 
-    bounds, ids, nulls = take("<u8", docs + 1), take("<i8", docs), take("u1", docs)
-    zeros, bits, ones = [], [], []
-    size = -(-n // 8)
-    for _ in range(planes):
-        zeros.append(int(take("<u8", 1)[0]))
-        bits.append(take("u1", size))
-        ones.append(take("<u4", -(-size // (RANK // 8)) + 1))
-    return WaveletMatrix(zeros, bits, ones, n), bounds, [None if z else int(i) for i, z in zip(ids, nulls, strict=True)]
+    def _frame(self, k: int) -> bytes:
+        return zstandard.ZstdDecompressor().decompress(bytes(self._read(int(self._places[k]), int(self._places[k + 1]))))
+
+    def bounds(self) -> np.ndarray:
+        return np.frombuffer(self._frame(0), "<u8").astype(np.int64)
+
+    def doc_ids(self) -> list:
+        ids, nulls = np.frombuffer(self._frame(1), "<i8"), self._frame(2) if self.docs else b""
+        return [None if z else int(i) for i, z in zip(ids, nulls, strict=True)]
+
+    @classmethod
+    def of(cls, data: bytes) -> TokenFile:
+        view = memoryview(data)
+        return cls(lambda start, stop: view[start:stop])
+
+    @classmethod
+    def open(cls, uri: str) -> TokenFile:
+        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
+        f = fs.open_input_file(path)
+        return cls(lambda start, stop: f.read_at(stop - start, start))
 
 
 def put_file(uri: str, data: bytes) -> None:
-    """Write under another name, then move: a repeated task leaves the same whole file."""
+    """Write under a hidden name, then move: a repeated task leaves the same whole file."""
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}.tmp"
+    folder = path.rpartition("/")[0]
+    fs.create_dir(folder, recursive=True)
+    own = f"{folder}/_{uuid.uuid4().hex}.part"
     with fs.open_output_stream(own) as f:
         f.write(data)
-    fs.move(own, path)
+    try:
+        fs.move(own, path)
+    except OSError:  # some file systems don't move onto a file, here one that an earlier attempt of this task has left
+        if fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound:
+            raise
+        fs.delete_file(path)
+        fs.move(own, path)
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -252,7 +322,7 @@ _encoders: dict[tuple, Encoder] = {}
 
 def _encoder(vocabulary: str, end: int) -> Encoder:
     """The worker's encoder, with what it remembers from earlier tasks."""
-    key = (zlib.crc32(vocabulary.encode()), end)
+    key = (zlib.crc32(vocabulary.encode()), len(vocabulary), end)
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(vocabulary, end)
@@ -267,7 +337,7 @@ def _write(folder: str, vocabulary, end: int):
 
         encode = _encoder(vocabulary.value, end)
         doc_ids, sizes, parts = [], [], []
-        for batch in W.batches(it, limit=16 << 20):
+        for batch in W.batches(it, limit=PIECE):
             ids, n = encode(batch.column("text"))
             doc_ids += batch.column("doc_id").to_pylist()
             sizes.append(n)
@@ -277,11 +347,11 @@ def _write(folder: str, vocabulary, end: int):
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}.swwm"
         all_ids = np.concatenate(parts)
-        del parts
+        parts.clear()
         put_file(path, to_file(WaveletMatrix.build(all_ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), doc_ids))
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(doc_ids)], pa.int64()), pa.array([len(all_ids)], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
-    return run
+    return W.tidy(run)
 
 
 def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END, shard_bytes: int = SHARD) -> DataFrame:
@@ -300,23 +370,23 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end: int = END, shard_b
 
 def _read(it):
     for batch in it:
-        for shard, data in zip(batch.column("shard").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            matrix, bounds, doc_ids = from_file(data)
-            ids, bounds = matrix.ids(), bounds.astype(np.int64)
+        for shard, data in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+            stored = TokenFile.of(data.as_buffer())
+            ids, bounds = stored.ids(), stored.bounds()
             raw = memoryview(ids).cast("B")
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids, pa.int64()), pa.array([shard] * len(doc_ids), pa.int32()), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                [pa.array(stored.doc_ids(), pa.int64()), pa.array(np.full(stored.docs, shard, np.int32)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                 ["doc_id", "shard", "inside", "n_tokens", "ids_crc32"],
             )
 
 
 def read(spark, folder: str, shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, shard) of every document, from the files of write()'s result."""
-    before = Over.orderBy("shard").rowsBetween(Over.unboundedPreceding, -1)
-    starts = shards.select(F.col("shard").alias("s"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"shard-(\d+)\.swwm$", 1).cast("int").alias("shard"), "content")
-    rows = files.mapInArrow(_read, "doc_id long, shard int, inside long, n_tokens long, ids_crc32 long")
+    starts = running_total(Workspace(spark, "shards"), shards, ["shard"], F.col("n_ids"), "base").select(F.col("shard").alias("s"), "base")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.swwm").load(folder)
+    files = found.select(F.regexp_extract("path", r"shard-(\d+)\.swwm$", 1).cast("int").alias("shard"), "content")
+    rows = files.mapInArrow(W.tidy(_read), "doc_id long, shard int, inside long, n_tokens long, ids_crc32 long")
     return rows.join(starts, F.col("shard") == F.col("s")).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "shard")
 
 

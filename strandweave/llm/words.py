@@ -1,22 +1,23 @@
-"""Words of whole texts and 64-bit hashes of words and word sequences, vectorised over many documents.
+"""Words of whole texts and hashes of words and word sequences, vectorised over many documents.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which is what
-``bytes.split()`` gives.  Hashes are polynomials modulo 2**64 that are mixed
-afterwards; all work on whole texts, in pieces of bounded size.
+``bytes.split()`` gives.  Every distinct word of a batch is hashed once, with a
+seeded 128-bit xxhash of its bytes, whose two halves serve as independent hashes.
+Hashes of word sequences are put together pairwise, each time with a full mixing,
+so that no arrangement of words cancels out.
 """
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-#: Bytes hashed at once.
-PIECE = 1 << 20
-#: Odd multipliers of two independent word hashes.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-STEP = 0xD6E8FEB86659FD93
-_tables: dict = {}
+SEED = 0x9E3779B97F4A7C15
+STEP, FLIP = 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -28,72 +29,76 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
-    if base not in _tables:
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(PIECE + 1, b, np.uint64)
-            p[0] = 1
-            out.append(np.cumprod(p))
-        _tables[base] = tuple(out)
-    return _tables[base]
-
-
-def _hash_piece(piece: bytes, base: int) -> np.ndarray:
-    """Hashes of the words of a piece in which each word is followed by one space."""
-    up, down = _powers(base)
-    a = np.frombuffer(piece, np.uint8)
-    ends = np.flatnonzero(a == 32)
-    starts = np.empty_like(ends)
-    starts[:1], starts[1:] = 0, ends[:-1] + 1
-    total = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum(up[: len(a)] * (a.astype(np.uint64) + np.uint64(1)), out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(STEP))
-
-
-def _hash_long(word: bytes, base: int) -> int:
-    """A word of PIECE bytes or more; such words have this hash everywhere."""
-    h = 0
-    for i in range(0, len(word), PIECE - 1):
-        h = (h * STEP + int(_hash_piece(word[i : i + PIECE - 1].replace(b" ", b"_") + b" ", base)[0])) % (1 << 64)
-    return h
+def split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes, ends, names): each word's place in names, text after text; where each text's words end; distinct words."""
+    found = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    ends = found.offsets.to_numpy().astype(np.int64)
+    ends = ends[1:] - ends[0]
+    flat = found.flatten().dictionary_encode()
+    codes, names = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), flat.dictionary
+    # White space at either end of a text gives an empty string.
+    if (empty := pc.index(names, pa.scalar("", names.type)).as_py()) >= 0:
+        keep = codes != empty
+        ends = np.concatenate([[0], np.cumsum(keep)])[ends]
+        codes = codes[keep]
+    return codes, ends, names
 
 
-def hash_words(words: list[bytes], base: int = BASES[0]) -> np.ndarray:
-    """A uint64 for each word."""
-    text = b" ".join(words) + b" " if words else b""
-    out, at = [], 0
-    while at < len(text):
-        if len(text) - at <= PIECE:
-            cut = len(text)
-        elif (cut := text.rfind(b" ", at, at + PIECE) + 1) <= at:
-            cut = text.index(b" ", at) + 1
-            out.append(np.array([_hash_long(text[at : cut - 1], base)], np.uint64))
-            at = cut
-            continue
-        out.append(_hash_piece(text[at:cut], base))
-        at = cut
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def hash_names(names: pa.Array) -> np.ndarray:
+    """(names, 2) uint64: two independent hashes of each."""
+    digest = xxhash.xxh3_128_digest
+    found = b"".join([digest(w, SEED) for w in names.cast(pa.binary()).to_pylist()])
+    return np.frombuffer(found, "<u8").reshape(-1, 2)
+
+
+def hash_texts(texts: pa.Array, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, where each text's end)."""
+    codes, ends, names = split(texts)
+    return np.ascontiguousarray(hash_names(names)[:, which])[codes], ends
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs; the order counts."""
+    return mix(a * np.uint64(STEP) + (b ^ np.uint64(FLIP)))
 
 
 def hash_runs(h: np.ndarray, k: int) -> np.ndarray:
     """A hash for each run of k consecutive items of h; len(h)-k+1 of them."""
     if len(h) < k:
         return np.empty(0, np.uint64)
-    n, power, run, size = len(h) - k + 1, STEP, h, 1
-    out, have = None, 0
+    n, run, size, out, have = len(h) - k + 1, h, 1, None, 0
     while True:
         if k & size:
-            step = pow(STEP, size, 1 << 64)
             part = run[have : have + n]
-            out = part.copy() if out is None else out * np.uint64(step) + part
+            out = part.copy() if out is None else join(out, part)
             have += size
         if have == k:
-            return mix(out)
-        run = run[:-size] * np.uint64(pow(power, size, 1 << 64)) + run[size:]
+            return out
+        run = join(run[:-size], run[size:])
         size *= 2
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back, so that a worker that lives on doesn't keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function for mapInArrow that leaves a small worker behind."""
+
+    def tidied(it):
+        try:
+            yield from run(it)
+        finally:
+            release()
+
+    return tidied
+
+
 def batches(it, column: str = "text", limit: int = 4 << 20):
     """Record batches cut so that each holds about ``limit`` bytes of text or a single row."""
     for batch in it:

@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 
 from strandweave.llm import neardup, words
 
@@ -61,14 +62,27 @@ def test_both_ends_estimate_similarity():
     assert (s[:, :, 0] <= s[:, :, 1]).all()
 
 
-def test_word_hashes_do_not_depend_on_their_place():
-    w = [b"alpha", b"b", b"gamma" * 300_000, b"alpha", b"b"]
-    h = words.hash_words(w)
+def test_words_are_those_of_split_and_hashes_do_not_depend_on_their_place():
+    texts = ["  alpha b " + "gamma" * 300_000 + "\x0b\talpha\nb", None, "", " \n", "x\x1cy\x85z b", "É"]
+    codes, ends, names = words.split(pa.array(texts).slice(0))
+    found = [[names[c].as_py() for c in own] for own in np.split(codes, ends[:-1])]
+    assert found == [[w.decode() for w in (t or "").encode().split()] for t in texts]
+    h, _ = words.hash_texts(pa.array(texts[:1]))
     assert h[0] == h[3] and h[1] == h[4] and len(set(h.tolist())) == 3
     runs = words.hash_runs(h, 2)
     assert runs[0] == runs[3] and len(set(runs.tolist())) == 3
 
 
+def test_words_in_mirrored_patterns_are_told_apart(spark):
+    mirror = str.maketrans("ab", "ba")
+    t = "a"
+    for _ in range(10):
+        t += t.translate(mirror)
+    letters = " ".join(t[:64])
+    docs = [(1, t), (2, t.translate(mirror)), (3, letters), (4, "q " + letters.translate(mirror)), (5, " ".join(t[:4])), (6, " ".join(t[:4]).translate(mirror))]
+    assert run(spark, docs) == brute(docs)
+
+
 def test_keep_one_keeps_one_row_and_all_columns(spark):
     t = " ".join(f"w{i}" for i in range(60))
     rows = [(1, t, "en", "s", "k"), (2, t, "en", "s", "k"), (3, t + " more", "en", "s", "k"), (4, "else " + t[:40], "en", "s", "k"), (4, "else " + t[:40], "en", "s", "k"), (None, t, "en", "s", "k")]

@@ -50,25 +50,39 @@ def test_matches_brute_force_on_documents(spark, sf_dir):
 
 
 def test_a_full_sketch_loses_nothing(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "merged_sketch", lambda ws, docs: np.full((substrings.ROWS, (1 << substrings.BITS) >> 2), 255, np.uint8))
+    monkeypatch.setattr(substrings, "merged_sketch", lambda ws, docs: np.full((substrings.ROWS, 1 << 16), 255, np.uint8))
     t = " ".join(f"w{i}" for i in range(70))
     docs = [(1, t), (2, "x " + t), (3, " ".join(f"v{i}" for i in range(90)))]
     assert run(spark, docs) == brute(docs)
 
 
 def test_sketch_counts_are_never_too_low():
-    rng = np.random.default_rng(2)
-    a = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
-    parts = [np.zeros((substrings.ROWS, 1 << substrings.BITS), np.uint8) for _ in range(2)]
+    a, bits = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64), 19
+    parts = [[(np.zeros(1 << bits - 3, np.uint8), np.zeros(1 << bits - 3, np.uint8)) for _ in range(substrings.ROWS)] for _ in range(2)]
     for p, keys in zip(parts, (a, a[:1000]), strict=True):
-        for c, where in zip(p, substrings.cells(keys), strict=True):
-            np.add.at(c, where.astype(np.int64), 1)
-    total = np.minimum(parts[0] + parts[1], 3)
-    packed = np.stack([(q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6) for q in (row.reshape(-1, 4) for row in total)])
-    said = substrings._repeats(packed, a)
+        for (seen, again), where in zip(p, substrings.cells(keys, bits), strict=True):
+            substrings._note(seen, again, where)
+    rows = [substrings._segment((r, 0), *p[r]) for r in range(substrings.ROWS) for p in parts]
+    merged = [substrings._bitmap(b.column("again")[0].as_py()) for b in substrings._merge(rows)]
+    said = substrings._repeats(np.stack(merged), a)
     assert said[:1000].all() and said[1000:].mean() < 0.05
 
 
+def test_sketch_grows_with_the_text():
+    assert [substrings.sketch_bits(n) for n in (0, 10**6, 10**9, 10**10, 10**14)] == [19, 19, 26, 28, 28]
+
+
+def test_words_in_mirrored_patterns_are_told_apart(spark):
+    mirror = str.maketrans("ab", "ba")
+    t = "a"
+    for _ in range(10):
+        t += t.translate(mirror)
+    left, right = " ".join(f"l{i}" for i in range(25)), " ".join(f"r{i}" for i in range(25))
+    letters = " ".join(t[:64])
+    docs = [(1, f"{left} {t} {right}"), (2, f"{left} {t.translate(mirror)} {right}"), (3, letters), (4, letters.translate(mirror)), (5, f"{left} {t} {right}")]
+    assert run(spark, docs) == brute(docs)
+
+
 def test_least_of_each():
     h = np.random.default_rng(0).integers(0, 1000, 90)
     assert substrings.least_of_each(h, 26).tolist() == [h[i : i + 26].min() for i in range(65)]

@@ -40,8 +40,8 @@ def test_encoder_equals_the_library(library, encoder, parts):
 def test_wavelet_matrix(ids):
     a = np.array(ids, np.uint32)
     bounds, docs = np.array([0, len(a)], np.uint64), [None]
-    m, got_bounds, got_docs = tokens.from_file(tokens.to_file(tokens.WaveletMatrix.build(a), bounds, docs))
-    assert m.ids().tolist() == ids and got_bounds.tolist() == bounds.tolist() and got_docs == docs
+    m = tokens.TokenFile.of(tokens.to_file(tokens.WaveletMatrix.build(a), bounds, docs))
+    assert m.ids().tolist() == ids and m.bounds().tolist() == bounds.tolist() and m.doc_ids() == docs
     for i in {0, len(a) // 3, len(a) - 1} if len(a) else ():
         assert m.access(i) == ids[i]
         for v in {ids[i], 2, 77}:
@@ -72,3 +72,50 @@ def test_several_shards_and_empty_table(spark, tmp_path):
     got = tokens.read(spark, f"file://{tmp_path}/t", shards).orderBy("doc_id").collect()
     assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
     assert tokens.tokenize(spark.createDataFrame([], SCHEMA), PATH).collect() == []
+
+
+def test_a_look_up_unpacks_few_blocks(tmp_path):
+    ids = np.random.default_rng(4).integers(0, 49_408, 1 << 19).astype(np.uint32)
+    tokens.put_file(f"file://{tmp_path}/x.swwm", tokens.to_file(tokens.WaveletMatrix.build(ids), np.array([0, len(ids)]), [7]))
+    m, got = tokens.TokenFile.open(f"file://{tmp_path}/x.swwm"), []
+    read = m._read
+    m._read = lambda start, stop: got.append(stop - start) or read(start, stop)
+    for i in (0, 300_000, len(ids) - 1):
+        assert m.access(i) == ids[i]
+    assert sum(got) < 3 * 16 * 2 * (tokens.BLOCK >> 3) < (tmp_path / "x.swwm").stat().st_size / 2
+    v = int(ids[300_000])
+    where = np.flatnonzero(ids == v)
+    assert m.count(v) == len(where) and [m.select(v, k) for k in range(len(where))] == where.tolist() and m.rank(v, 300_000) == (where < 300_000).sum()
+
+
+def test_files_left_behind_do_no_harm(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"text number {k}", 1, "x") for k in range(50)], SCHEMA)
+    folder = f"{tmp_path}/t"
+    shards = tokens.write(df, f"file://{folder}", PATH, shard_bytes=300).persist()
+    want = sorted(tuple(r) for r in tokens.read(spark, f"file://{folder}", shards).collect())
+    data = open(f"{folder}/shard-000000.swwm", "rb").read()
+    for name in ("_0f.part", "shard-000000.swwm.0f.tmp", "shard-000077.swwm"):  # a killed task's, another format's, a longer run's
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data if name.endswith("swwm") else b"half")
+    tokens.put_file(f"file://{folder}/shard-000000.swwm", data)  # a task that runs again
+    assert sorted(tuple(r) for r in tokens.read(spark, f"file://{folder}", shards).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_vocabularies_encode_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    encoder, library = tokens.Encoder(open(path, encoding="utf-8").read(), end=50_256), Tokenizer.from_file(path)
+    texts = ["Two  words", " lead", "", "Tab\tand\nline ", "it's ÉTÉ"]
+    ids, n = encoder(pa.array([*texts, None]))
+    assert not encoder.by_word
+    assert ids.tolist() == [i for t in [*texts, ""] for i in [*library.encode(t, add_special_tokens=False).ids, 50_256]] and n.sum() == len(ids)
+
+
+def test_forgetting_changes_nothing():
+    texts = pa.array([f"word{i} Word{i}! été{i % 7}, {i}" for i in range(300)])
+    vocabulary = open(PATH, encoding="utf-8").read()
+    a, b = tokens.Encoder(vocabulary), tokens.Encoder(vocabulary, known=10)
+    for k in range(0, 300, 50):
+        assert a(texts.slice(k, 50))[0].tolist() == b(texts.slice(k, 50))[0].tolist()
