@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import words as W
+from strandweave.runtime import small_batches
 
 #: One edit for so many characters; words of a segment at least; words, or else characters, of an item that may differ at all; characters of items in a block.
 PER_EDIT, SEGMENT, LEAST_WORDS, SHORT, BLOCK = 20, 24, 8, 40, 1 << 20
@@ -217,15 +218,17 @@ def _clean(shared):
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, segment, distance) of every item's segment that a document holds."""
     spark, kind = docs.sparkSession, "doc_id long, item_id long, segment int, distance int"
+    small_batches(spark)
     rows, out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), None
     for block in blocks(items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
-        found = rows.mapInArrow(_find(_Shared(spark, block)), kind)
+        found = rows.mapInArrow(W.tidy(_find(_Shared(spark, block))), kind)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], kind)
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that hold no segment of any item; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     for block in blocks(items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
-        docs = docs.mapInArrow(_clean(_Shared(docs.sparkSession, block)), docs.schema)
+        docs = docs.mapInArrow(W.tidy(_clean(_Shared(docs.sparkSession, block))), docs.schema)
     return docs

@@ -25,6 +25,7 @@ from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from strandweave.llm import words as W
+from strandweave.runtime import small_batches
 
 #: What is learned from: so many labelled texts of a language at most, so many bytes of each, and so many bytes of dictionary.
 TEXTS, TEXT_BYTES, DICT_BYTES = 400, 2000, 1 << 18
@@ -97,8 +98,9 @@ def _predict(dictionaries: dict[str, bytes]):
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, reliable) for each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(_predict(dictionaries), "doc_id long, held_out boolean, lang_pred string, score double, reliable boolean")
+    return rows.mapInArrow(W.tidy(_predict(dictionaries)), "doc_id long, held_out boolean, lang_pred string, score double, reliable boolean")
 
 
 def identify(docs: DataFrame) -> DataFrame:

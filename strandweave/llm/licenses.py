@@ -90,7 +90,7 @@ def _count(it):
 
 def weights(docs: DataFrame) -> dict[str, float]:
     """Inverse document frequencies of the templates' terms over all documents."""
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(W.tidy(_count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     n = {r.term: r.n for r in counted.collect()}
     rows = n.get(-1, 0)
     return {t: math.log((1 + rows) / (1 + n.get(i, 0))) + 1 for i, t in enumerate(VOCABULARY)}
@@ -187,7 +187,7 @@ def scan(files: DataFrame) -> DataFrame:
     ws = Workspace(files.sparkSession, "licenses")
     shared = files.sparkSession.sparkContext.broadcast((weights(files), full_texts()))
     rows = files.select(F.col("id").cast("long"), F.col("path").cast("string"), F.col("text").cast("string"))
-    found = rows.mapInArrow(_scan(shared), "id long, path string, license string, score double, file_license string, file_score double").withColumn("dir", F.when(F.col("path").isNotNull(), directory(F.col("path"))))
+    found = rows.mapInArrow(W.tidy(_scan(shared)), "id long, path string, license string, score double, file_license string, file_score double").withColumn("dir", F.when(F.col("path").isNotNull(), directory(F.col("path"))))
     found = ws.put(found, "found")
     best = Over.partitionBy("has").orderBy(F.desc("score"), "lic")
     owners = found.where("file_license IS NOT NULL AND dir IS NOT NULL").groupBy(F.col("dir").alias("has"), F.col("file_license").alias("lic")).agg(F.max("file_score").alias("score"))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import words as W
+from strandweave.runtime import small_batches
 
 STARTS = (3, 4, 5, 6, 7)
 #: Labelled rows and bytes of text learned from, at most; folds; passes; words remembered by a worker.
@@ -243,10 +244,12 @@ def _judge(shared, keep_clean: bool):
 
 def judge(docs: DataFrame, chain: Chain) -> DataFrame:
     """(doc_id, p_low_quality, p_toxic, rejected) for each row of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(chain), False), "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", rejected boolean")
+    return rows.mapInArrow(W.tidy(_judge(docs.sparkSession.sparkContext.broadcast(chain), False)), "doc_id long, " + ", ".join(f"p_{c} double" for c in CHAIN) + ", rejected boolean")
 
 
 def remove_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
     """The rows of docs, all columns, that aren't rejected."""
-    return docs.mapInArrow(_judge(docs.sparkSession.sparkContext.broadcast(chain), True), docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(W.tidy(_judge(docs.sparkSession.sparkContext.broadcast(chain), True)), docs.schema)
