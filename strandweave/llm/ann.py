@@ -1,16 +1,22 @@
 """Operator 5: approximate nearest neighbours with learned partitions.
 
-On a bounded sample: the graph of each vector's nearest neighbours is split into
-balanced parts by repeated bisection (a cut across the main direction, then
-exchanges of equally many vectors that lower the number of edges cut).  A small
-network learns to tell the part from the vector.  It assigns every vector of the
-table to its most probable part and routes a query to its most probable parts,
-whose vectors are all compared exactly, in double precision.  How many parts are
-searched is the smallest number that finds 97 % of the neighbours of sample
-vectors inside the sample.
-
-Equal vectors are one candidate that stands for its smallest ids; so a vector
-that is copied a million times is compared once.  Parts are dealt out in blocks.
+On a bounded sample: k-means gives a start, then a graph of each vector's nearest
+neighbours is split into balanced parts: vectors move to the part that holds most
+of their neighbours, as far as it has room.  A small linear classifier, which
+starts from the parts' means, learns to tell the part from the vector.  It puts
+every vector of the table into its two most probable parts and routes a query to
+its most probable parts, whose vectors are all compared exactly, in double
+precision.  How many parts are searched is measured: exact neighbours of some
+vectors in the whole table say how many it takes to find ``RECALL`` of them.
+
+There are about 2 * sqrt(n) parts, until the sample has reached its bound.  A few
+vectors of the sample, at most one in 16 of the table, are compared with every
+query: their distances bound the search from the start.
+
+Queries go to the tasks in blocks of bounded size, each task scans its share of
+the parts and returns what is nearest within it.  Equal vectors are one
+candidate that stands for its smallest ids; so a vector that is copied a million
+times is compared once.
 
 Defined results: vectors that are null, all zero, hold a null or a non-finite
 component or have another length than most take no part; rows that repeat an id
@@ -20,6 +26,8 @@ than asked for all are returned; an empty table gives no rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,118 +37,123 @@ from pyspark.sql import functions as F
 from strandweave.llm import words as W
 from strandweave.runtime import Workspace
 
-#: Vectors of the sample, vectors of a part (on average) and parts at most, neighbours in the graph, wanted recall, rows of a block.
-SAMPLE, PART, PARTS, GRAPH, RECALL, BLOCK = 8192, 400, 256, 10, 0.97, 4096
-HIDDEN, EPOCHS, SEED = 96, 40, 5
+#: Sample: vectors for a part, vectors at least and at most; neighbours in the graph; room of a part beyond its share.
+PER_PART, LEAST, MOST, GRAPH, ROOM = 32, 2048, 1 << 16, 10, 1.1
+#: Parts that hold a vector; vectors compared with all queries, at most; vectors that the recall is measured with, and the recall wanted.
+COPIES, SEEDS, MEASURED, RECALL = 2, 2048, 256, 0.94
+#: Entries (a query and a part that it searches) of a block of queries; found neighbours that a task holds before it keeps the nearest.
+BLOCK, PENDING = 1 << 22, 1 << 18
+KMEANS, MOVES, EPOCHS, SEED = 8, 8, 6, 5
 
 
-def nearest(x: np.ndarray, k: int, queries: np.ndarray | None = None) -> np.ndarray:
-    """Indices of the k nearest other rows of x, for each row or for those numbered in queries."""
-    rows = np.arange(len(x)) if queries is None else queries
+def nearest(x: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k nearest other rows of x, for each row."""
     squares = (x * x).sum(1)
-    out = []
-    for i in range(0, len(rows), 64):
-        own = rows[i : i + 64]
-        d = squares[None, :] - 2 * (x[own] @ x.T)
-        d[np.arange(len(own)), own] = np.inf
-        out.append(np.argpartition(d, k - 1, axis=1)[:, :k])
-    return np.concatenate(out)
-
-
-def bisect(x: np.ndarray, graph: np.ndarray, members: np.ndarray, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Two halves of members that cut few edges of the graph."""
-    own = x[members] - x[members].mean(0)
-    direction = np.ones(x.shape[1], x.dtype)
-    for _ in range(20):
-        direction = own.T @ (own @ direction)
-        direction /= max(float(np.linalg.norm(direction)), 1e-30)
-    side = np.zeros(len(members), bool)
-    side[np.argsort(own @ direction, kind="stable")[len(members) // 2 :]] = True
-    place = np.full(len(x), -1)
-    place[members] = np.arange(len(members))
-    a = np.repeat(np.arange(len(members)), graph.shape[1])
-    b = place[graph[members].ravel()]
-    a, b = a[b >= 0], b[b >= 0]
-    a, b = np.concatenate([a, b]), np.concatenate([b, a])
-    for _ in range(rounds):
-        gain = np.bincount(a, np.where(side[a] != side[b], 1.0, -1.0), len(members))
-        left, right = (np.flatnonzero(side == s) for s in (False, True))
-        left, right = left[np.argsort(-gain[left], kind="stable")], right[np.argsort(-gain[right], kind="stable")]
-        n = min(len(left), len(right))
-        better = int((np.minimum.accumulate(gain[left[:n]] + gain[right[:n]]) > 0).sum()) // 2
-        if not better:
-            break
-        side[left[:better]], side[right[:better]] = True, False
-    return members[~side], members[side]
+    out = np.empty((len(x), k), np.int64)
+    for i in range(0, len(x), 256):
+        d = squares[None, :] - 2 * (x[i : i + 256] @ x.T)
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+        out[i : i + len(d)] = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return out
 
 
-def partition(x: np.ndarray, parts: int) -> np.ndarray:
-    """The part of each row of x; parts is a power of two."""
-    graph = nearest(x, min(GRAPH, len(x) - 1)) if len(x) > 1 else np.zeros((len(x), 0), int)
-    groups = [np.arange(len(x))]
-    while len(groups) < parts:
-        groups = [half for g in groups for half in bisect(x, graph, g)]
-    out = np.zeros(len(x), int)
-    for i, g in enumerate(groups):
-        out[g] = i
+def _means(x: np.ndarray, part: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """Each part's mean; the old one where a part is empty."""
+    order = np.argsort(part, kind="stable")
+    there, first, n = np.unique(part[order], return_index=True, return_counts=True)
+    out = old.copy()
+    out[there] = np.add.reduceat(x[order], first, axis=0) / n[:, None]
     return out
 
 
+def _near_means(x: np.ndarray, means: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(parts, closeness) of the n nearest means of each row, the nearest first."""
+    parts, close = [], []
+    for i in range(0, len(x), 4096):
+        s = 2 * (x[i : i + 4096] @ means.T) - (means * means).sum(1)
+        own = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.tile(np.arange(n), (len(s), 1))
+        held = np.take_along_axis(s, own, 1)
+        order = np.argsort(-held, axis=1, kind="stable")
+        parts.append(np.take_along_axis(own, order, 1))
+        close.append(np.take_along_axis(held, order, 1))
+    return np.concatenate(parts), np.concatenate(close)
+
+
+def partition(x: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each row of x, such that the neighbour graph is cut little and no part exceeds its room."""
+    if parts == 1:
+        return np.zeros(len(x), np.int64)
+    means = x[np.random.default_rng(SEED).choice(len(x), parts, replace=False)].copy()
+    for _ in range(KMEANS):
+        means = _means(x, _near_means(x, means, 1)[0][:, 0], means)
+    room = int(np.ceil(len(x) / parts * ROOM))
+    near, close = _near_means(x, means, min(32, parts))
+    part, size = np.empty(len(x), np.int64), np.zeros(parts, np.int64)
+    for i in np.argsort(close[:, 1] - close[:, 0], kind="stable").tolist():  # the clearest first
+        free = next((p for p in near[i].tolist() if size[p] < room), None)
+        part[i] = int(size.argmin()) if free is None else free
+        size[part[i]] += 1
+    graph = nearest(x, min(GRAPH, len(x) - 1))
+    a, b = np.repeat(np.arange(len(x)), graph.shape[1]), graph.ravel()
+    a, b = np.concatenate([a, b]), np.concatenate([b, a])
+    for _ in range(MOVES):
+        key, count = np.unique(a * parts + part[b], return_counts=True)
+        node, to = key // parts, key % parts
+        here, stay = to == part[node], np.zeros(len(x), np.int64)
+        stay[node[here]] = count[here]
+        gain = count - stay[node]
+        able = np.flatnonzero(~here & (gain > 0))
+        moved = set()
+        for k in able[np.argsort(-gain[able], kind="stable")].tolist():
+            n, t = int(node[k]), int(to[k])
+            if n not in moved and size[t] < room:
+                moved.add(n)
+                size[part[n]] -= 1
+                size[t] += 1
+                part[n] = t
+        if len(moved) * 200 < len(x):
+            break
+    return part
+
+
 class Router:
-    """A network with one hidden layer that gives each part a score."""
+    """A linear classifier that gives each part a score."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, parts: int):
         rng = np.random.default_rng(SEED)
-        self.mean, self.scale = x.mean(0), x.std() + 1e-9
-        d = x.shape[1]
-        self.w = [rng.normal(0, (2 / d) ** 0.5, (d, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, HIDDEN**-0.5, (HIDDEN, parts)).astype(np.float32), np.zeros(parts, np.float32)]
-        m, v, step = [np.zeros_like(w) for w in self.w], [np.zeros_like(w) for w in self.w], 0
-        z = ((x - self.mean) / self.scale).astype(np.float32)
+        self.centre, self.scale = x.mean(0), x.std() * x.shape[1] ** 0.5 + 1e-9
+        z = ((x - self.centre) / self.scale).astype(np.float32)
+        means = _means(z, y, np.zeros((parts, x.shape[1]), np.float32))
+        sharp = np.float32(12)
+        self.w, self.b = (sharp * means).T.copy(), -sharp / 2 * (means * means).sum(1)
+        m, v, step = [0.0, 0.0], [0.0, 0.0], 0
         for epoch in range(EPOCHS):
-            rate = 0.01 * (1 - epoch / EPOCHS) + 1e-4
-            order = rng.permutation(len(z))
+            rate, order = np.float32(0.05 * (1 - epoch / EPOCHS)), rng.permutation(len(z))
             for i in range(0, len(z), 256):
                 own = order[i : i + 256]
-                h = np.maximum(z[own] @ self.w[0] + self.w[1], 0)
-                p = self._soft(h @ self.w[2] + self.w[3])
+                s = z[own] @ self.w + self.b
+                p = np.exp(s - s.max(1, keepdims=True))
+                p /= p.sum(1, keepdims=True)
                 p[np.arange(len(own)), y[own]] -= 1
                 p /= len(own)
-                back = (p @ self.w[2].T) * (h > 0)
                 step += 1
-                for k, g in enumerate((z[own].T @ back, back.sum(0), h.T @ p, p.sum(0))):
+                for k, (g, at) in enumerate(((z[own].T @ p, self.w), (p.sum(0), self.b))):
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.99 * v[k] + 0.01 * g * g
-                    self.w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
-
-    @staticmethod
-    def _soft(s: np.ndarray) -> np.ndarray:
-        e = np.exp(s - s.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale).astype(np.float32)
-        return np.maximum(z @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
+                    at -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
 
     def best(self, x: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :n]
+        """The n most probable parts of each row, the most probable first."""
+        s = ((x - self.centre) / self.scale).astype(np.float32) @ self.w + self.b
+        return np.argsort(-s, axis=1, kind="stable")[:, :n].astype(np.int32)
 
 
-def fit(x: np.ndarray, n_rows: int) -> tuple[Router, int]:
-    """A router from a sample of n_rows vectors, and how many parts a query has to search."""
+def parts_for(n: int) -> int:
+    """A power of two near 2 * sqrt(n), as far as the sample's bound gives every part its vectors; each part has 8 at least."""
     parts = 1
-    while parts < PARTS and parts * PART < n_rows and parts * 16 < len(x):
+    while parts * parts * 2 <= 4 * n and parts * 8 < n and parts * PER_PART < MOST:
         parts *= 2
-    x = x.astype(np.float32)
-    router = Router(x, partition(x, parts), parts)
-    if parts == 1:
-        return router, 1
-    asked = np.random.default_rng(SEED).permutation(len(x))[:1000]
-    near = nearest(x, min(10, len(x) - 1), asked)
-    home = router.best(x, 1)[:, 0]
-    order = router.best(x[asked], parts)
-    at = np.argsort(order, axis=1)[np.arange(len(asked))[:, None], home[near]]
-    found = [(at < n).mean() for n in range(1, parts + 1)]
-    return router, 1 + next(i for i, f in enumerate(found) if f >= RECALL)
+    return parts
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -157,59 +170,222 @@ def _stack(column) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score): of each row (vec_id, embedding) with is_query its k nearest others found."""
+class Queries:
+    """A block of queries: their vectors, what bounds them, and for each part the queries that search it."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, bound: np.ndarray, parts: np.ndarray, k: int):
+        self.ids, self.q, self.bound, self.k = ids, q, bound, k
+        self.squares = (q * q).sum(1)
+        flat = parts.ravel()
+        order = np.argsort(flat, kind="stable")
+        there, first = np.unique(flat[order], return_index=True)
+        rows = (order // parts.shape[1]).astype(np.int32)
+        self.of_part = dict(zip(there.tolist(), np.split(rows, first[1:]), strict=True)) if len(flat) else {}
+
+
+class Nearest:
+    """The k nearest candidates of each query of a block so far."""
+
+    def __init__(self, asked: Queries):
+        self.asked, self.bound = asked, asked.bound.copy()
+        self.kept, self.pending, self.n = [], [], 0
+
+    def add(self, part: int, x: np.ndarray, ids: np.ndarray) -> None:
+        """Compare vectors of a part with the queries that search it."""
+        a, k = self.asked, self.asked.k
+        rows = a.of_part.get(part)
+        if rows is None:
+            return
+        squares = (x * x).sum(1)
+        for at in range(0, len(rows), 1024):
+            own = rows[at : at + 1024]
+            d = a.squares[own, None] + squares[None, :] - 2 * (a.q[own] @ x.T)
+            # This form rounds; what could be near enough is measured exactly.
+            slack = 1e-12 * (a.squares[own] + squares.max())
+            limit = self.bound[own] ** 2
+            if len(x) > k:
+                limit = np.minimum(limit, np.partition(d, k - 1, axis=1)[:, k - 1])
+            r, c = np.nonzero(d <= (limit * (1 + 1e-12) + slack)[:, None])
+            if len(r):
+                exact = np.sqrt(((x[c] - a.q[own[r]]) ** 2).sum(1))
+                self.pending.append((own[r], ids[c], exact))
+                self.n += len(r)
+        if self.n > PENDING:
+            self.reduce()
+
+    def reduce(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, candidate, distance), k for each query at most."""
+        found = [np.concatenate(z) for z in zip(*self.kept, *self.pending, strict=True)] if self.kept or self.pending else [np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0)]
+        order = np.lexsort((found[1], found[2], found[0]))
+        q, ids, d = (z[order] for z in found)
+        once = np.ones(len(q), bool)
+        once[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+        q, ids, d = q[once], ids[once], d[once]
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+        last = rank == self.asked.k - 1
+        self.bound[q[last]] = np.minimum(self.bound[q[last]], d[last])
+        near = rank < self.asked.k
+        out = q[near], ids[near], d[near]
+        self.kept, self.pending, self.n = [out], [], 0
+        return out
+
+
+def _scan(shared):
+    """Rows (class, v, part) in order of parts: (asked, class, score) of what is nearest within a task."""
+
+    def run(it):
+        found = Nearest(shared.value)
+        for batch in it:
+            if batch.num_rows:
+                parts, x, ids = batch.column("part").to_numpy(), _stack(batch.column("v")), batch.column("class").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    found.add(int(parts[a]), x[a:b], ids[a:b])
+        q, ids, d = found.reduce()
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.ids[q]), pa.array(ids), pa.array(d)], ["asked", "class", "score"])
+
+    return W.tidy(run)
+
+
+FOUND = "asked long, class long, score double"
+
+
+@dataclass
+class Index:
+    """A table's classes of equal vectors, their parts, and what leads to them."""
+
+    ws: Workspace
+    classes: DataFrame
+    placed: DataFrame
+    router: Router
+    seeds: np.ndarray
+    seed_ids: np.ndarray
+    n: int
+    parts: int
+    k: int
+    probes: int = 0
+
+    def ask(self, rows: DataFrame, probes: int):
+        """Blocks of Queries from rows (class, v)."""
+        shared = self.ws.spark.sparkContext.broadcast((self.router, self.seeds))
+        n, k = probes, self.k
+
+        def route(it):
+            router, seeds = shared.value
+            for batch in it:
+                if batch.num_rows:
+                    v = _stack(batch.column("v"))
+                    bound = np.full(len(v), np.inf)
+                    if len(seeds) >= k:
+                        for i in range(0, len(v), 256):
+                            d = ((v[i : i + 256] ** 2).sum(1)[:, None] + (seeds**2).sum(1) - 2 * v[i : i + 256] @ seeds.T).clip(0)
+                            bound[i : i + len(d)] = np.sqrt(np.partition(d, k - 1, axis=1)[:, k - 1])
+                        bound = bound * (1 + 1e-9) + 1e-9
+                    parts = router.best(v, n)
+                    yield batch.append_column("bound", pa.array(bound)).append_column("parts", W.lists(parts.ravel(), [parts.shape[1]] * len(parts), pa.int32()))
+
+        routed = self.ws.put(rows.mapInArrow(route, "class long, v array<double>, bound double, parts array<int>"), "asked")
+        blocks = -(-routed.count() * n // BLOCK)
+        for b in range(blocks):
+            t = routed.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == b).toArrow().combine_chunks()
+            if t.num_rows:
+                v, parts = (_stack(t.column(c).combine_chunks()) for c in ("v", "parts"))
+                yield Queries(t.column("class").to_numpy(), v, t.column("bound").to_numpy(), parts, k)
+
+    def nearest(self, rows: DataFrame, probes: int) -> DataFrame:
+        """(asked, class, score) for rows (class, v): the k nearest classes found of each and others, each once."""
+        found = [self.ws.put(self.placed.mapInArrow(_scan(self.ws.spark.sparkContext.broadcast(q)), FOUND), "found") for q in self.ask(rows, probes)]
+        seeds, ids, k, placed = self.seeds, self.seed_ids, self.k, None
+        if len(seeds):
+            shared = self.ws.spark.sparkContext.broadcast((seeds, ids))
+
+            def beside(it):
+                seeds, ids = shared.value
+                for batch in it:
+                    for own in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+                        n = own.num_rows
+                        asked = Queries(own.column("class").to_numpy(), _stack(own.column("v")), np.full(n, np.inf), np.zeros((n, 1), np.int32), k)
+                        near = Nearest(asked)
+                        near.add(0, seeds, ids)
+                        q, c, d = near.reduce()
+                        yield pa.RecordBatch.from_arrays([pa.array(asked.ids[q]), pa.array(c), pa.array(d)], ["asked", "class", "score"])
+
+            placed = rows.mapInArrow(beside, FOUND)
+        for f in found:
+            placed = f if placed is None else placed.union(f)
+        if placed is None:
+            placed = self.ws.spark.createDataFrame([], FOUND)
+        return placed.groupBy("asked", "class").agg(F.min("score").alias("score"))
+
+    def measure(self, sample: DataFrame) -> int:
+        """The least number of parts that finds RECALL of the exact neighbours of sample (class, v) in the whole table."""
+        true = self.nearest(sample, self.parts).where("asked <> class")
+        near = Over.partitionBy("asked").orderBy("score", "class")
+        true = true.withColumn("n", F.row_number().over(near)).where(F.col("n") < self.k).select("asked", "class")
+        homes = true.join(self.placed.select("class", "part"), "class").groupBy("asked", "class").agg(F.collect_list("part").alias("homes")).collect()
+        if not homes:
+            return self.parts
+        asked = sample.toArrow().combine_chunks()
+        order = self.router.best(_stack(asked.column("v").combine_chunks()), self.parts)
+        place = np.argsort(order, axis=1)
+        row = {c: i for i, c in enumerate(asked.column("class").to_pylist())}
+        known = set(self.seed_ids.tolist())
+        need = np.sort([0 if r["class"] in known else 1 + min(int(place[row[r.asked], h]) for h in r.homes) for r in homes])
+        return max(1, int(need[int(np.ceil(RECALL * len(need))) - 1]))
+
+
+def build(vectors: DataFrame, k: int = 10) -> tuple[Index | None, DataFrame]:
+    """(index, rows): rows are (vec_id, v, h1, h2) of the vectors that take part; no index without any."""
     spark = vectors.sparkSession
     ws = Workspace(spark, "ann")
-    rows = usable(vectors).dropDuplicates(["vec_id", "h1", "h2"])
-    rows = ws.put(rows, "vectors")
-    kind = "query_id long, rank int, vec_id long, score double"
+    rows = ws.put(usable(vectors).dropDuplicates(["vec_id", "h1", "h2"]), "vectors")
     length = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if length is None:
-        return spark.createDataFrame([], kind)
+        return None, rows
     rows = rows.where(F.size("v") == length.d)
     first = Over.partitionBy("h1", "h2").orderBy("vec_id")
     few = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     classes = few.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first(F.when(F.col("n") == 1, F.col("v")), ignorenulls=True).alias("v"))
     classes = ws.put(classes.withColumn("class", F.col("ids")[0]), "classes")
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64(F.lit(SEED), "h1", "h2"), "class").limit(SAMPLE).select("v").toArrow()
-    router, probes = fit(_stack(sample.column("v").combine_chunks()), n)
+    parts = parts_for(n)
+    size = min(n, max(LEAST, PER_PART * parts))
+    # A hash picks somewhat more than the sample, so that sorting and cutting it is work of the sample's size.
+    pick = F.xxhash64(F.lit(SEED), "h1", "h2")
+    share = F.shiftrightunsigned(pick, 11).cast("double") / F.lit(float(1 << 53))
+    some = classes.where(share <= min(1.0, 1.2 * size / n + 100 / n)).orderBy(pick, "class").limit(size).select("class", "v")
+    some = ws.put(some, "sample").orderBy(F.xxhash64("class"), "class").toArrow().combine_chunks()
+    x, ids = _stack(some.column("v").combine_chunks()), some.column("class").to_numpy()
+    single = x.astype(np.float32)
+    router = Router(single, partition(single, parts), parts)
+    seeds = min(SEEDS, n // 16)
     shared = spark.sparkContext.broadcast(router)
 
     def assign(it):
         for batch in it:
             if batch.num_rows:
-                yield batch.append_column("part", pa.array(shared.value.best(_stack(batch.column("v")), 1)[:, 0].astype(np.int32)))
+                best = shared.value.best(_stack(batch.column("v")), COPIES)
+                yield batch.append_column("parts", W.lists(best.ravel(), [best.shape[1]] * len(best), pa.int32()))
 
-    def route(it):
-        for batch in it:
-            if batch.num_rows:
-                parts = shared.value.best(_stack(batch.column("v")), probes).astype(np.int32)
-                yield batch.append_column("parts", W.lists(parts.ravel(), [parts.shape[1]] * len(parts), pa.int32()))
+    held = classes.select("class", "v").mapInArrow(assign, "class long, v array<double>, parts array<int>").select("class", "v", F.explode("parts").alias("part"))
+    placed = ws.put(held.repartitionByRange("part", "class").sortWithinPartitions("part", "class"), "placed")
+    index = Index(ws, classes, placed, router, x[:seeds], ids[:seeds], n, parts, k + 1)
+    index.probes = index.measure(spark.createDataFrame(some.slice(max(0, len(ids) - MEASURED)))) if parts > 1 else 1
+    return index, rows
 
-    placed = ws.put(classes.select("class", "v").mapInArrow(assign, "class long, v array<double>, part int"), "placed")
-    blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+
+def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, score): of each row (vec_id, embedding) with is_query its k nearest others found."""
+    index, rows = build(vectors, k)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    ws, classes = index.ws, index.classes
     queries = ws.put(rows.where(is_query).select(F.col("vec_id").alias("query_id"), "h1", "h2").join(classes.select("h1", "h2", "class"), ["h1", "h2"]).select("query_id", "class"), "queries")
     asked = queries.select("class").distinct().join(classes.select("class", "v"), "class")
-    asked = asked.mapInArrow(route, "class long, v array<double>, parts array<int>").select(F.col("class").alias("asked"), F.col("v").alias("q"), F.explode("parts").alias("part"))
-    asked = asked.join(blocks, "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "block", "asked", "q")
-    dealt = placed.join(blocks, "part").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int")).select("part", "block", "class", "v")
-
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["asked", "class", "score"]
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names)
-        x, ids = _stack(left.column("v").combine_chunks()), left.column("class").to_numpy()
-        out = []
-        for q, asked in zip(_stack(right.column("q").combine_chunks()), right.column("asked").to_pylist(), strict=True):
-            d = np.sqrt(((x - q) ** 2).sum(1))
-            best = np.lexsort((ids, d))[: k + 1]
-            out.append((np.full(len(best), asked), ids[best], d[best]))
-        return pa.table([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], names)
-
-    pairs = dealt.groupBy("part", "block").cogroup(asked.groupBy("part", "block")).applyInArrow(compare, "asked long, class long, score double")
+    found = index.nearest(asked, index.probes)
     best = Over.partitionBy("asked").orderBy("score", "id")
-    found = pairs.join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("id")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    found = found.join(classes.select("class", "ids"), "class").select("asked", "score", F.explode("ids").alias("id")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     ranked = queries.join(found, F.col("class") == F.col("asked")).where("id <> query_id").withColumn("rank", F.row_number().over(Over.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")

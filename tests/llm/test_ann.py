@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandweave.llm import ann
@@ -16,20 +17,45 @@ def brute(rows, k=10):
     return {q: sorted((float(np.sqrt(((ok[q] - v) ** 2).sum())), i) for i, v in ok.items() if i != q)[:k] for q in ok if q % 100 == 0}
 
 
-def test_recall_and_exact_scores(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    want = brute([tuple(r) for r in df.collect()])
+def shares(found, want):
+    """The share of true neighbours found."""
     got: dict = {}
-    for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
+    for r in found.collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.score, r.vec_id)
     assert set(got) == set(want)
-    found = 0
-    for q, near in want.items():
+    for q in want:
         assert sorted(got[q]) == list(range(1, 11))
         listed = [got[q][k] for k in range(1, 11)]
         assert listed == sorted(listed)
-        found += len({i for _, i in listed} & {i for _, i in near})
-    assert found / (10 * len(want)) >= 0.9
+    return sum(len({i for _, i in got[q].values()} & {i for _, i in near}) for q, near in want.items()) / (10 * len(want))
+
+
+def test_recall_and_exact_scores(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert shares(ann.search(df, F.col("vec_id") % 100 == 0), brute([tuple(r) for r in df.collect()])) >= 0.9
+
+
+def test_recall_where_few_parts_are_searched(spark):
+    """50,000 vectors without clusters are the hardest case for parts."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50_000, 24)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 24).cast(pa.list_(pa.float32()))}))
+    index, _ = ann.build(df)
+    assert index.parts == 512 and index.probes <= index.parts // 4
+    y, want = x.astype(np.float64), {}
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((y - y[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want[q] = [(d[i], i) for i in np.argsort(d, kind="stable")[:10].tolist()]
+    assert shares(ann.search(df, F.col("vec_id") % 100 == 0), want) >= 0.9
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
+    monkeypatch.setattr(ann, "BLOCK", 30)
+    monkeypatch.setattr(ann, "PENDING", 50)
+    assert sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()) == want
 
 
 def test_copies_and_awkward_rows_are_exact(spark):
@@ -55,4 +81,8 @@ def test_few_and_none(spark):
 def test_partitions_are_balanced():
     x = np.random.default_rng(1).normal(size=(1000, 8)).astype(np.float32)
     n = np.bincount(ann.partition(x, 8))
-    assert len(n) == 8 and n.max() - n.min() <= 8
+    assert len(n) == 8 and n.max() <= 138
+
+
+def test_parts_grow_with_the_table():
+    assert [ann.parts_for(n) for n in (1, 50, 500, 2000, 50_000, 10**6, 10**9)] == [1, 8, 32, 64, 512, 2048, 2048]
