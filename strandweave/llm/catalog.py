@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandweave.llm import ann, chat, decontaminate, langid, licenses, mixing, neardup, substrings, tokens, toxicity
+from strandweave.llm.oracles import ORACLES  # noqa: F401
 
 
 def _table(spark, sf_dir, name):
@@ -69,4 +70,3 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict = {}
