@@ -81,11 +81,31 @@ def membership(ids: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFram
     return slots.selectExpr("shiftright(_slot, 6) AS _word", "shiftleft(1L, cast(_slot & 63 AS int)) AS _bit").groupBy("_word").agg(F.bit_or("_bit").alias("_mask"))
 
 
-def maybe_in(df: DataFrame, key, members: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """df with a boolean column _maybe: false means that key is certainly not a member. Adds no shuffle of df."""
-    words = F.broadcast(members.withColumnsRenamed({"_word": "_w", "_mask": "_m"}))
-    joined = df.withColumn("_slot", _slot(key, bits)).join(words, F.expr("shiftright(_slot, 6) = _w"), "left")
-    return joined.withColumn("_maybe", F.expr("coalesce((_m & shiftleft(1L, cast(_slot & 63 AS int))) <> 0, false)")).drop("_w", "_m", "_slot")
+def fresh(columns, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from columns; case does not count."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list:
+    """All columns of df by name, whatever characters the names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def maybe_in(df: DataFrame, key, members: DataFrame, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be a member, rows whose key certainly is none), with df's columns. Adds no shuffle of df."""
+    word, mask = fresh(df.columns, "_word", "_mask")
+    words = F.broadcast(members.withColumnsRenamed({"_word": word, "_mask": mask}))
+    slot = _slot(key, bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    joined = df.join(words, F.shiftright(slot, 6) == F.col(word), "left")
+    there = F.coalesce(F.col(mask).bitwiseAND(bit) != 0, F.lit(False))
+    return joined.where(there).select(*columns_of(df)), joined.where(~there).select(*columns_of(df))
 
 
 def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
@@ -101,13 +121,14 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         ends = F.explode(F.array(F.struct(F.col("u").alias("n"), "v"), F.struct(F.col("v").alias("n"), "v")))
         if now.select(ends.alias("e")).groupBy("e.n").agg((F.min("e.v") < F.max("e.v")).alias("open")).where("open").isEmpty():
             break
+        # The least neighbours are written first: so adaptive execution can split a node of very many edges in either join.
         both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        low = ws.put(both.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        lower = ws.put(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        small = large.join(lower, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         following = ws.put(small, "edges")
-        ws.drop(now)
+        ws.drop(now, low, lower)
         now = following
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
