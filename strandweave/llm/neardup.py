@@ -3,10 +3,15 @@
 Each of 128 permutations of the 32-bit integers gives two signature values, the
 smallest and the largest image of a document's shingles, so 256 values cost 128
 evaluations a shingle.  Four values (both ends of two permutations) form a
-band, 32 bands come from the first 64 permutations; documents with an equal band are candidates.  At a similarity of exactly
-0.75 the chance that two documents share none of the 32 bands is
-(1 - 0.75**4)**32 = 5e-6 if the sets are large.  In small ones the two ends
-depend on each other: 2e-5 where 6 of 8 shingles are shared, and 1e-4 for 3 of 4.
+band, 48 bands come from the first 96 permutations; documents with an equal band
+are candidates.  At a similarity of exactly 0.75 the chance that two documents
+share no band is (1 - 0.75**4)**48 = 1.2e-8 if the sets are large, and 1.6e-8 for
+the smallest sets that bands decide on.
+
+Sets of up to ``SMALL`` shingles need no luck: of two such sets that reach 0.75
+either has a shared shingle among its n // 4 + 1 rarest ones, so those are their
+keys in place of bands; shingles of one document only are no keys.  Sets up to a
+third larger have both kinds of keys, so that a pair across the border is found.
 
 Equal shingle sets fall into one class first.  In every bucket the members are
 then compared with one leader only, the member that shares most buckets with
@@ -15,15 +20,18 @@ components that still share a bucket may be compared with each other, and of
 those only pairs that could reach the limit: two documents have at most as many
 shingles in common as either has shingles that occur elsewhere among the open
 documents.  That bound is exact; so is the one on sizes.  A pair is also passed
-over if the signatures' nibbles differ in more than 90 of 256 places, 4.5
-deviations beyond what the limit gives (a chance of 4e-6), and it is made in the
-first of its buckets only.  A bucket of thousands of copies so costs
+over if the signatures' nibbles differ in more than 128 of 256 places, where the
+limit gives 60 and its deviation is below 10, and it is made in the first of its
+buckets only.  A bucket of thousands of copies so costs
 thousands of comparisons, and no link between different components is lost.
 Every link is confirmed on the full shingle sets.
 
 Defined results: null or empty text has no shingles and links with nothing; a
 text of fewer than five words is one shingle; rows that repeat a doc_id share
-its component; a null doc_id gets a null component and is kept.
+its component, each linked by its own text; a null doc_id gets a null component
+and is kept; an empty table gives no rows.  ``keep_one`` returns the columns of
+its input whatever their names; of rows that repeat a doc_id and its text it
+keeps one, and all rows without a doc_id or without words.
 """
 
 from __future__ import annotations
@@ -37,13 +45,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.llm import words as W
-from strandweave.runtime import Workspace, connected_components, maybe_in, membership
+from strandweave.runtime import Workspace, columns_of, connected_components, fresh, maybe_in, membership
 
 #: Permutations that make bands come first, those for signatures only after them.
-SHINGLE, BANDED, PERMUTATIONS, PER_BAND = 5, 64, 128, 2
+SHINGLE, BANDED, PERMUTATIONS, PER_BAND = 5, 96, 128, 2
 BANDS, LONGS = BANDED // PER_BAND, PERMUTATIONS * 2 // 16
-#: Of 256 nibbles, 60 differ on average at similarity 0.75 (deviation 6.8); beyond 90 a pair isn't compared.
-NIBBLES = 90
+#: Of 256 nibbles, 60 differ on average at similarity 0.75; beyond so many a pair isn't compared.
+NIBBLES = 128
+#: Shingles of a set that is found by its rarest ones, and of one that may be its partner.
+SMALL = 48
+PARTNER = SMALL * 4 // 3
 _rng = np.random.default_rng(20260101)
 FLIP = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
 TIMES = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -90,16 +101,24 @@ def nibbles(sig: np.ndarray) -> np.ndarray:
 def _sign(it):
     for batch in W.batches(it, limit=2 << 20):
         sets = shingle_sets(batch.column("text"))
+        large = [i for i, s in enumerate(sets) if len(s) > SMALL]
         full = [i for i, s in enumerate(sets) if len(s)]
-        b, s = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), LONGS), np.int64)
+        b, s = [np.empty(0, np.int64)] * len(sets), np.zeros((len(sets), LONGS), np.int64)
         if full:
             sig = signatures([sets[i] for i in full])
-            b[full], s[full] = bands(sig), nibbles(sig)
+            s[full] = nibbles(sig)
+            keys = dict(zip(full, bands(sig), strict=True))
+            for i in large:
+                b[i] = keys[i]
+        few = [x.view(np.int64) if len(x) <= PARTNER else x[:0].view(np.int64) for x in sets]
         prints = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), W.lists(b.ravel(), [BANDS] * len(sets)), W.lists(s.ravel(), [LONGS] * len(sets))],
-            ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sig"],
-        )
+            [
+                batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
+                W.lists(np.concatenate(b), [len(x) for x in b]), W.lists(np.concatenate(few), [len(x) for x in few]), W.lists(s.ravel(), [LONGS] * len(sets)),
+            ],
+            ["doc_id", "n_shingles", "fp1", "fp2", "bands", "few", "sig"],
+        )
 
 
 def _sets(it):
@@ -108,10 +127,26 @@ def _sets(it):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), W.lists(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], ["id", "items"])
 
 
+def rarest(ws: Workspace, reps: DataFrame) -> DataFrame:
+    """(doc_id, key) of sets (doc_id, few): of each the n // 4 + 1 shingles that the fewest of them hold, without those that only one holds.
+
+    Items that several sets hold are written by themselves, so that adaptive
+    execution splits the rows of a very frequent one.
+    """
+    held = reps.where("size(few) > 0").select("doc_id", F.size("few").alias("n"), F.explode("few").alias("item"))
+    often = ws.put(held.groupBy("item").agg(F.count("*").alias("n_docs")).where("n_docs > 1"), "items")
+    shared = ws.put(held.join(often, "item").select("doc_id", "n", "n_docs", "item"), "shared")
+    of_doc = shared.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("n_docs", "item"))).alias("has"))
+    # The shingles of one document only come first and take their places.
+    room = F.floor(F.col("n") / 4).cast("int") + 1 - (F.col("n") - F.size("has"))
+    keys = of_doc.where(room > 0).select("doc_id", F.explode(F.slice("has", F.lit(1), room)).alias("x"))
+    return keys.select("doc_id", F.xxhash64(F.lit("rare"), "x.item").alias("key"))
+
+
 def sets_of(ws: Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, items) of the documents in ids (id); texts stay where they are read."""
-    some = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), membership(ids, "id")).where("_maybe").select("doc_id", "text")
-    return ws.put(some.mapInArrow(W.tidy(_sets), "id long, items array<long>").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    """(id, items) of the documents in ids (id); texts stay where they are read. A repeated doc_id has a row for each of its sets."""
+    some, _ = maybe_in(docs.select("doc_id", "text"), F.col("doc_id"), membership(ids, "id"))
+    return ws.put(some.mapInArrow(W.tidy(_sets), "id long, items array<long>").where("size(items) > 0").join(ids, "id", "left_semi").dropDuplicates(["id", "items"]), "sets")
 
 
 def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -134,13 +169,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = ws.put(docs.mapInArrow(W.tidy(_sign), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig array<long>"), "signed")
+    signed = ws.put(docs.mapInArrow(W.tidy(_sign), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, few array<long>, sig array<long>"), "signed")
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
     classes = ws.put(classes, "classes")
-    reps = ws.put(linked.join(classes, ["fp1", "fp2"]).where("doc_id = class_id").select("doc_id", "n_shingles", "bands", "sig"), "representatives")
+    reps = ws.put(linked.join(classes, ["fp1", "fp2"]).where("doc_id = class_id").select("doc_id", "n_shingles", "bands", "few", "sig"), "representatives")
 
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
+    keys = reps.select("doc_id", F.explode("bands").alias("key")).union(rarest(ws, reps)).distinct()
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
     buckets = ws.put(keys.join(shared, "key"), "buckets")
     weight = buckets.groupBy("doc_id").agg(F.sum("n").alias("weight"))
@@ -200,10 +235,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = ws.put(found.where("NOT kept").select("doc_id").distinct(), "gone")
     again = found.where("kept AND n_copies > 1").groupBy("doc_id").count().where("count > 1").select("doc_id")
     suspects = ws.put(gone.withColumn("gone", F.lit(True)).union(again.withColumn("gone", F.lit(False))), "suspects")
-    seen = maybe_in(docs, F.col("doc_id").cast("long"), membership(suspects, "doc_id"))
-    sure = seen.where("NOT _maybe").drop("_maybe")
-    marks = suspects.select(F.col("doc_id").alias("_id"), "gone")
-    rest = seen.where("_maybe").drop("_maybe").join(marks, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    clear = rest.where("_id IS NULL").drop("_id", "gone")
-    once = rest.where("gone = false").drop("_id", "gone").dropDuplicates(["doc_id", "text"])
+    maybe, sure = maybe_in(docs, F.col("doc_id").cast("long"), membership(suspects, "doc_id"))
+    own, out = fresh(docs.columns, "own", "out")
+    rest = maybe.join(suspects.select(F.col("doc_id").alias(own), F.col("gone").alias(out)), F.col("doc_id").cast("long") == F.col(own), "left")
+    clear = rest.where(F.col(own).isNull()).select(*columns_of(docs))
+    once = rest.where(~F.col(out)).select(*columns_of(docs)).dropDuplicates(["doc_id", "text"])
     return sure.unionByName(clear).unionByName(once)

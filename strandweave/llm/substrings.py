@@ -240,7 +240,7 @@ def repeated_starts(ws: Workspace, docs: DataFrame) -> DataFrame:
     found = ws.put(docs.select("doc_id", "text").mapInArrow(W.tidy(_anchor_runs(shared)), "doc_id long, at int, n int, anchor long"), "anchors")
     twice = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     runs = ws.put(found.join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "runs")
-    some = maybe_in(docs, F.col("doc_id"), membership(runs, "doc_id")).where("_maybe").select("doc_id", "print", "text").join(runs, "doc_id")
+    some = maybe_in(docs, F.col("doc_id"), membership(runs, "doc_id"))[0].select("doc_id", "print", "text").join(runs, "doc_id")
     windows = ws.put(some.mapInArrow(W.tidy(_windows), "doc_id long, print long, at int, key long, check int"), "windows")
     first = windows.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "check", "low")
     # Written first, and the join has nothing but a filter above it: so adaptive execution splits a window of very many documents.
@@ -258,8 +258,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     ws = Workspace(docs.sparkSession, "substrings")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("print", F.xxhash64("text"))
     starts = repeated_starts(ws, docs)
-    seen = maybe_in(docs, F.col("doc_id"), membership(starts, "doc_id"))
+    maybe, sure = maybe_in(docs, F.col("doc_id"), membership(starts, "doc_id"))
     kind = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    whole = seen.where("NOT _maybe").select("doc_id", "text").mapInArrow(W.tidy(_whole), kind)
-    cut = seen.where("_maybe").select("doc_id", "print", "text").join(starts, ["doc_id", "print"], "left").select("doc_id", "text", "starts").mapInArrow(W.tidy(_cut), kind)
+    whole = sure.select("doc_id", "text").mapInArrow(W.tidy(_whole), kind)
+    cut = maybe.select("doc_id", "print", "text").join(starts, ["doc_id", "print"], "left").select("doc_id", "text", "starts").mapInArrow(W.tidy(_cut), kind)
     return whole.union(cut)

@@ -83,9 +83,37 @@ def test_words_in_mirrored_patterns_are_told_apart(spark):
     assert run(spark, docs) == brute(docs)
 
 
+def test_small_sets_are_linked_exactly(spark):
+    """Pairs at the limit with sets of all sizes up to the border and across it, beside a line that all share."""
+    rng, docs, line = random.Random(7), [], "this very line stands in each of them"
+    for n in range(1, 70):
+        for k in range(3):
+            w = [f"{n}x{k}x{i}x{rng.randint(0, 9)}" for i in range(n + 4)]
+            docs += [(10 * len(docs), " ".join(w)), (10 * len(docs) + 1, " ".join([*w, *(f"e{n}x{i}" for i in range(n // 3))])), (10 * len(docs) + 2, " ".join([*w, *(f"f{n}x{i}" for i in range(n // 3 + 1))])), (10 * len(docs) + 3, f"{line} " + " ".join(w[: n // 2 + 1]))]
+    assert run(spark, docs) == brute(docs)
+
+
+def test_rows_that_repeat_a_doc_id_are_linked_by_each_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    docs = [(5, a), (5, b), (7, a + " more"), (9, b + " more"), (11, c), (12, c + " more"), (5, a)]
+    got = {r[0]: r[2] for r in run(spark, docs)}
+    assert got == {5: 5, 7: 5, 9: 5, 11: 11, 12: 11}
+
+
 def test_keep_one_keeps_one_row_and_all_columns(spark):
     t = " ".join(f"w{i}" for i in range(60))
     rows = [(1, t, "en", "s", "k"), (2, t, "en", "s", "k"), (3, t + " more", "en", "s", "k"), (4, "else " + t[:40], "en", "s", "k"), (4, "else " + t[:40], "en", "s", "k"), (None, t, "en", "s", "k")]
     out = neardup.keep_one(spark.createDataFrame(rows, SCHEMA))
     assert out.columns == ["doc_id", "text", "lang", "sig", "kept"]
     assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 4, None]
+
+
+def test_keep_one_whatever_the_columns_names(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    names = ["doc_id", "text", "gone", "own", "_id", "_slot", "_word", "_MASK", "out", "a.b", "n_copies"]
+    rows = [(i, x, *range(9)) for i, x in ((1, t), (2, t + " more"), (3, None), (4, ""), (4, ""), (5, "five"), (5, "five"), (None, None), (None, None))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names[2:]))
+    out = neardup.keep_one(df)
+    assert out.columns == names
+    assert sorted((r.doc_id for r in out.collect()), key=str) == [1, 3, 4, 4, 5, None, None]
+    assert neardup.keep_one(df.where("false")).collect() == []
