@@ -63,6 +63,11 @@ class Workspace:
         out._stored_at = path
         return out
 
+    def clear(self) -> None:
+        """Delete all tables; nothing may read them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         conf = self.spark._jsc.hadoopConfiguration()
