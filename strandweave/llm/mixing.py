@@ -8,8 +8,9 @@ they fit: the quota of blocks.  A splitting tree deals the quotas of all sources
 out among the output shards: at every node the left half gets a draw without
 replacement from the node's blocks, source by source, which is a multivariate
 hypergeometric split; a shard's counts become ranges of each source's permuted
-blocks, so shards are disjoint and exact.  Inside a shard documents are in the
-order of a hash.
+blocks, so shards are disjoint and exact.  The mixture's rows lie in their
+shard's partition, inside it in the order of a hash.  There are as many shards as
+the words taken ask for.
 
 All draws come from hashes of the seed, so reruns agree.  A source of n documents
 has about sqrt(n) / 8 blocks, so neither a source's list of blocks nor a block's
@@ -19,7 +20,9 @@ block, all of whose documents may fill the rest.
 Defined results: null text and text without words have size 0 and give no words;
 null sources are one source that comes last; rows that are alike in all columns
 are alike in what is taken, except that one more of them may fit; an empty table
-gives no rows.
+gives no rows; columns may have any names and types, and a null doc_id is an id
+like others.  What grows with the number of sources, and only that, meets in one
+task: their sizes, targets and quotas.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
-from strandweave.runtime import Workspace
+from strandweave.runtime import Workspace, columns_of, fresh
 
 WEIGHTS, MOST, SEED = (5.0, 2.0, 1.0), 3.0, 4
-#: Output shards, a power of two; pieces that a source's rows are dealt out in for joins; rounds of fitting documents of the last block.
-SHARDS, SALTS, ROUNDS = 8, 16, 6
+#: Words of a shard, about; pieces that a source's rows are dealt out in for joins; rounds of fitting documents of the last block.
+SHARD_WORDS, SALTS, ROUNDS = 4_000_000, 16, 6
 
 
 def words(text):
@@ -92,15 +95,14 @@ def _deal(level: int, seed: int):
     """A step of the fold over a node's sources: what the left half gets of one more source."""
 
     def step(a, x):
-        # The draw is used once only: how many are left to draw follows from what is out.
-        done = F.aggregate(a.out, F.lit(0).cast("long"), lambda s, y: s + y.quota)
-        got = hypergeometric(a.total, x.quota, a.n - done, uniform(F.lit(seed), F.lit(level), F.col("node"), x.key))
-        return F.struct(F.concat(a.out, F.array(F.struct(x.key.alias("key"), got.alias("quota")))).alias("out"), (a.total - x.quota).alias("total"), a.n.alias("n"))
+        # An array of one element holds the draw, as a value that is used twice would be drawn twice.
+        drawn = F.array(hypergeometric(a.total, x.quota, a.n, uniform(F.lit(seed), F.lit(level), F.col("node"), x.key)))
+        return F.transform(drawn, lambda got: F.struct(F.concat(a.out, F.array(F.struct(x.key.alias("key"), got.alias("quota")))).alias("out"), (a.total - x.quota).alias("total"), (a.n - got).alias("n")))[0]
 
     return step
 
 
-def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def splitting_tree(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     """(shard, key, lo, hi): of rows (key, quota), the range of each source's draws that a shard gets.
 
     A node is one row with a number for each source; its two halves are made
@@ -124,20 +126,33 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
     return leaves.select("shard", "key", (hi - F.col("quota")).alias("lo"), hi.alias("hi"))
 
 
-def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def row_hash(docs: DataFrame):
+    """A hash of all columns; those that hold maps go in as JSON, which has no order of its own for them."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(columns_of(docs), docs.dtypes, strict=True)])
+
+
+def mix(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """What the mix takes of each row of docs (doc_id, source, text, ...).
 
     Returns (doc_id, row, size, source_size, target, draws): row is a hash of all
     columns, draws an array of (shard, epoch) with one entry for each time that
-    the whole document is taken.
+    the whole document is taken.  Without a number of shards, a power of two,
+    each gets about SHARD_WORDS words.
     """
-    ws = Workspace(docs.sparkSession, "mixing")
-    row = F.xxhash64(*docs.columns)
+    return _mix(Workspace(docs.sparkSession, "mixing"), docs, shards, seed)[0]
+
+
+def _mix(ws: Workspace, docs: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, int]:
+    """What mix() returns, and the number of shards."""
+    row = row_hash(docs)
     light = ws.put(docs.select(F.col("doc_id").cast("long"), source_key(F.col("source").cast("string")).alias("key"), words(F.col("text").cast("string")).alias("size"), row.alias("row")), "sizes")
     sizes = targets(light.groupBy("key").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sizes = sizes.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")).withColumn("n_blocks", F.ceil(F.sqrt("n") / 8).cast("long"))
     sources = ws.put(sizes, "sources")
+    if shards is None:
+        words_taken = sources.agg(F.sum("target").alias("w")).first().w or 0.0
+        shards = 1 << max(0, int(words_taken) // SHARD_WORDS).bit_length()
 
     salted = sources.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = light.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
@@ -176,7 +191,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     out = dealt.join(given, ["key", "block"]).join(fitted, ["key", "doc_id", "row"], "left")
     out = out.withColumn("ends", (F.col("last") == "whole") | (F.coalesce("n_fit", F.lit(0)) >= F.row_number().over(many)))
     took = F.filter(F.coalesce("block_draws", F.array().cast("array<struct<epoch:bigint,shard:int>>")), lambda d: (d.epoch < F.col("passes")) | F.col("ends"))
-    return out.select("doc_id", "row", "size", "source_size", "target", took.alias("draws"))
+    return out.select("doc_id", "row", "size", "source_size", "target", took.alias("draws")), shards
 
 
 def digest(mixed: DataFrame) -> DataFrame:
@@ -184,11 +199,15 @@ def digest(mixed: DataFrame) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), F.transform("draws", lambda d: d.shard).alias("shards"))
 
 
-def mixed_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mixture: each row of docs as often as it is taken, with its shard and its place in the shard's own order."""
-    many = mix(docs, shards, seed).where("size(draws) > 0").groupBy("row").agg(F.flatten(F.collect_list("draws")).alias("draws"))
-    ws = Workspace(docs.sparkSession, "mixture")
-    many = ws.put(many, "draws")
-    once = docs.withColumn("_row", F.xxhash64(*docs.columns)).dropDuplicates(["_row"])
-    rows = once.join(many, F.col("_row") == F.col("row")).withColumn("_draw", F.explode("draws"))
-    return rows.select(*docs.columns, F.col("_draw.shard").alias("shard"), F.xxhash64(F.lit(seed), "_draw.shard", "_draw.epoch", "_row").alias("place"))
+def mixed_rows(docs: DataFrame, shards: int | None = None, seed: int = SEED) -> DataFrame:
+    """The mixture: each row of docs as often as it is taken, with its columns; a partition is a shard, in the shard's own order."""
+    spark = docs.sparkSession
+    ws, out = Workspace(spark, "mixing"), Workspace(spark, "mixture")
+    taken, shards = _mix(ws, docs, shards, seed)
+    taken = out.put(taken.where("size(draws) > 0").select("doc_id", "row", "draws"), "draws")
+    ws.clear()
+    own, i, r, w, d = fresh(docs.columns, "own", "id", "row", "draws", "draw")
+    once = docs.select(*columns_of(docs), row_hash(docs).alias(own)).dropDuplicates(["doc_id", own])
+    rows = once.join(taken.select(F.col("doc_id").alias(i), F.col("row").alias(r), F.col("draws").alias(w)), F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(own) == F.col(r)))
+    rows = rows.withColumn(d, F.explode(w)).repartitionById(shards, F.col(d)["shard"])
+    return rows.sortWithinPartitions(F.xxhash64(F.lit(seed), F.col(d)["shard"], F.col(d)["epoch"], own), F.col(d)["epoch"]).select(*columns_of(docs))

@@ -160,14 +160,14 @@ def confirm(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return right.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, class_id, n_copies) for each row of docs (doc_id, text).
 
     class_id is the smallest doc_id with the same shingle set and n_copies the
     number of rows with it.
     """
     spark = docs.sparkSession
-    ws = Workspace(spark, "neardup")
+    ws = ws or Workspace(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = ws.put(docs.mapInArrow(W.tidy(_sign), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, few array<long>, sig array<long>"), "signed")
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -230,8 +230,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Texts move only for the documents that a membership filter can't clear.
     """
-    ws = Workspace(docs.sparkSession, "keepone")
-    found = ws.put(near_duplicates(docs).select("doc_id", "kept", "n_copies"), "found")
+    ws, inner = (Workspace(docs.sparkSession, name) for name in ("keepone", "neardup"))
+    found = ws.put(near_duplicates(docs, inner).select("doc_id", "kept", "n_copies"), "found")
+    inner.clear()
     gone = ws.put(found.where("NOT kept").select("doc_id").distinct(), "gone")
     again = found.where("kept AND n_copies > 1").groupBy("doc_id").count().where("count > 1").select("doc_id")
     suspects = ws.put(gone.withColumn("gone", F.lit(True)).union(again.withColumn("gone", F.lit(False))), "suspects")

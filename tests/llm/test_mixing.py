@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -81,10 +82,59 @@ def test_one_source_takes_all_once(spark):
 def test_rows_of_the_mixture_agree_with_what_is_taken(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     said = {r.doc_id: (r.size, r.taken) for r in mixing.digest(mixing.mix(df)).collect()}
-    rows = Counter(r.doc_id for r in mixing.mixed_rows(df).select("doc_id", "shard").collect())
+    rows = Counter(r.doc_id for r in mixing.mixed_rows(df).select("doc_id").collect())
     assert all(rows[i] * size == taken for i, (size, taken) in said.items() if size)
 
 
+def test_shards_are_partitions_in_a_permuted_order(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mixed = mixing.mixed_rows(df, 4).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    held = defaultdict(list)
+    for r in mixed:
+        held[r.p].append(r.doc_id)
+    want = Counter((s, r.doc_id) for r in mixing.digest(mixing.mix(df, 4)).collect() for s in r.shards)
+    assert Counter((p, i) for p, ids in held.items() for i in ids) == want and len(held) == 4
+    assert all(ids != sorted(ids) for ids in held.values())
+    again = [(r.p, r.doc_id) for r in mixing.mixed_rows(df.repartition(3), 4).select("doc_id", F.spark_partition_id().alias("p")).collect()]
+    assert sorted(again) == sorted((r.p, r.doc_id) for r in mixed)
+
+
+def test_mixture_whatever_the_columns(spark):
+    names = ["doc_id", "text", "source", "row", "draws", "shard", "place", "own", "id", "KEY", "a.b", "m"]
+    kinds = "doc_id long, text string, source string, row int, draws int, shard int, place int, own int, id int, KEY string, `a.b` int, m map<string,int>"
+    rows = [(i, t, s, *range(6), "k", 7, {"z": 1, "y": i or 0}) for i, t, s in [(1, "a b", "s"), (1, "a b", "s"), (2, None, None), (None, "x y z", None), (3, "q", "s")]]
+    df = spark.createDataFrame(rows, kinds)
+    out = mixing.mixed_rows(df)
+    assert out.columns == names
+    said = Counter()
+    for r in mixing.digest(mixing.mix(df)).collect():
+        said[r.doc_id] += r.taken
+    got = Counter()
+    for r in out.collect():
+        got[r.doc_id] += len(r.text.split()) if r.text else 0
+    assert +got == +said
+    assert mixing.mixed_rows(df.where("false")).collect() == []
+
+
+def test_taken_words_against_brute_force(spark):
+    """What is taken of each source, from the rules alone: whole passes, then whole blocks and documents that fit the rest."""
+    rng = random.Random(3)
+    docs = [(i, "w " * rng.randint(0, 30), s) for s, n in (("a", 500), ("b", 900), ("c", 80), (None, 300)) for i in range(10_000 * (len(s or "zz")) + n, 10_000 * (len(s or "zz")) + 2 * n)]
+    docs = [(k, t, s) for k, (_, t, s) in enumerate(docs)]
+    rows = run(spark, docs)
+    source = {i: s for i, _, s in docs}
+    taken, target = check(rows, docs)
+    for s in ("a", "b", "c", None):
+        own = [r for r in rows if source[r.doc_id] == s and r.size]
+        passes = int(target[s] // own[0].source_size)
+        times = Counter(r.taken // r.size for r in own)
+        assert set(times) <= {passes, passes + 1}
+        left = target[s] - passes * own[0].source_size
+        assert sum(r.size for r in own if r.taken // r.size == passes + 1) == taken[s] - passes * own[0].source_size <= left
+        out = [r.size for r in own if r.taken // r.size == passes]
+        assert left - (taken[s] - passes * own[0].source_size) < max(out, default=1)
+
+
 def test_tree_keeps_quotas_and_halves(spark):
     quotas = {"a": 1000, "b": 37, "c": 5, "d": 1, "e": 300}
     rows = mixing.splitting_tree(spark.createDataFrame(list(quotas.items()), "key string, quota long"), 8).collect()
