@@ -1,7 +1,7 @@
 """Operator 10: the language of a text by compression.
 
-For each language a raw-content zstandard dictionary is cut from a bounded
-sample of labelled texts.  A text is encoded in pieces, every piece with every
+For each language a raw-content zstandard dictionary is put together from a
+bounded sample of labelled texts, each whole.  A text is encoded in pieces, every piece with every
 dictionary; the language with the smallest total is the prediction.  Pieces keep
 a long text from becoming its own dictionary.  The score says by how much the
 best language beats the second; below ``MARGIN`` the prediction is marked as
@@ -10,7 +10,8 @@ not reliable.
 Defined results: null text or text without a letter is ``und`` with score 0 and
 not reliable; equal sizes go to the language with more labelled texts; without a
 learned language everything is ``und``; rows with a null lang are not learned
-from.
+from; an empty table gives no rows; rows that repeat a doc_id are each judged by
+their own text.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from strandweave.llm import words as W
 from strandweave.runtime import small_batches
 
-#: What is learned from: so many labelled texts of a language at most, so many bytes of each, and so many bytes of dictionary.
-TEXTS, TEXT_BYTES, DICT_BYTES = 400, 2000, 1 << 18
+#: What is learned from: so many labelled texts of a language at most, and so many bytes of dictionary.
+TEXTS, DICT_BYTES = 400, 1 << 18
+#: A text with more than this part of the dictionary's bytes is not learned from, so that none takes the place of all others.
+SHARE = 8
 #: Bytes encoded at once, and zstandard's level.
 PIECE, LEVEL = 1024, 6
 #: Share of the second best size that the best must save to be reliable.
@@ -42,19 +44,33 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, texts: int = TEXTS, text_bytes: int = TEXT_BYTES, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+def learn(docs: DataFrame, texts: int = TEXTS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """A dictionary for each language, the most frequent first, from rows (doc_id, text, lang) that may be learned from.
 
-    A fixed draw by hash: ``texts`` rows of each language, of which the window's
-    group limit passes on no more from any task.
+    A draw by hash, with a share of each language that gives somewhat over
+    ``texts`` of its rows, is made where the rows lie.  Whole texts of it, in the
+    order of the hash, fill the dictionary; one that no longer fits is passed over.
     """
-    by_hash = Over.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "text")
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= texts)
-    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    found: dict[str, list] = {r.lang: [] for r in labelled}
-    for r in rows.select("lang", "n", F.substring("text", 1, 4 * text_bytes).alias("text")).orderBy("lang", "n").collect():
-        found[r.lang].append(normal(r.text).encode()[:text_bytes])
-    return {k: b"\n".join(v)[-dict_bytes:] for k, v in found.items()}
+    spark = docs.sparkSession
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL")
+    able = F.octet_length("text") <= dict_bytes // SHARE
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(able).alias("able")).orderBy(F.desc("n"), "lang").collect()
+    if not counts:
+        return {}
+    # One row for each language, which the driver holds already.
+    shares = spark.createDataFrame([(r.lang, min(1.0, (1.3 * texts + 30) / max(r.able, 1))) for r in counts], "_lang string, _share double")
+    hashed = F.xxhash64(F.lit(10), "doc_id", "text")
+    drawn = rows.where(able).select("lang", "text", hashed.alias("_at")).join(F.broadcast(shares), F.col("lang") == F.col("_lang"))
+    drawn = drawn.where(F.shiftrightunsigned("_at", 11).cast("double") / F.lit(float(1 << 53)) < F.col("_share")).select("lang", "_at", "text")
+    found: dict[str, list] = {r.lang: [] for r in counts}
+    size, taken = dict.fromkeys(found, 0), dict.fromkeys(found, 0)
+    for r in drawn.orderBy("lang", "_at", "text").toLocalIterator():
+        own = normal(r.text).encode()
+        if taken[r.lang] < texts and size[r.lang] + len(own) + 1 <= dict_bytes:
+            found[r.lang].append(own)
+            size[r.lang] += len(own) + 1
+            taken[r.lang] += 1
+    return {k: b"\n".join(v) for k, v in found.items()}
 
 
 def normal(text: str) -> str:

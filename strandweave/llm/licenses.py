@@ -1,7 +1,8 @@
 """Operator 7: licences of files, from their headers and from licence files above them.
 
-Every line of a file that holds a cue word is a header; header and whole text
-are compared with templates by the cosine of sparse TF-IDF vectors, the whole
+Every line of a file that holds a cue word is a header; of longer lines also the
+runs of words around each cue, so that a notice inside a paragraph or a text
+without line breaks is found.  Headers and whole text are compared with templates by the cosine of sparse TF-IDF vectors, the whole
 text also with the full licences in ``licences/``.  Terms are words and pairs of
 neighbouring words; a term's weight comes from the number of documents of the
 whole table that hold it if a template has it, and is the largest one if not.  A file whose whole text is like a template is a
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from importlib import resources
 
@@ -30,8 +32,10 @@ from pyspark.sql import functions as F
 from strandweave.llm import words as W
 from strandweave.runtime import Workspace
 
-#: Least cosine of a header and of a licence file; characters of a header line at most; salts of a directory's files.
-HEADER, FILE, LINE_CHARS, SALTS = 0.6, 0.9, 40_000, 16
+#: Least cosine of a header and of a licence file; salts of a directory's files.
+HEADER, FILE, SALTS = 0.6, 0.9, 16
+#: Lengths of the runs of words around a cue; each is tried at four places. Longer lines than the longest are not compared as a whole.
+RUNS = (8, 16, 32)
 
 #: Licence names with notices and openings by which they are known.
 TEMPLATES = {
@@ -67,6 +71,22 @@ def terms(text: str) -> Counter:
     return Counter(w) + Counter(f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True))
 
 
+def headers(line: str) -> list[str]:
+    """What is compared of a line that holds a cue: the line, if it is not long, and the runs of words around each cue."""
+    spans = [m.span() for m in _term.finditer(line.lower())]
+    if len(spans) <= RUNS[0] or len(line) != len(line.lower()):
+        return [line]
+    ends, runs = [b for _, b in spans], set()
+    for hit in _cue.finditer(line):
+        at = bisect_right(ends, hit.start())
+        for width in RUNS:
+            for k in range(4):
+                first = max(0, at - k * width // 4)
+                runs.add((first, min(len(spans), first + width) - 1))
+    out = [line] if len(spans) <= 2 * RUNS[-1] else []
+    return out + [line[spans[a][0] : spans[b][1]] for a, b in sorted(runs) if a <= b]
+
+
 VOCABULARY = sorted({t for texts in TEMPLATES.values() for x in texts for t in terms(x)})
 
 
@@ -151,10 +171,11 @@ class Scorer:
             return None, 0.0, None, 0.0
         score, name = 0.0, None
         for line in text.split("\n"):
-            if _cue.search(line) and len(line) <= LINE_CHARS:
-                s, n = self.best(line)
-                if s >= HEADER and s > score + 1e-12:
-                    score, name = s, n
+            if _cue.search(line):
+                for header in headers(line):
+                    s, n = self.best(header)
+                    if s >= HEADER and s > score + 1e-12:
+                        score, name = s, n
         s, n = self.whole(text)
         if s < FILE:
             return name, score, None, 0.0

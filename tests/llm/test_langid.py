@@ -30,3 +30,16 @@ def test_nothing_learned_and_empty_table(spark):
     rows = [(1, "some text", None, "s", "x")]
     assert [r.lang_pred for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()] == ["und"]
     assert langid.identify(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_long_texts_and_frequent_languages_take_no_others_place(spark):
+    """A long labelled text is not learned from and ends nothing; whole texts are learned, not their beginnings."""
+    junk = "xq zv kj " * 300
+    rows = [(k, "zzz qqq xxx " * 100_000, "en", "s", "x") for k in range(4)] + [(k, junk + "the cat sat on the mat and the dog too " * 20, "en", "s", "x") for k in range(10, 40)]
+    rows += [(k, junk + "der hund und die katze sitzen auf dem dach " * 20, "de", "s", "x") for k in range(50, 400)]
+    rows += [(1000, "the dog and the cat sat on the mat", None, "s", "x"), (1001, "die katze und der hund sitzen auf dem dach", None, "s", "x")]
+    learned = langid.learn(spark.createDataFrame(rows, SCHEMA).select("doc_id", "text", "lang"), texts=40)
+    assert list(learned) == ["de", "en"] and all(len(v) <= langid.DICT_BYTES for v in learned.values())
+    assert learned["de"].count(b"auf dem dach") >= 20 * 25 and b"qqq" not in learned["en"] and learned["en"].count(b"mat and") >= 20 * 20
+    by = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (by[1000], by[1001]) == ("en", "de")

@@ -1,3 +1,5 @@
+import random
+
 from strandweave.llm import licenses
 
 SCHEMA = "id long, path string, text string, license string, dir string"
@@ -51,3 +53,28 @@ def test_full_licence_files_speak_for_their_directories(spark):
     got, _ = run(spark, rows)
     assert {p: g for (i, p), g in got.items() if 100 <= i < 300} == {f"{n}/src/x.py": (n, "inherited", n) for n in texts}
     assert got[(301, "prose/b.txt")] == (None, "none", None)
+
+
+def test_notices_inside_paragraphs_and_texts_without_line_breaks(spark):
+    prose = "the old house stood by the river and nobody went there any more because of the stories " * 8
+    notices = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."}
+    rows = [(k, f"{n}/a.txt", f"{prose}{x} {prose}") for k, (n, x) in enumerate(notices.items())] + [(10 + k, f"{n}/b.txt", prose * 80 + x + " " + prose * 80) for k, (n, x) in enumerate(notices.items())]
+    assert len(rows[-1][2]) > 40_000
+    rows += [(100, "none/a.txt", prose + "with the permission of the owner and a licence to fish " + prose)]
+    got, _ = run(spark, rows)
+    assert {i: g[0] for (i, _), g in got.items()} == {i: p.split("/")[0] for i, p, _ in rows if i < 100} | {100: None}
+
+
+def test_inheritance_against_brute_force(spark):
+    rng = random.Random(11)
+    full = {n: t for n, t in licenses.full_texts().items() if n in ("MIT", "ISC", "BSD-2-Clause", "Unlicense")}
+    dirs = [""] + ["/".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    files = {f"{d}/LICENSE".lstrip("/"): rng.choice(sorted(full)) for d in dirs if rng.random() < 0.3}
+    rows = [(k, p, full[n]) for k, (p, n) in enumerate(files.items())] + [(1000 + k, f"{rng.choice(dirs)}/f{k}.py".lstrip("/"), "x = 1") for k in range(200)]
+    got, _ = run(spark, rows)
+    for i, path, _ in rows[len(files) :]:
+        up = path.rpartition("/")[0]
+        while f"{up}/LICENSE".lstrip("/") not in files and up:
+            up = up.rpartition("/")[0]
+        at = f"{up}/LICENSE".lstrip("/")
+        assert got[(i, path)] == ((files[at], "inherited", up) if at in files else (None, "none", None))
