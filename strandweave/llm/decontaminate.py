@@ -227,8 +227,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that hold no segment of any item; nothing is shuffled."""
+    """The rows of docs, all columns, that hold no segment of any item; null and empty texts stay; nothing is shuffled."""
     small_batches(docs.sparkSession)
     for block in blocks(items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))):
-        docs = docs.mapInArrow(W.tidy(_clean(_Shared(docs.sparkSession, block))), docs.schema)
+        docs = W.filtered(docs, _clean(_Shared(docs.sparkSession, block)))
     return docs

@@ -34,7 +34,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +50,10 @@ from strandweave.runtime import Workspace, running_total
 #: Bits of a block of a plane: what one look-up unpacks.
 MAGIC, HEAD, BLOCK = b"SWWM0002", "<IIQQQ", 1 << 15
 END = 2
-#: Bytes of text in a shard, on average; of text encoded at once; words that a worker remembers.
-SHARD, PIECE, KNOWN = 24 << 20, 4 << 20, 400_000
+#: Bytes of text in a shard, on average; of text encoded at once.
+SHARD, PIECE = 24 << 20, 2 << 20
+#: Words that a worker remembers within a task, and from one to the next; words that go to the library at once.
+KNOWN, KEPT, TOGETHER = 240_000, 50_000, 8192
 #: The normalizer and pre-tokenizer under which words may be encoded one by one.
 STEPS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -71,25 +73,32 @@ PLAIN = "^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[!-&(-/:;=-@\\[-`{-~]*)$"
 class Encoder:
     """Token ids of whole texts."""
 
-    def __init__(self, vocabulary: str, end: int = END, known: int = KNOWN):
+    def __init__(self, vocabulary: str, end: int = END, known: int = KNOWN, kept: int = KEPT):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         made = json.loads(vocabulary)
         self.by_word = all(made[k] == v for k, v in STEPS.items()) and all(x["special"] and not x["single_word"] and not x["lstrip"] and not x["rstrip"] and x["content"][:1] == "<" and not set(x["content"]) & set(" \t\n\v\f\r") for x in made["added_tokens"])
-        self._whole = Tokenizer.from_str(vocabulary)
-        # For lower-case letters all other steps change nothing.
-        self._letters = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": STEPS["pre_tokenizer"]["pretokenizers"][1], "added_tokens": []})) if self.by_word else None
-        self._end, self._most = end, known
-        self._forget()
-
-    def _forget(self) -> None:
+        self._coder = Tokenizer.from_str(vocabulary)
+        # For lower-case letters all steps but the one from bytes to characters change nothing.
+        self._steps = (self._coder.normalizer, self._coder.pre_tokenizer), (None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))
+        self._end, self._most, self._kept = end, known, kept
         self._number: dict[str, int] = {}
         self._starts, self._ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
+    def forget(self) -> None:
+        """Remember only the words learned first, which are mostly the frequent ones."""
+        self._number = dict(islice(self._number.items(), self._kept))
+        self._starts = self._starts[: len(self._number) + 1].copy()
+        self._ids = self._ids[: self._starts[-1]].copy()
+
+    def _encode(self, strings: list[str], letters: bool) -> list[list[int]]:
+        self._coder.normalizer, self._coder.pre_tokenizer = self._steps[letters]
+        return [e.ids for i in range(0, len(strings), TOGETHER) for e in self._coder.encode_batch_fast(strings[i : i + TOGETHER], add_special_tokens=False)]
+
     def _learn(self, strings: list[str], letters: list[bool]) -> None:
-        fresh = [s for s, x in zip(strings, letters, strict=True) if x], [s for s, x in zip(strings, letters, strict=True) if not x]
-        ids = [e.ids for coder, own in zip((self._letters, self._whole), fresh, strict=True) for e in coder.encode_batch_fast(own, add_special_tokens=False)]
+        fresh = [[s for s, x in zip(strings, letters, strict=True) if x is kind] for kind in (False, True)]
+        ids = [x for kind in (False, True) for x in self._encode(fresh[kind], kind)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self._number.update(zip(chain(*fresh), range(len(self._number), len(self._number) + len(strings)), strict=True))
         self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(sizes)])
@@ -109,11 +118,11 @@ class Encoder:
         """(ids of all texts with the end id behind each, number of ids of each); null is empty."""
         texts = pc.fill_null(texts, "")
         if not self.by_word:
-            ids = [np.array([*e.ids, self._end], np.uint32) for e in self._whole.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            ids = [np.array([*x, self._end], np.uint32) for x in self._encode(texts.to_pylist(), False)]
             return np.concatenate(ids) if ids else np.empty(0, np.uint32), np.array([len(x) for x in ids], np.int64)
         codes, ends, names = W.split(texts)
         if len(self._number) > self._most:
-            self._forget()
+            self.forget()
         cut = pc.extract_regex(names, PLAIN)
         plain = cut.is_valid()
         head = pc.if_else(plain, pc.utf8_lower(pc.struct_field(cut, "head")), names).dictionary_encode()
@@ -161,7 +170,7 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        now = ids.astype(np.uint16 if planes <= 16 else np.uint32)
+        now = ids.astype(np.uint16 if planes <= 16 else np.uint32, copy=False)
         blocks, zeros, ones, kept = -(-len(ids) // BLOCK), [], [], []
         for level in range(planes):
             b = (now & now.dtype.type(1 << (planes - 1 - level))) != 0
@@ -171,7 +180,10 @@ class WaveletMatrix:
             ones.append(np.concatenate([[0], np.cumsum(each)])[:blocks])
             zeros.append(len(b) - int(each.sum()))
             kept.append(packed)
-            now = np.concatenate([now[~b], now[b]])
+            following = np.empty_like(now)
+            np.compress(~b, now, out=following[: zeros[-1]])
+            np.compress(b, now, out=following[zeros[-1] :])
+            now = following
         return cls(len(ids), np.array(zeros), np.array(ones).reshape(planes, blocks), lambda level, k: kept[level][k * (BLOCK >> 3) : (k + 1) * (BLOCK >> 3)])
 
     def _rank1(self, level: int, i: int) -> int:
@@ -329,6 +341,17 @@ def _encoder(vocabulary: str, end: int) -> Encoder:
     return _encoders[key]
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """All parts in one array; the list is emptied on the way."""
+    out, at = np.empty(sum(map(len, parts)), np.result_type(*parts)), 0
+    parts.reverse()
+    while parts:
+        own = parts.pop()
+        out[at : at + len(own)] = own
+        at += len(own)
+    return out
+
+
 def _write(folder: str, vocabulary, end: int):
     """A sorted partition into one file: (shard, path, n_docs, n_ids)."""
 
@@ -346,10 +369,11 @@ def _write(folder: str, vocabulary, end: int):
             return
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}.swwm"
-        all_ids = np.concatenate(parts)
-        parts.clear()
-        put_file(path, to_file(WaveletMatrix.build(all_ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), doc_ids))
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(doc_ids)], pa.int64()), pa.array([len(all_ids)], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
+        encode.forget()
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        matrix = WaveletMatrix.build(_joined(parts))
+        put_file(path, to_file(matrix, bounds, doc_ids))
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(doc_ids)], pa.int64()), pa.array([matrix.n], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
     return W.tidy(run)
 

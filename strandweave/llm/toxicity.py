@@ -12,8 +12,8 @@ clearly in the sample and is a table of their weights, so prediction is a few
 look-ups for each distinct word.  Training takes a bounded sample of labelled
 rows; prediction reads every whole text where it lies, without a shuffle.
 
-Defined results: null and empty text have no features and only the intercepts
-decide; rows whose label is null or which have no text are not learned from;
+Defined results: null and empty text and others without a feature tell nothing and
+get the share of each category among the texts learned from; rows whose label is null or which have no text are not learned from;
 rows that repeat a doc_id are judged each by its text; with no labelled rows
 every probability is 0.
 """
@@ -116,10 +116,11 @@ class Chain:
     """Models of the categories in order; each has one dense input for each earlier category."""
 
     def __init__(self, categories=CHAIN):
-        self.categories, self.models = tuple(categories), []
+        self.categories, self.models, self.shares = tuple(categories), [], [0.0] * len(categories)
 
     def fit(self, sets: list[set], labels: np.ndarray) -> Chain:
         """labels: a column of 0 and 1 for each category."""
+        self.shares = labels.mean(axis=0).tolist()
         held = Counter()
         for s in sets:
             held.update(s)
@@ -143,10 +144,13 @@ class Chain:
         return {f for m in self.models for f in m.weights}
 
     def predict(self, held) -> list[float]:
+        known = [f for f in held if any(f in m.weights for m in self.models)]
+        if not known:
+            return list(self.shares)
         out: list[float] = []
         for m in self.models:
-            out.append(float(probability(m.logit(held, out))))
-        return out or [0.0] * len(self.categories)
+            out.append(float(probability(m.logit(known, out))))
+        return out
 
 
 class Reader:
@@ -250,6 +254,6 @@ def judge(docs: DataFrame, chain: Chain) -> DataFrame:
 
 
 def remove_toxic(docs: DataFrame, chain: Chain) -> DataFrame:
-    """The rows of docs, all columns, that aren't rejected."""
+    """The rows of docs, all columns, that aren't rejected; each row is judged by its own text, and null and empty texts stay unless most of those learned from were rejected."""
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(W.tidy(_judge(docs.sparkSession.sparkContext.broadcast(chain), True)), docs.schema)
+    return W.filtered(docs, _judge(docs.sparkSession.sparkContext.broadcast(chain), True))

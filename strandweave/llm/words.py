@@ -99,6 +99,13 @@ def tidy(run):
     return tidied
 
 
+def filtered(docs, run):
+    """docs through a function for mapInArrow that leaves out rows; it may read doc_id and text, other columns may have any names."""
+    names = docs.columns
+    plain = docs.toDF(*[n if n in ("doc_id", "text") else f"_{i}" for i, n in enumerate(names)])
+    return plain.mapInArrow(tidy(run), plain.schema).toDF(*names)
+
+
 def batches(it, column: str = "text", limit: int = 4 << 20):
     """Record batches cut so that each holds about ``limit`` bytes of text or a single row."""
     for batch in it:

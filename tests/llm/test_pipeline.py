@@ -45,3 +45,46 @@ def test_run_equals_the_stages(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.columns == ["doc_id", "start", "n_tokens", "ids_crc32", "shard"]
     assert rows.count() > 50
+
+
+def awkward(spark, folder, docs, items):
+    kinds = "doc_id long, text string, lang string, source string, n_chars long, gone string, shard int, place int, `row` int, _slot int, `a.b` map<string,int>"
+    spark.createDataFrame([(*d, "en", "s", len(d[1] or ""), "g", 1, 2, 3, 4, {"k": 1}) if len(d) == 2 else (d[0], d[1], None, d[2], 0, None, None, None, None, None, None) for d in docs], kinds).write.parquet(f"{folder}/documents.parquet")
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(40)] + [(None, 1, 1), (900, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_awkward_rows_pass_all_stages(spark, tmp_path):
+    good = lambda k: f"a lovely day number {k} for a walk by the river with friends and cake {k * 7}"
+    item = "what colour is the lovely sky above the quiet hills at noon in the early spring of the year"
+    docs = [(k, f"you are an awful idiot and scum of kind {k}" if k % 3 == 0 else good(k)) for k in range(40)]
+    clean = [(100, None), (101, ""), (102, " \t"), (None, good(500)), (None, None), (103, good(1) + " more"), (104, good(600)), (104, good(600)), (105, "w " * 100_000), (106, good(700), None), (107, None, None)]
+    docs += [*clean, (200, f"It was asked: {item}! So."), (201, good(1)), (202, good(1).upper())]
+    folder = awkward(spark, tmp_path / "t", docs, [(1, item), (2, None), (3, ""), (None, "?!"), (4, item)])
+    frame, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    columns = frame.columns
+    for name, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, frame, folder)
+        if name != "token_output":
+            assert frame.columns == columns
+        frame.write.parquet(f"{folder}/{name}")
+        frame = spark.read.parquet(f"{folder}/{name}")
+        kept[name] = sorted((r.doc_id for r in frame.collect()), key=str)
+    toxic = set(range(0, 40, 3))
+    first = [d[0] for d in docs if d[0] not in toxic]
+    assert kept["toxicity"] == sorted(first, key=str)
+    # 103 shares 18 of 22 shingles with 1, 104 is there twice, 201 and 202 are copies of 1.
+    second = [i for i in first if i not in (103, 104, 201, 202)] + [104]
+    assert kept["near_dedup"] == sorted(second, key=str)
+    third = [i for i in second if i != 200]
+    assert kept["decontamination"] == sorted(third, key=str)
+    words = Counter(i for i in kept["mixing"])
+    assert set(words) <= set(third) and max(n / third.count(i) for i, n in words.items()) <= 3
+    assert kept["token_output"] == kept["mixing"]
+
+
+def test_empty_tables_stay_empty(spark, tmp_path):
+    folder = awkward(spark, tmp_path / "t", [], [])
+    assert corpus_pipeline.run(spark, folder).collect() == []

@@ -116,6 +116,6 @@ def test_other_vocabularies_encode_whole_texts(name):
 def test_forgetting_changes_nothing():
     texts = pa.array([f"word{i} Word{i}! été{i % 7}, {i}" for i in range(300)])
     vocabulary = open(PATH, encoding="utf-8").read()
-    a, b = tokens.Encoder(vocabulary), tokens.Encoder(vocabulary, known=10)
+    a, b = tokens.Encoder(vocabulary), tokens.Encoder(vocabulary, known=10, kept=4)
     for k in range(0, 300, 50):
         assert a(texts.slice(k, 50))[0].tolist() == b(texts.slice(k, 50))[0].tolist()
