@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandweave.functions import dna
-from strandweave.operators import dictionary, graph, mapping, pathindex, pathing, selection, stats, typing31
+from strandweave.operators import dictionary, graph, mapping, pathindex, pathing, selection, stats, stored, typing31
 from strandweave.plans import oracles as O
 from strandweave.plans import testdata as T
 from strandweave.runtime import Workspace
@@ -241,6 +241,53 @@ def edge_list_distribution(spark, sf_dir):
     return graph.edge_list_lengths(graph.edges(T.Indexed(spark, sf_dir, "edge_lists").visits))
 
 
+# Stored index
+
+
+def _saved(spark, sf_dir, name):
+    """An index of the documents that went to disk and came back."""
+    ws = Workspace(spark, name)
+    seqs = T.sequences(spark, sf_dir)
+    files = T.with_files(ws, seqs, starts=False).select("seq_ord", "file")
+    made = stored.build(ws, seqs.select("seq_ord", "seq").join(files, "seq_ord"), P)
+    stored.save_index(made, f"{ws.path}/index", command=name)
+    return stored.load_index(spark, f"{ws.path}/index", P)
+
+
+@query("saved_roundtrip", f"WITH {O.SEQS} SELECT seq_ord AS path_id, sha256(seq) AS digest FROM seqs")
+def saved_roundtrip(spark, sf_dir):
+    rebuilt = stored.sequences_of(_saved(spark, sf_dir, "saved_roundtrip"))
+    return rebuilt.select("path_id", F.sha2(F.col("seq").cast("binary"), 256).alias("digest"))
+
+
+@query("saved_nodes", f"{O.DICT} SELECT node, canon, count, max_count, first_seq, first_pos, loc FROM nodes")
+def saved_nodes(spark, sf_dir):
+    nodes = _saved(spark, sf_dir, "saved_nodes").nodes.select("node", "canon", "count", "max_count", "first_seq", "first_pos", "loc")
+    return dictionary.with_text(nodes, P)
+
+
+@query("saved_edges", O.edges(O.PATHS))
+def saved_edges(spark, sf_dir):
+    return _saved(spark, sf_dir, "saved_edges").edges
+
+
+@query("saved_starts", f"{O.PATHS}, {O.BOTH} SELECT path_id, strand, node, (row_number() OVER (PARTITION BY node ORDER BY path_id, strand DESC) - 1)::BIGINT AS number FROM both_ WHERE idx = 0")
+def saved_starts(spark, sf_dir):
+    return _saved(spark, sf_dir, "saved_starts").starts
+
+
+@query("saved_violations", "SELECT '' AS what, '' AS key WHERE false")
+def saved_violations(spark, sf_dir):
+    return stored.check_index(_saved(spark, sf_dir, "saved_violations"))
+
+
+@query("map_saved", f"{O.DICT}, {O.BENCH}, {O.sampled('b', 'bseqs')} SELECT bo.seq_ord, bo.pos, coalesce(n.node * bo.orient, 0)::BIGINT AS node FROM bo LEFT JOIN nodes n USING (canon) WHERE NOT poly")
+def map_saved(spark, sf_dir):
+    index = _saved(spark, sf_dir, "map_saved")
+    occurrences = selection.syncmers(T.benchmark_sequences(spark, sf_dir), index.params)
+    return dictionary.look_up(occurrences, index.nodes).select("seq_ord", "pos", "node")
+
+
 # Statistics
 
 
@@ -261,7 +308,7 @@ def histogram_summary(spark, sf_dir):
 
 
 @query("file_summary", f"""{O.DICT}, c AS (SELECT seq_ord, count(*) AS fragments FROM o WHERE NOT poly GROUP BY ALL), f AS (SELECT first_seq AS seq_ord, count(*) AS new FROM nodes GROUP BY ALL)
-SELECT file, count(*) AS sequences, sum(len)::BIGINT AS bases, coalesce(sum(fragments), 0)::BIGINT AS fragments, coalesce(sum(new), 0)::BIGINT AS new FROM files LEFT JOIN c USING (seq_ord) LEFT JOIN f USING (seq_ord) GROUP BY ROLLUP (file)""")
+SELECT file, count(*) AS sequences, sum(len)::BIGINT AS bases, coalesce(sum(fragments), 0)::BIGINT AS fragments, coalesce(sum(new), 0)::BIGINT AS new, CASE WHEN grouping(file) = 1 AND sum(new) > 0 THEN round(coalesce(sum(fragments), 0) / sum(new), 6) END AS coverage FROM files LEFT JOIN c USING (seq_ord) LEFT JOIN f USING (seq_ord) GROUP BY ROLLUP (file)""")
 def file_summary(spark, sf_dir):
     x = T.Indexed(spark, sf_dir, "file_summary")
     return stats.file_summary(x.files, x.occurrences, x.nodes)
@@ -443,12 +490,12 @@ def map_no_match(spark, sf_dir):
     return mapping.without_match(found, seqs.select(F.col("seq_ord").alias("query")))
 
 
-@query("filter_polyg", f"WITH {O.SEQS} SELECT seq_ord, CASE WHEN regexp_matches(seq, 'g{{4,}}') THEN 'G' WHEN length(seq) = 0 THEN 'Z' END AS code FROM seqs")
+@query("filter_polyg", f"WITH {O.SEQS} SELECT seq_ord, CASE WHEN regexp_matches(seq, 'g{{4,}}') THEN 'G' END AS code FROM seqs")
 def filter_polyg(spark, sf_dir):
     return mapping.filter_code(T.sequences(spark, sf_dir), poly_g=3).select("seq_ord", "code")
 
 
-@query("filter_quality", f"WITH {O.SEQS}, q AS (SELECT seq_ord, seq, CASE WHEN length(seq) > 0 THEN list_avg(list_transform(range(0, length(seq)), lambda i: ((i * 7 + seq_ord) % 41))) END AS mean FROM seqs) SELECT seq_ord, CASE WHEN mean > 0 AND mean < 20 THEN 'Q' WHEN length(seq) = 0 THEN 'Z' END AS code FROM q")
+@query("filter_quality", f"WITH {O.SEQS}, q AS (SELECT seq_ord, seq, CASE WHEN length(seq) > 0 THEN list_avg(list_transform(range(0, length(seq)), lambda i: ((i * 7 + seq_ord) % 41))) END AS mean FROM seqs) SELECT seq_ord, CASE WHEN mean > 0 AND mean < 20 THEN 'Q' END AS code FROM q")
 def filter_quality(spark, sf_dir):
     seqs = T.sequences(spark, sf_dir)
     qual = F.when(F.length("seq") > 0, F.transform(F.sequence(F.lit(0), F.length("seq") - 1), lambda i: (i * 7 + F.col("seq_ord")) % 41)).otherwise(F.array().cast("array<bigint>"))

@@ -24,12 +24,10 @@ def build(ws: Workspace, occurrences: DataFrame, seqs: DataFrame, after: int = R
     occurrence's place among all bases.  Ids go on after ``after``.
     """
     real = occurrences.where("NOT poly").join(seqs.select("seq_ord", "file"), "seq_ord")
-    place = F.shiftleft(F.col("seq_ord"), 31).bitwiseOR(F.col("pos"))
-    of_file = real.groupBy("canon", "file").agg(F.count("*").alias("c"), F.min(F.shiftleft(place, 1).bitwiseOR((F.col("orient") > 0).cast("long"))).alias("first"))
+    of_file = real.groupBy("canon", "file").agg(F.count("*").alias("c"), F.min(F.struct("seq_ord", "pos", "orient")).alias("first"))
     nodes = of_file.groupBy("canon").agg(F.sum("c").alias("count"), F.max(F.least("c", F.lit(MOST_PER_FILE))).cast("int").alias("max_count"), F.min("first").alias("first"))
-    nodes = running_total(ws, nodes, ["first"], name="rank").withColumn("node", F.col("rank") + 1 + after)
-    nodes = nodes.withColumn("first_seq", F.shiftright("first", 32)).withColumn("first_pos", F.shiftright("first", 1).bitwiseAND(F.lit((1 << 31) - 1)))
-    nodes = nodes.withColumn("first_orient", F.when(F.col("first").bitwiseAND(F.lit(1)) == 1, 1).otherwise(-1))
+    nodes = nodes.select("canon", "count", "max_count", F.col("first.seq_ord").alias("first_seq"), F.col("first.pos").alias("first_pos"), F.when(F.col("first.orient") > 0, 1).otherwise(-1).alias("first_orient"))
+    nodes = running_total(ws, nodes, ["first_seq", "first_pos"], name="rank").withColumn("node", F.col("rank") + 1 + after)
     nodes = nodes.join(seqs.select(F.col("seq_ord").alias("first_seq"), "start"), "first_seq")
     return nodes.select("node", "canon", "count", "max_count", "first_seq", "first_pos", "first_orient", (F.col("start") + F.col("first_pos")).alias("loc"))
 
@@ -64,12 +62,21 @@ def only_new(occurrences: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def extend(ws: Workspace, nodes: DataFrame, occurrences: DataFrame, seqs: DataFrame) -> DataFrame:
-    """(node, canon, count, is_new): the dictionary after counting more occurrences; new ids go on after the largest."""
+    """nodes after counting more occurrences, with is_new; new ids go on after the largest.
+
+    An old node keeps its id and its first place; its max_count is the larger of
+    the old one and that of the new files.  Of nodes without max_count and places
+    only node, canon and count are returned.
+    """
     last = nodes.agg(F.max("node").alias("m")).first().m or RESERVED
-    fresh = build(ws, only_new(occurrences, nodes), seqs, last).select("node", "canon", "count", F.lit(True).alias("is_new"))
-    more = occurrences.where("NOT poly").groupBy("canon").agg(F.count("*").alias("more"))
-    old = nodes.join(more, "canon", "left").select("node", "canon", (F.col("count") + F.coalesce("more", F.lit(0))).alias("count"), F.lit(False).alias("is_new"))
-    return old.unionByName(fresh)
+    kept = [c for c in ("max_count", "first_seq", "first_pos", "first_orient", "loc") if c in nodes.columns]
+    fresh = build(ws, only_new(occurrences, nodes), seqs, last).select("node", "canon", "count", *kept, F.lit(True).alias("is_new"))
+    of_file = occurrences.where("NOT poly").join(seqs.select("seq_ord", "file"), "seq_ord").groupBy("canon", "file").agg(F.count("*").alias("c"))
+    more = of_file.groupBy("canon").agg(F.sum("c").alias("_more"), F.max(F.least("c", F.lit(MOST_PER_FILE))).cast("int").alias("_most"))
+    old = nodes.join(more, "canon", "left").withColumn("count", F.col("count") + F.coalesce("_more", F.lit(0)))
+    if "max_count" in kept:
+        old = old.withColumn("max_count", F.greatest("max_count", "_most"))
+    return old.select("node", "canon", "count", *kept, F.lit(False).alias("is_new")).unionByName(fresh)
 
 
 def zero_counts(nodes: DataFrame) -> DataFrame:

@@ -42,26 +42,39 @@ def node_classes(edges_: DataFrame) -> DataFrame:
     return rows.withColumn("class", F.when(simple_in & simple_out, "simple").when(simple_in, "simple_in").when(simple_out, "simple_out").otherwise("complex"))
 
 
+def blank_nodes(edges_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node): nodes of the dictionary that no path visits."""
+    return nodes.select("node").join(edges_.select(F.abs("node").alias("node")).distinct(), "node", "left_anti")
+
+
 def statistics(edges_: DataFrame) -> DataFrame:
     """(stat, value): figures of the whole graph; a side with one edge is simple.
 
-    The expected search time weighs an edge's place in its side's list, by
-    falling count, with its count; complex sides only.
+    Ids up to the largest that no path visits are blank nodes.  The expected
+    search time weighs an edge's place in its side's directory, which is in the
+    order of gap and adjacent node, with its count; like the largest count of an
+    edge and the most paths through a side it is taken over complex sides.
     """
     s = sides(edges_)
+    complex_ = F.col("n_edges") > 1
     of_sides = s.agg(
         F.countDistinct("node").alias("nodes"),
+        (F.max("node") - F.countDistinct("node")).alias("blank_nodes"),
         F.coalesce(F.sum(F.when(F.col("n_edges") == 1, 1)), F.lit(0)).alias("simple_sides"),
-        F.coalesce(F.sum(F.when(F.col("n_edges") > 1, 1)), F.lit(0)).alias("complex_sides"),
+        F.coalesce(F.sum(F.when(complex_, 1)), F.lit(0)).alias("complex_sides"),
+        (F.coalesce(F.sum(F.when(complex_, 1)), F.lit(0)) / (2 * F.max("node")) * 100).alias("complex_percent"),
         F.max("n_edges").alias("max_edge_list"),
-        F.max("visits").alias("max_paths_through"),
+        F.max(F.when(complex_, F.col("visits"))).alias("max_paths_through"),
     )
-    ranked = edges_.withColumn("place", F.row_number().over(Over.partitionBy("node").orderBy(F.desc("count"), "adj", "off"))).withColumn("n", F.count("*").over(Over.partitionBy("node")))
+    here = Over.partitionBy("node")
+    ranked = edges_.withColumn("place", F.row_number().over(here.orderBy("off", "adj"))).withColumn("n", F.count("*").over(here))
+    several = F.col("n") > 1
     of_edges = ranked.agg(
-        F.max("count").alias("max_edge_count"),
+        F.max(F.when(several, F.col("count"))).alias("max_edge_count"),
         F.count("*").alias("edge_lines"),
         F.floor(F.count("*") / 2).alias("edges"),
-        (F.sum(F.when(F.col("n") > 1, F.col("count") * F.col("place"))) / F.sum(F.when(F.col("n") > 1, F.col("count")))).alias("expected_search"),
+        F.floor(F.coalesce(F.sum(F.when(F.col("adj") == 0, F.col("count"))), F.lit(0)) / 2).alias("sequences"),
+        (F.sum(F.when(several, F.col("count") * F.col("place"))) / F.sum(F.when(several, F.col("count")))).alias("expected_search"),
     )
     return _melted(of_sides).unionByName(_melted(of_edges))
 

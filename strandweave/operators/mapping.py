@@ -90,10 +90,10 @@ def without_match(found: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def filter_code(reads: DataFrame, poly_g: int | None = None, quality: float | None = None) -> DataFrame:
-    """reads (seq, qual) with code: Q for a mean quality over 0 and below the limit, G for a run of more than poly_g g, Z for no bases, else null."""
-    code = F.when(F.length("seq") == 0, "Z")
+    """reads (seq, qual) with code: Q for a mean quality over 0 and below the limit, else G for a run of more than poly_g g, else null; empty reads pass."""
+    code = F.lit(None).cast("string")
     if poly_g is not None:
-        code = F.coalesce(F.when(F.col("seq").rlike(f"g{{{poly_g + 1},}}"), "G"), code)
+        code = F.when(F.col("seq").rlike(f"g{{{poly_g + 1},}}"), "G")
     if quality is not None:
         mean = dna.mean_quality(F.col("qual"))
         code = F.coalesce(F.when((mean > 0) & (mean < quality), "Q"), code)

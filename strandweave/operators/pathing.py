@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
@@ -10,6 +9,9 @@ from pyspark.sql import functions as F
 from strandweave.functions import dna
 from strandweave.params import SampleParams
 
+#: Bases that are put together in one row.
+STRETCH = 1 << 20
+
 
 def visits(found: DataFrame) -> DataFrame:
     """(path_id, idx, node, pos) of occurrences with signed nodes (seq_ord, pos, node)."""
@@ -60,38 +62,43 @@ def both_strands(visited: DataFrame) -> DataFrame:
     return rows.select("path_id", F.explode(F.array(there, back)).alias("v")).select("path_id", "v.*")
 
 
-def rebuild(visited: DataFrame, nodes: DataFrame, ends_: DataFrame, p: SampleParams) -> DataFrame:
-    """(path_id, seq): the sequences that paths with their ends stand for.
+def pieces(visited: DataFrame, nodes: DataFrame, ends_: DataFrame, p: SampleParams) -> DataFrame:
+    """(path_id, at, text): what each step of a path adds to its sequence, and the ends; at is the text's first base.
 
-    Where homopolymer nodes were left out, the gap is filled with the last base.
+    A step's text goes up to where the next one's begins, so pieces neither
+    overlap nor leave a gap; where homopolymer nodes were left out the last base is
+    repeated.  Joins and windows only: no path is ever in one row.
     """
-    known = nodes.select(F.col("node").alias("_n"), "canon")
-    texts = visited.join(known, F.abs("node") == F.col("_n")).select("path_id", F.struct("pos", "canon", (F.col("node") < 0).alias("back")).alias("x"))
-    lists = texts.groupBy("path_id").agg(F.array_sort(F.collect_list("x")).alias("steps"))
-    length = p.length
-    complement = bytes.maketrans(b"acgt", b"tgca")
-    quads = [bytes(b"acgt"[b >> s & 3] for s in (6, 4, 2, 0)) for b in range(256)]
-
-    def run(it):
-        for batch in it:
-            out = []
-            for prefix, steps, suffix in zip(*(batch.column(c).to_pylist() for c in ("prefix", "steps", "suffix")), strict=True):
-                parts, at = [prefix.encode()], None
-                for s in steps or ():
-                    text = b"".join(map(quads.__getitem__, s["canon"]))[:length]
-                    if s["back"]:
-                        text = text.translate(complement)[::-1]
-                    if at is not None and s["pos"] > at:
-                        parts.append(last * (s["pos"] - at))
-                        at = s["pos"]
-                    parts.append(text if at is None else text[at - s["pos"] :])
-                    at, last = s["pos"] + length, text[-1:]
-                parts.append(suffix.encode())
-                out.append(b"".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column("path_id"), pa.array(out, pa.binary()).cast(pa.string())], ["path_id", "seq"])
-
-    rows = ends_.join(lists, "path_id", "left").select("path_id", "prefix", "steps", "suffix")
-    return rows.mapInArrow(run, "path_id long, seq string")
+    text = node_text(nodes, p)
+    along = Over.partitionBy("path_id").orderBy("pos")
+    steps = visited.select("path_id", "node", "pos", F.lead("pos").over(along).alias("next"))
+    steps = steps.join(text, F.abs("node") == F.col("_n"))
+    whole = F.when(F.col("node") < 0, dna.reverse_complement(F.col("_text"))).otherwise(F.col("_text"))
+    wanted = F.coalesce(F.col("next") - F.col("pos"), F.lit(p.length)).cast("int")
+    filled = F.when(wanted <= p.length, F.substring(whole, F.lit(1), wanted)).otherwise(F.concat(whole, F.repeat(F.substring(whole, -1, 1), wanted - p.length)))
+    middle = steps.select("path_id", F.col("pos").cast("long").alias("at"), filled.alias("text"))
+    last = visited.groupBy("path_id").agg((F.max("pos") + p.length).alias("end"))
+    tail = ends_.join(last, "path_id", "left").select("path_id", F.coalesce(F.col("end"), F.length("prefix")).cast("long").alias("at"), F.col("suffix").alias("text"))
+    head = ends_.select("path_id", F.lit(0).cast("long").alias("at"), F.col("prefix").alias("text"))
+    return middle.unionByName(head.where("text <> ''")).unionByName(tail.where("text <> ''"))
+
+
+def node_text(nodes: DataFrame, p: SampleParams) -> DataFrame:
+    """(_n, _text) of each node."""
+    return nodes.select(F.col("node").alias("_n"), dna.unpacked(F.col("canon"), p.length).alias("_text"))
+
+
+def stretches(visited: DataFrame, nodes: DataFrame, ends_: DataFrame, p: SampleParams, width: int = STRETCH) -> DataFrame:
+    """(path_id, stretch, at, seq): sequences in stretches of about ``width`` bases, one row each, however long the path."""
+    held = pieces(visited, nodes, ends_, p).withColumn("stretch", F.floor(F.col("at") / width))
+    lists = held.groupBy("path_id", "stretch").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("x"))
+    return lists.select("path_id", "stretch", F.col("x")[0]["at"].alias("at"), F.array_join(F.col("x.text"), "").alias("seq"))
+
+
+def rebuild(visited: DataFrame, nodes: DataFrame, ends_: DataFrame, p: SampleParams) -> DataFrame:
+    """(path_id, seq): the sequences that paths with their ends stand for; ``stretches`` gives those too long for one row."""
+    parts = stretches(visited, nodes, ends_, p).groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("stretch", "seq"))).alias("x"))
+    return ends_.select("path_id").join(parts, "path_id", "left").select("path_id", F.coalesce(F.array_join(F.col("x.seq"), ""), F.lit("")).alias("seq"))
 
 
 def differences(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -39,12 +39,13 @@ def histogram_summary(nodes: DataFrame) -> DataFrame:
 
 
 def file_summary(seqs: DataFrame, occurrences: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(file, sequences, bases, fragments, new): a row for each file and one, with null, for all."""
+    """(file, sequences, bases, fragments, new, coverage): a row for each file and one, with null, for all, which has the fragments of a node on average."""
     of_seq = occurrences.where("NOT poly").groupBy("seq_ord").agg(F.count("*").alias("fragments"))
     fresh = nodes.groupBy(F.col("first_seq").alias("seq_ord")).agg(F.count("*").alias("new"))
     rows = seqs.select("seq_ord", "file", "len").join(of_seq, "seq_ord", "left").join(fresh, "seq_ord", "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
-    return rows.rollup("file").agg(F.count("*").alias("sequences"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("bases"), total("fragments"), total("new"))
+    mean = F.when((F.grouping("file") == 1) & (F.sum("new") > 0), F.round(F.coalesce(F.sum("fragments"), F.lit(0)) / F.sum("new"), 6)).alias("coverage")
+    return rows.rollup("file").agg(F.count("*").alias("sequences"), F.coalesce(F.sum("len"), F.lit(0)).cast("long").alias("bases"), total("fragments"), total("new"), mean)
 
 
 def base_skew(nodes: DataFrame) -> DataFrame:

@@ -71,11 +71,12 @@ def edges(source: str) -> str:
 def statistics(source: str) -> str:
     one = "SELECT '{0}' AS stat, round(({1})::DOUBLE, 6) AS value FROM {2}"
     parts = [
-        one.format("nodes", "count(DISTINCT node)", "sides"), one.format("simple_sides", "count(*) FILTER (n_edges = 1)", "sides"), one.format("complex_sides", "count(*) FILTER (n_edges > 1)", "sides"),
-        one.format("max_edge_list", "max(n_edges)", "sides"), one.format("max_paths_through", "max(visits)", "sides"), one.format("max_edge_count", "max(count)", "edges"), one.format("edge_lines", "count(*)", "edges"),
+        one.format("nodes", "count(DISTINCT node)", "sides"), one.format("blank_nodes", "max(node) - count(DISTINCT node)", "sides"), one.format("complex_percent", "100.0 * count(*) FILTER (n_edges > 1) / (2 * max(node))", "sides"),
+        one.format("sequences", "floor(coalesce(sum(count) FILTER (adj = 0), 0) / 2)", "edges"), one.format("simple_sides", "count(*) FILTER (n_edges = 1)", "sides"), one.format("complex_sides", "count(*) FILTER (n_edges > 1)", "sides"),
+        one.format("max_edge_list", "max(n_edges)", "sides"), one.format("max_paths_through", "max(visits) FILTER (n_edges > 1)", "sides"), one.format("max_edge_count", "max(count) FILTER (n > 1)", "placed"), one.format("edge_lines", "count(*)", "edges"),
         one.format("edges", "floor(count(*) / 2)", "edges"), one.format("expected_search", "sum(count * place) FILTER (n > 1) / sum(count) FILTER (n > 1)", "placed"),
     ]
-    placed = "placed AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY count DESC, adj, off) AS place, count(*) OVER (PARTITION BY node) AS n FROM edges)"
+    placed = "placed AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY off, adj) AS place, count(*) OVER (PARTITION BY node) AS n FROM edges)"
     return f"{source}, {BOTH}, {EDGES}, {SIDES}, {placed} " + " UNION ALL ".join(parts)
 
 
