@@ -84,6 +84,44 @@ def unpacked(data: Column, length) -> Column:
     return F.when(F.length(data) == 0, F.lit("")).otherwise(F.substring(F.array_join(bases, ""), F.lit(1), F.lit(length) if isinstance(length, int) else length))
 
 
+def reverse_complement_packed(data: Column, length) -> Column:
+    """The reverse complement of packed bases, packed."""
+    return packed(reverse_complement(unpacked(data, length)))
+
+
+def with_runs(seq: Column) -> tuple[Column, Column]:
+    """(bases, runs): n read as a, and what was read so as an array of (start, end), half-open."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(seq), F.lit(1))), lambda i: F.lower(F.substring(seq, i, F.lit(1))) == "n")
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def add(runs, i):
+        last = F.element_at(runs, -1)
+        grown = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(last["start"].alias("start"), i.alias("end"))))
+        return F.when((F.size(runs) > 0) & (F.try_element_at(runs, F.lit(-1))["end"] == i - 1), grown).otherwise(F.concat(runs, F.array(F.struct((i - 1).alias("start"), i.alias("end")))))
+
+    return clean(seq), F.when(F.length(seq) == 0, none).otherwise(F.aggregate(starts, none, add))
+
+
+def only_bases(seq: Column) -> Column:
+    """Whether there is nothing but a, c, g and t in either case."""
+    return ~seq.rlike("[^ACGTacgt]")
+
+
+#: Amino acids in the order of their numbers; b, x and z have the number behind the last.
+AMINO = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def amino_text(seq: Column) -> Column:
+    """Amino acids in capitals, b and z as X; other letters are dropped."""
+    return F.translate(F.regexp_replace(F.upper(seq), f"[^{AMINO}BXZ]", ""), "BZ", "XX")
+
+
+def amino_numbers(seq: Column) -> Column:
+    """Amino acids as numbers from 0; 20 for b, x and z; other letters are dropped."""
+    letters = F.filter(F.split(amino_text(seq), ""), lambda x: x != "")
+    return F.transform(letters, lambda x: F.instr(F.lit(AMINO + "X"), x) - 1)
+
+
 def first_mismatch(a: Column, b: Column) -> Column:
     """0 if equal, else 1 + the first place in which two sequences of one length differ."""
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.substring(a, i, F.lit(1)) != F.substring(b, i, F.lit(1)))

@@ -90,6 +90,19 @@ def limit_counts(ws: Workspace, nodes: DataFrame, least: int, most: int = 0) ->
     return kept.withColumn("node", F.col("rank") + 1 + RESERVED).drop("rank")
 
 
+def index_without(ws: Workspace, index: DataFrame, gone: DataFrame) -> DataFrame:
+    """An index (value, index) after removing gone (value): the others keep their numbers' order and are dense again."""
+    kept = index.join(gone.select("value"), "value", "left_anti").withColumnRenamed("index", "_old")
+    return running_total(ws, kept, ["_old"], name="index").select("value", "index")
+
+
+def index_with(ws: Workspace, index: DataFrame, added: DataFrame) -> DataFrame:
+    """An index (value, index) after adding values (value): those it lacks get the next numbers, in their own order."""
+    last = index.agg(F.max("index").alias("m")).first().m
+    fresh = running_total(ws, added.select("value").distinct().join(index, "value", "left_anti"), ["value"], name="index")
+    return index.select("value", "index").unionByName(fresh.select("value", (F.col("index") + (-1 if last is None else last) + 1).alias("index")))
+
+
 def dense_index(ws: Workspace, values: DataFrame, column: str, order: list | None = None) -> DataFrame:
     """(value, index): distinct values with dense numbers from 0, in their own order or that of their smallest ``order``."""
     if order:

@@ -77,6 +77,21 @@ def unique_places(found: DataFrame, chains: DataFrame, nodes: DataFrame, p: Samp
     return spans.select("query", "start", "end", place.cast("long").alias("place"), strand.alias("strand"))
 
 
+def output(queries: DataFrame, found: DataFrame, lacking: DataFrame, placed: DataFrame, ids: bool = True) -> DataFrame:
+    """One row for each query (query, len, id, code): its matches, missing fragments and unique places as arrays, in order of place.
+
+    ``found`` comes from match_positions, ``lacking`` from missing, ``placed`` from
+    unique_places; without ``ids`` the queries' names are left out.
+    """
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(*[c for c in rows.columns if c != "query"]))).alias(name))
+
+    out = queries.select("query", "len", *(["id"] if ids else []), *(["code"] if "code" in queries.columns else []))
+    for rows, name in ((found, "matches"), (lacking, "missing"), (placed, "places")):
+        out = out.join(listed(rows, name), "query", "left").withColumn(name, F.coalesce(name, F.array()))
+    return out
+
+
 def totals(found: DataFrame, queries: DataFrame) -> DataFrame:
     """(matches, mean_length, mean_count, without): over positions of matches and the queries (query)."""
     some = found.select("query").distinct().withColumn("hit", F.lit(1))

@@ -135,6 +135,63 @@ def walk(ws: Workspace, lists: DataFrame) -> DataFrame:
     return now.select(F.col("root.n").alias("start_node"), F.col("root.a").alias("start_place"), F.col("steps").alias("step"), "node")
 
 
+def insert(lists: DataFrame, added: DataFrame) -> DataFrame:
+    """lists (node, place, next_node, next_gap) with added rows, whose place is that among the list as it is.
+
+    What stood at the place and behind moves on; of several added at one place the
+    one with the smaller symbol comes first.  A place behind the end means the end.
+    """
+    columns = ["node", "place", "next_node", "next_gap"]
+    both = lists.select(*columns, F.lit(1).alias("_old")).unionByName(added.select(*columns, F.lit(0).alias("_old")))
+    order = Over.partitionBy("node").orderBy("place", "_old", "next_node", "next_gap")
+    return both.withColumn("place", (F.row_number().over(order) - 1).cast("long")).select(*columns)
+
+
+def ranges(run_lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, node, low, high) of asked (id, node): all visits of a node, where a match begins."""
+    return asked.join(lengths(run_lists).select("node", "length"), "node").select("id", "node", F.lit(0).cast("long").alias("low"), F.col("length").cast("long").alias("high"))
+
+
+def arrivals(run_lists: DataFrame) -> DataFrame:
+    """(node, next_node, next_gap, base): the place, among the next node's visits, of the first that comes from a node by a gap."""
+    came = counts(run_lists).where("next_node <> 0").withColumnsRenamed({"node": "a", "next_node": "n", "next_gap": "g", "count": "c"})
+    whole = lengths(run_lists).select(F.col("node").alias("n"), "length").join(came.groupBy("n").agg(F.sum("c").alias("came")), "n")
+    order = Over.partitionBy("n").orderBy("g", "a").rowsBetween(Over.unboundedPreceding, -1)
+    base = came.withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0))).join(whole, "n")
+    return base.select(F.col("a").alias("node"), F.col("n").alias("next_node"), F.col("g").alias("next_gap"), (F.col("length") - F.col("came") + F.col("before")).cast("long").alias("base"))
+
+
+def narrow(run_lists: DataFrame, bases: DataFrame, now: DataFrame) -> DataFrame:
+    """(id, node, low, high): ranges (id, node, low, high, next_node, next_gap) after one more step; those that end empty are left out.
+
+    Runs of a node and its range meet on the node and the symbol, so a step reads
+    the runs of that symbol and no visits.
+    """
+    order = Over.partitionBy("node").orderBy("run_no")
+    spans = run_lists.withColumn("start", F.sum("run_len").over(order) - F.col("run_len")).select("node", "next_node", "next_gap", "start", "run_len")
+    hit = now.join(spans, ["node", "next_node", "next_gap"])
+    upto = lambda c: F.sum(F.greatest(F.lit(0), F.least(F.col("run_len"), F.col(c) - F.col("start")))).cast("long").alias(c)
+    ranked = hit.groupBy("id", "node", "next_node", "next_gap").agg(upto("low"), upto("high")).where("low < high")
+    out = ranked.join(bases, ["node", "next_node", "next_gap"])
+    return out.select("id", F.col("next_node").alias("node"), (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high"))
+
+
+def narrow_chain(ws: Workspace, run_lists: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, node, low, high, count) of chains (id, chain), chain an array of (node, gap): the places of the visits at which each ends.
+
+    All chains go a step together; a round for each step of the longest.  Chains
+    that occur nowhere are left out.
+    """
+    bases = ws.put(arrivals(run_lists), "arrivals")
+    now = ws.put(ranges(run_lists, asked.select("id", F.col("chain")[0]["node"].alias("node"))), "ranges")
+    longest = asked.agg(F.max(F.size("chain")).alias("n")).first().n or 0
+    for k in range(1, longest):
+        step = asked.where(F.size("chain") > k).select("id", F.col("chain")[k]["node"].alias("next_node"), F.col("chain")[k]["gap"].alias("next_gap"))
+        still = now.join(asked.where(F.size("chain") <= k).select("id"), "id", "left_semi")
+        now = ws.put(narrow(run_lists, bases, now.join(step, "id")).unionByName(still), "ranges")
+    return now.withColumn("count", F.col("high") - F.col("low"))
+
+
 def chains(visited: DataFrame, length: int) -> DataFrame:
     """(nodes, gaps, count): how often each chain of ``length`` visits with its gaps occurs on either strand."""
     along = Over.partitionBy("path_id", "strand").orderBy("idx")

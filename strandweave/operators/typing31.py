@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from strandweave.functions import dna
 from strandweave.operators.selection import _gather, _rows, numbers
 
-#: K-mers that may be taken to the tasks; more are met by a join.
-MOST, FLANK = 1 << 20, 50
+#: K-mers that are taken to the tasks at once, about; bases whose k-mers a task holds at once.
+BLOCK, PIECE, FLANK = 1 << 20, 1 << 21, 50
 
 
 def check_list(kmers: DataFrame, k: int = 31) -> DataFrame:
@@ -26,36 +26,40 @@ def matches(seqs: DataFrame, kmers: DataFrame, k: int = 31) -> DataFrame:
     """(seq_ord, pos, id, strand): every occurrence of kmers (id, kmer) in seqs (seq_ord, seq).
 
     pos is the first base of the k-mer's place on the forward strand; strand is -1
-    where its reverse complement is there.
+    where its reverse complement is there.  A longer list means more blocks of
+    k-mers, each one more pass over the sequences.
     """
+    spark = seqs.sparkSession
     listed = check_list(kmers, k)
-    some = listed.select("number").limit(MOST + 1).toArrow().column("number").to_numpy()
-    wanted = np.sort(some.astype(np.uint64)) if len(some) <= MOST else None
+    blocks, out = max(1, -(-listed.count() // BLOCK)), None
+    for b in range(blocks):
+        own = listed.where(F.pmod(F.xxhash64("number"), F.lit(blocks)) == b).select("number").toArrow().column("number").to_numpy()
+        shared = spark.sparkContext.broadcast(np.sort(own.astype(np.uint64)))
+        rows = seqs.select("seq_ord", "seq").mapInArrow(_finder(shared, k), "seq_ord long, pos long, number long, strand int")
+        out = rows if out is None else out.unionByName(rows)
+    return out.join(listed.select("number", "id"), "number").select("seq_ord", "pos", "id", "strand")
 
-    def hits(c: np.ndarray):
+
+def _finder(shared, k: int):
+    def hits(c: np.ndarray, wanted: np.ndarray):
         for strand, n in ((1, numbers(c, k)), (-1, numbers((3 - c)[::-1], k)[::-1])):
-            if not len(n):
-                continue
-            if wanted is None:
-                at = np.arange(len(n))
-            elif not len(wanted):
-                continue
-            else:
+            if len(n) and len(wanted):
                 at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, n), len(wanted) - 1)] == n)
-            if len(at):
-                yield at, n[at], np.full(len(at), strand)
+                if len(at):
+                    yield at, n[at], np.full(len(at), strand)
 
     def found(it):
+        wanted = shared.value
         for batch in it:
             for i, c in _rows(batch):
-                for at, n, strand in hits(c):
-                    yield i, at, n, strand
+                for start in range(0, max(len(c) - k + 1, 0), PIECE):
+                    for at, n, strand in hits(c[start : start + PIECE + k - 1], wanted):
+                        yield i, at + start, n, strand
 
     def run(it):
         yield from _gather(found(it), {"pos": pa.int64(), "number": pa.int64(), "strand": pa.int32()})
 
-    rows = seqs.select("seq_ord", "seq").mapInArrow(run, "seq_ord long, pos long, number long, strand int")
-    return rows.join(listed.select("number", "id"), "number").select("seq_ord", "pos", "id", "strand")
+    return run
 
 
 def counts(found: DataFrame, seqs: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 #: Fixed value: the odd-looking multiplier that belongs to seed 7; a dictionary is only comparable with one made with the same.
 FACTOR_SEED_7 = 4490898023665754691
@@ -35,6 +36,18 @@ class SampleParams:
     def length(self) -> int:
         return self.w + self.k
 
+    def write(self) -> str:
+        """As a line of JSON."""
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def read(cls, line: str) -> SampleParams:
+        return cls(**json.loads(line))
+
+    def report(self) -> str:
+        """Parameters and what follows from them, to be read by people."""
+        return f"k {self.k}, w {self.w}, seed {self.seed}: fragments of {self.length} bases, one for {(self.w + 1) / 2:.1f} bases expected"
+
     def require(self, other: SampleParams) -> None:
         """Raise unless the other parameters give the same fragments."""
         if self != other:
