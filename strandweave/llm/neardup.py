@@ -1,10 +1,9 @@
 """Operator 1: near-duplicate documents by min-max hashing.
 
-Each of 128 permutations of the 32-bit integers gives two signature values, the
-smallest and the largest image of a document's shingles, so 256 values cost 128
+Each of 96 permutations of the 32-bit integers gives two signature values, the
+smallest and the largest image of a document's shingles, so 192 values cost 96
 evaluations a shingle.  Four values (both ends of two permutations) form a
-band, 48 bands come from the first 96 permutations; documents with an equal band
-are candidates.  At a similarity of exactly 0.75 the chance that two documents
+band; documents with one of the 48 bands in common are candidates.  At a similarity of exactly 0.75 the chance that two documents
 share no band is (1 - 0.75**4)**48 = 1.2e-8 if the sets are large, and 1.6e-8 for
 the smallest sets that bands decide on.
 
@@ -20,9 +19,10 @@ components that still share a bucket may be compared with each other, and of
 those only pairs that could reach the limit: two documents have at most as many
 shingles in common as either has shingles that occur elsewhere among the open
 documents.  That bound is exact; so is the one on sizes.  A pair is also passed
-over if the signatures' nibbles differ in more than 128 of 256 places, where the
-limit gives 60 and its deviation is below 10, and it is made in the first of its
-buckets only.  A bucket of thousands of copies so costs
+over if sketches of two bits each of 1,024 further signature values differ in more
+than 270 places, where the limit gives 192 with a deviation of 12.5 (a chance of
+1e-9; small sets have no such test), and it is compared in the first of its
+buckets only, inside the join.  A bucket of thousands of copies so costs
 thousands of comparisons, and no link between different components is lost.
 Every link is confirmed on the full shingle sets.
 
@@ -47,17 +47,17 @@ from pyspark.sql import functions as F
 from strandweave.llm import words as W
 from strandweave.runtime import Workspace, columns_of, connected_components, fresh, maybe_in, membership
 
-#: Permutations that make bands come first, those for signatures only after them.
-SHINGLE, BANDED, PERMUTATIONS, PER_BAND = 5, 96, 128, 2
-BANDS, LONGS = BANDED // PER_BAND, PERMUTATIONS * 2 // 16
-#: Of 256 nibbles, 60 differ on average at similarity 0.75; beyond so many a pair isn't compared.
-NIBBLES = 128
+#: Permutations that make bands, and those of the sketches of documents that are compared once more.
+SHINGLE, BANDED, SKETCHED, PER_BAND = 5, 96, 512, 2
+BANDS, LONGS = BANDED // PER_BAND, SKETCHED * 2 // 32
+#: Of a sketch's 1,024 places, 192 differ on average at similarity 0.75; beyond so many a pair isn't compared.
+PLACES = 270
 #: Shingles of a set that is found by its rarest ones, and of one that may be its partner.
 SMALL = 48
 PARTNER = SMALL * 4 // 3
 _rng = np.random.default_rng(20260101)
-FLIP = _rng.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint32)
-TIMES = _rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+FLIP = _rng.integers(0, 1 << 32, BANDED + SKETCHED, dtype=np.uint32)
+TIMES = _rng.integers(0, 1 << 31, BANDED + SKETCHED, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SALT = _rng.integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -71,54 +71,48 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], permutations=range(BANDED)) -> np.ndarray:
     """(documents, permutations, 2) of smallest and largest images; each set has an element at least."""
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     at = np.cumsum([0] + [len(s) for s in sets[:-1]])
-    out = np.empty((len(sets), PERMUTATIONS, 2), np.uint32)
-    for k in range(PERMUTATIONS):
+    out = np.empty((len(sets), len(permutations), 2), np.uint32)
+    for i, k in enumerate(permutations):
         y = (x ^ FLIP[k]) * TIMES[k]
-        out[:, k, 0] = np.minimum.reduceat(y, at)
-        out[:, k, 1] = np.maximum.reduceat(y, at)
+        out[:, i, 0] = np.minimum.reduceat(y, at)
+        out[:, i, 1] = np.maximum.reduceat(y, at)
     return out
 
 
 def bands(sig: np.ndarray) -> np.ndarray:
     """(documents, BANDS) keys; the band's number is part of the key."""
-    v = sig[:, :BANDED].reshape(len(sig), BANDS, 2 * PER_BAND).astype(np.uint64)
+    v = sig.reshape(len(sig), BANDS, 2 * PER_BAND).astype(np.uint64)
     key = np.broadcast_to(SALT, v.shape[:2]).copy()
     for j in range(v.shape[2]):
         key = W.mix(key * np.uint64(W.STEP) + v[:, :, j])
     return key.view(np.int64)
 
 
-def nibbles(sig: np.ndarray) -> np.ndarray:
-    """(documents, LONGS) longs with four bits of each signature value."""
-    v = ((sig.reshape(len(sig), LONGS, 16) * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64)
-    return (v << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """(documents, LONGS) longs with two bits of each value of the further permutations."""
+    sig = signatures(sets, range(BANDED, BANDED + SKETCHED))
+    v = ((sig.reshape(len(sets), LONGS, 32) * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64)
+    return (v << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def _sign(it):
     for batch in W.batches(it, limit=2 << 20):
         sets = shingle_sets(batch.column("text"))
         large = [i for i, s in enumerate(sets) if len(s) > SMALL]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        b, s = [np.empty(0, np.int64)] * len(sets), np.zeros((len(sets), LONGS), np.int64)
-        if full:
-            sig = signatures([sets[i] for i in full])
-            s[full] = nibbles(sig)
-            keys = dict(zip(full, bands(sig), strict=True))
-            for i in large:
-                b[i] = keys[i]
+        b = [np.empty(0, np.int64)] * len(sets)
+        if large:
+            for i, keys in zip(large, bands(signatures([sets[i] for i in large])), strict=True):
+                b[i] = keys
         few = [x.view(np.int64) if len(x) <= PARTNER else x[:0].view(np.int64) for x in sets]
         prints = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]),
-                W.lists(np.concatenate(b), [len(x) for x in b]), W.lists(np.concatenate(few), [len(x) for x in few]), W.lists(s.ravel(), [LONGS] * len(sets)),
-            ],
-            ["doc_id", "n_shingles", "fp1", "fp2", "bands", "few", "sig"],
-        )
+            [batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), W.lists(np.concatenate(b), [len(x) for x in b]), W.lists(np.concatenate(few), [len(x) for x in few])],
+            ["doc_id", "n_shingles", "fp1", "fp2", "bands", "few"],
+        )
 
 
 def _sets(it):
@@ -127,6 +121,16 @@ def _sets(it):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), W.lists(np.concatenate(sets).view(np.int64), [len(s) for s in sets])], ["id", "items"])
 
 
+def _sketched(it):
+    """Rows (id, items) with sig, the sketch of the items."""
+    for batch in it:
+        for own in (batch.slice(i, 100) for i in range(0, batch.num_rows, 100)):
+            items = own.column("items")
+            ends = np.cumsum(pc.list_value_length(items).to_numpy(zero_copy_only=False))
+            s = sketches(np.split(items.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends[:-1]))
+            yield own.append_column("sig", W.lists(s.ravel(), [LONGS] * len(s)))
+
+
 def rarest(ws: Workspace, reps: DataFrame) -> DataFrame:
     """(doc_id, key) of sets (doc_id, few): of each the n // 4 + 1 shingles that the fewest of them hold, without those that only one holds.
 
@@ -169,11 +173,11 @@ def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "neardup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = ws.put(docs.mapInArrow(W.tidy(_sign), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, few array<long>, sig array<long>"), "signed")
+    signed = ws.put(docs.mapInArrow(W.tidy(_sign), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, few array<long>"), "signed")
     linked = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = linked.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"))
     classes = ws.put(classes, "classes")
-    reps = ws.put(linked.join(classes, ["fp1", "fp2"]).where("doc_id = class_id").select("doc_id", "n_shingles", "bands", "few", "sig"), "representatives")
+    reps = ws.put(linked.join(classes, ["fp1", "fp2"]).where("doc_id = class_id").select("doc_id", "n_shingles", "bands", "few"), "representatives")
 
     keys = reps.select("doc_id", F.explode("bands").alias("key")).union(rarest(ws, reps)).distinct()
     shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
@@ -192,22 +196,22 @@ def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     open_ = ws.put(placed.join(mixed, "key", "left_semi"), "open")
     sets = sets_of(ws, docs, open_.select(F.col("doc_id").alias("id")).distinct())
     own = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    able = sets.select("id", F.size("items").alias("n")).join(own, "id", "left").select("id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), "n").where("100 * common >= 75 * n")
+    able = sets.select("id", "items", F.size("items").alias("n")).join(own, "id", "left").select("id", "items", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), "n").where("100 * common >= 75 * n")
     keys_of = open_.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("key").alias("keys"))
-    able = ws.put(able.join(keys_of, "id").join(reps.select(F.col("doc_id").alias("id"), "sig"), "id"), "able")
+    able = able.mapInArrow(W.tidy(_sketched), "id long, items array<long>, common long, n int, sig array<long>")
+    able = ws.put(able.join(keys_of, "id"), "able")
     near_ = open_.join(able, F.col("doc_id") == F.col("id"))
     x, y = near_.alias("x"), near_.alias("y")
-    ones = F.lit(0x1111111111111111)
-    differ = sum(
-        (F.bit_count((z.bitwiseOR(F.shiftright(z, 1)).bitwiseOR(F.shiftright(z, 2)).bitwiseOR(F.shiftright(z, 3))).bitwiseAND(ones)) for z in (F.col(f"x.sig")[i].bitwiseXOR(F.col(f"y.sig")[i]) for i in range(LONGS))),
-        F.lit(0),
-    )
+    ones = F.lit(0x5555555555555555)
+    differ = sum((F.bit_count(z.bitwiseOR(F.shiftright(z, 1)).bitwiseAND(ones)) for z in (F.col("x.sig")[i].bitwiseXOR(F.col("y.sig")[i]) for i in range(LONGS))), F.lit(0))
     near = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part"))
-        & (100 * F.least("x.n", "y.n") >= 75 * F.greatest("x.n", "y.n")) & (7 * F.least("x.common", "y.common") >= 3 * (F.col("x.n") + F.col("y.n"))) & (differ <= NIBBLES) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
+        & (100 * F.least("x.n", "y.n") >= 75 * F.greatest("x.n", "y.n")) & (7 * F.least("x.common", "y.common") >= 3 * (F.col("x.n") + F.col("y.n"))) & ((F.least("x.n", "y.n") <= SMALL) | (differ <= PLACES)) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     )
-    second = ws.put(x.join(y, near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.part").alias("p"), F.col("y.part").alias("q")), "pairs")
-    more = ws.put(confirm(sets, second.select("a", "b")).join(second, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")), "links")
+    # The full sets go into the join's condition, so that nothing but links comes out of it, however many pairs a bucket has.
+    common = F.size(F.array_intersect("x.items", "y.items")).cast("long")
+    alike = 100 * common >= 75 * (F.col("x.n") + F.col("y.n") - common)
+    more = ws.put(x.join(y, near & alike).select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct(), "links")
     # The second links join whole components.
     if not more.isEmpty():
         joined = connected_components(ws, more).select(F.col("node").alias("part"), F.col("component").alias("whole"))
