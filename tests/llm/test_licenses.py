@@ -3,6 +3,7 @@ import random
 from strandweave.llm import licenses
 
 SCHEMA = "id long, path string, text string, license string, dir string"
+#: Fixed value: the opening of a licence.
 MIT = "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"
 
 
