@@ -240,12 +240,16 @@ def repeated_starts(ws: Workspace, docs: DataFrame) -> DataFrame:
     found = ws.put(docs.select("doc_id", "text").mapInArrow(W.tidy(_anchor_runs(shared)), "doc_id long, at int, n int, anchor long"), "anchors")
     twice = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     runs = ws.put(found.join(twice, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("runs")), "runs")
+    ws.drop(found)
     some = maybe_in(docs, F.col("doc_id"), membership(runs, "doc_id"))[0].select("doc_id", "print", "text").join(runs, "doc_id")
     windows = ws.put(some.mapInArrow(W.tidy(_windows), "doc_id long, print long, at int, key long, check int"), "windows")
     first = windows.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "check", "low")
-    # Written first, and the join has nothing but a filter above it: so adaptive execution splits a window of very many documents.
-    later = ws.put(windows.join(ws.put(first, "first"), ["key", "check"]).where("doc_id > low").select("doc_id", "print", "at"), "later")
-    return ws.put(later.groupBy("doc_id", "print").agg(F.collect_set("at").alias("starts")), "starts")
+    # Written first, so that the join has nothing but exchanges below it and adaptive execution splits a window of very many documents.
+    first = ws.put(first, "first")
+    later = windows.join(first, ["key", "check"]).where("doc_id > low")
+    starts = ws.put(later.groupBy("doc_id", "print").agg(F.collect_set("at").alias("starts")), "starts")
+    ws.drop(runs, windows, first)
+    return starts
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
