@@ -29,19 +29,30 @@ def blocks(found: DataFrame) -> DataFrame:
 def matches(chains: DataFrame, visited: DataFrame) -> DataFrame:
     """(query, blk, first, last, count): maximal exact matches of chains against the paths of both strands.
 
-    Chains and paths meet on the signed node; runs along a diagonal with equal
-    gaps become intervals, equal intervals are counted, and intervals inside
-    others of their chain go.
+    Chains and paths meet on steps: a signed node, the next one and the gap
+    between them, which are far rarer than nodes.  Runs of steps along a diagonal
+    become intervals, equal intervals are counted, and intervals inside others of
+    their chain go.  A fragment that no step around it matches is an interval by
+    itself, as often as its node is visited; that needs the nodes' counts only.
     """
-    paths = both_strands(visited).select("node", F.col("path_id").alias("path"), "strand", F.col("idx").alias("a"), F.col("gap").alias("path_gap"))
-    pairs = chains.join(paths, "node").withColumn("diagonal", F.col("a") - F.col("c"))
-    along = Over.partitionBy("query", "blk", "path", "strand", "diagonal").orderBy("c")
-    starts = F.coalesce((F.lag("c").over(along) != F.col("c") - 1) | (F.col("gap") != F.col("path_gap")), F.lit(True))
-    run = pairs.withColumn("run", F.sum(starts.cast("long")).over(along))
-    spans = run.groupBy("query", "blk", "path", "strand", "diagonal", "run").agg(F.min("c").alias("first"), F.max("c").alias("last"))
+    strands = both_strands(visited)
+    along = Over.partitionBy("path_id", "strand").orderBy("idx")
+    following = [F.lead(c).over(along).alias(f"next_{c}") for c in ("node", "gap")]
+    there = strands.select("node", *following, F.col("path_id").alias("path"), "strand", F.col("idx").alias("a")).where("next_node IS NOT NULL")
+    inside = Over.partitionBy("query", "blk").orderBy("c")
+    here = chains.select("query", "blk", "c", "node", *[F.lead(c).over(inside).alias(f"next_{c}") for c in ("node", "gap")]).where("next_node IS NOT NULL")
+    pairs = here.join(there, ["node", "next_node", "next_gap"]).select("query", "blk", "path", "strand", "c", (F.col("a") - F.col("c")).alias("diagonal"))
+    steps = Over.partitionBy("query", "blk", "path", "strand", "diagonal").orderBy("c")
+    run = pairs.withColumn("run", F.col("c") - F.row_number().over(steps))
+    spans = run.groupBy("query", "blk", "path", "strand", "diagonal", "run").agg(F.min("c").alias("first"), (F.max("c") + 1).alias("last"))
     counted = spans.groupBy("query", "blk", "first", "last").agg(F.count("*").alias("count"))
+    met = here.join(there.select("node", "next_node", "next_gap").distinct(), ["node", "next_node", "next_gap"], "left_semi")
+    met = met.select("query", "blk", F.explode(F.array("c", F.col("c") + 1)).alias("c")).distinct()
+    often = strands.groupBy("node").agg(F.count("*").alias("count"))
+    lone = chains.select("query", "blk", "c", "node").join(met, ["query", "blk", "c"], "left_anti").join(often, "node").select("query", "blk", F.col("c").alias("first"), F.col("c").alias("last"), "count")
     before = Over.partitionBy("query", "blk").orderBy("first", F.desc("last")).rowsBetween(Over.unboundedPreceding, -1)
-    return counted.withColumn("_reach", F.max("last").over(before)).where("_reach IS NULL OR _reach < last").drop("_reach")
+    both = counted.unionByName(lone)
+    return both.withColumn("_reach", F.max("last").over(before)).where("_reach IS NULL OR _reach < last").drop("_reach")
 
 
 def match_positions(found: DataFrame, chains: DataFrame, p: SampleParams) -> DataFrame:

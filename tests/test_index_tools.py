@@ -120,3 +120,55 @@ def test_kmers_in_blocks_and_pieces(spark, monkeypatch):
     ids = sorted({w[2] for w in want})
     table = {r.file: r for r in typing31.table(counted, ids).collect()}
     assert sum(table[f][i] for f in table for i in ids) == len(want)
+
+
+def brute_matches(chains, strands):
+    """Maximal exact matches of chains [(node, gap)] with lists of (node, gap), counted; a match's first gap does not count."""
+    out = {}
+    for q, chain in chains.items():
+        found = {}
+        for path in strands:
+            for d in range(-len(chain) + 1, len(path)):
+                first = None
+                for c in range(len(chain) + 1):
+                    a = c + d
+                    same = c < len(chain) and 0 <= a < len(path) and path[a][0] == chain[c][0]
+                    joined = same and first is not None and path[a][1] == chain[c][1]
+                    if first is not None and not joined:
+                        found[(first, c - 1)] = found.get((first, c - 1), 0) + 1
+                        first = None
+                    if same and first is None:
+                        first = c
+        for (a, z), n in found.items():
+            if not any((x, y) != (a, z) and x <= a and y >= z for x, y in found):
+                out[(q, a, z)] = n
+    return out
+
+
+def test_matches_against_brute_force(spark):
+    from strandweave.operators.pathing import both_strands
+
+    visited = visits(spark, seed=5, n=25, nodes=5)
+    rows = sorted(both_strands(visited).collect(), key=lambda r: (r.path_id, r.strand, r.idx))
+    strands = {}
+    for r in rows:
+        strands.setdefault((r.path_id, r.strand), []).append((r.node, r.gap))
+    rng, chains = random.Random(3), {}
+    for q in range(25):
+        pos, chain = 0, []
+        for i in range(rng.randint(1, 9)):
+            gap = rng.randint(1, 2) if i else 0
+            pos += gap
+            chain.append((rng.choice([-1, 1]) * rng.randint(1, 6), gap))
+        chains[q] = chain
+    df = spark.createDataFrame([(q, 0, c, node, gap) for q, chain in chains.items() for c, (node, gap) in enumerate(chain)], "query long, blk long, c long, node long, gap long")
+    got = {(r.query, r.first, r.last): r["count"] for r in mapping.matches(df, visited).collect()}
+    assert got == brute_matches(chains, strands.values())
+
+
+def test_a_repeat_with_very_many_visits_costs_no_pairs(spark):
+    """Node 1 stands 100,000 times between others; 1,000 queries hold it next to a node that only one path has."""
+    paths = spark.range(100_000).select(F.col("id").alias("path_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), n.cast("long").alias("node"), F.lit(i).cast("long").alias("pos")) for i, n in enumerate((F.col("id") + 10, F.lit(1), F.col("id") + 200_010))])).alias("v")).select("path_id", "v.*")
+    chains = spark.range(1000).select(F.col("id").alias("query"), F.lit(0).cast("long").alias("blk"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("c"), (F.col("id") + 10).alias("node"), F.lit(0).cast("long").alias("gap")), F.struct(F.lit(1).cast("long").alias("c"), F.lit(1).cast("long").alias("node"), F.lit(1).cast("long").alias("gap")))).alias("x")).select("query", "blk", "x.*")
+    got = mapping.matches(chains, paths)
+    assert got.count() == 1000 and got.where("first <> 0 OR last <> 1 OR count <> 1").isEmpty()
