@@ -21,8 +21,8 @@ shingles in common as either has shingles that occur elsewhere among the open
 documents.  That bound is exact; so is the one on sizes.  A pair is also passed
 over if sketches of two bits each of 1,024 further signature values differ in more
 than 270 places, where the limit gives 192 with a deviation of 12.5 (a chance of
-1e-9; small sets have no such test), and it is compared in the first of its
-buckets only, inside the join.  A bucket of thousands of copies so costs
+1e-9; small sets have no such test), and it is made in the first of its buckets
+only.  A bucket of thousands of copies so costs
 thousands of comparisons, and no link between different components is lost.
 Every link is confirmed on the full shingle sets.
 
@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     own = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
     able = sets.select("id", "items", F.size("items").alias("n")).join(own, "id", "left").select("id", "items", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), "n").where("100 * common >= 75 * n")
     keys_of = open_.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("key").alias("keys"))
-    able = able.mapInArrow(W.tidy(_sketched), "id long, items array<long>, common long, n int, sig array<long>")
+    able = able.mapInArrow(W.tidy(_sketched), "id long, items array<long>, common long, n int, sig array<long>").drop("items")
     able = ws.put(able.join(keys_of, "id"), "able")
     near_ = open_.join(able, F.col("doc_id") == F.col("id"))
     x, y = near_.alias("x"), near_.alias("y")
@@ -208,10 +208,8 @@ def near_duplicates(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
         (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.part") != F.col("y.part"))
         & (100 * F.least("x.n", "y.n") >= 75 * F.greatest("x.n", "y.n")) & (7 * F.least("x.common", "y.common") >= 3 * (F.col("x.n") + F.col("y.n"))) & ((F.least("x.n", "y.n") <= SMALL) | (differ <= PLACES)) & (F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     )
-    # The full sets go into the join's condition, so that nothing but links comes out of it, however many pairs a bucket has.
-    common = F.size(F.array_intersect("x.items", "y.items")).cast("long")
-    alike = 100 * common >= 75 * (F.col("x.n") + F.col("y.n") - common)
-    more = ws.put(x.join(y, near & alike).select(F.col("x.part").alias("a"), F.col("y.part").alias("b")).distinct(), "links")
+    second = ws.put(x.join(y, near).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.part").alias("p"), F.col("y.part").alias("q")), "pairs")
+    more = ws.put(confirm(sets, second.select("a", "b")).join(second, ["a", "b"]).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), "links")
     # The second links join whole components.
     if not more.isEmpty():
         joined = connected_components(ws, more).select(F.col("node").alias("part"), F.col("component").alias("whole"))
