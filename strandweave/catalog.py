@@ -430,6 +430,17 @@ def match_range(spark, sf_dir):
     return pathindex.match_range(_ordered(spark, sf_dir, T.event_visits, "range")[1], [(5, 0), (1, 1), (5, 1)])
 
 
+_RANGE = "SELECT {0} AS id, node, min(place)::BIGINT AS low, (max(place) + 1)::BIGINT AS high, count(*) AS count FROM t WHERE {1} GROUP BY node"
+
+
+@query("chain_ranges", f"{_EV}, t AS (SELECT *, lag(node) OVER w AS n1, lag(node, 2) OVER w AS n2, lag(gap) OVER w AS g1 FROM ordered WINDOW w AS (PARTITION BY path_id, strand ORDER BY idx)) " + " UNION ALL ".join(_RANGE.format(k, test) for k, test in enumerate(("node = 5 AND gap = 1 AND n1 = 1 AND g1 = 1 AND n2 = 5", "node = 2 AND gap = 1 AND n1 = 1", "node = 3", "node = -4 AND gap = 1 AND n1 = -4"))))
+def chain_ranges(spark, sf_dir):
+    ws, ordered = _ordered(spark, sf_dir, T.event_visits, "chain_ranges")
+    runs = ws.put(pathindex.runs(pathindex.successors(ordered)), "runs")
+    asked = [(0, [(5, 0), (1, 1), (5, 1)]), (1, [(1, 0), (2, 1)]), (2, [(3, 0)]), (3, [(-4, 0), (-4, 1)]), (4, [(1, 0), (1, 9)])]
+    return pathindex.narrow_chain(ws, runs, spark.createDataFrame(asked, "id int, chain array<struct<node:long,gap:long>>"))
+
+
 @query("loc_find", f"""WITH {O.SEQS}, {O.FILES}, p AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id * 97 ELSE -(event_id * 97) END AS place FROM events)
 SELECT p.event_id, p.place, f.file, f.seq_ord AS path_id, (sign(p.place) * (abs(p.place) - f.start))::BIGINT AS "offset" FROM p LEFT JOIN files f ON abs(p.place) >= f.start AND abs(p.place) < f.start + f.len""")
 def loc_find(spark, sf_dir):
