@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import dna
 from strandweave.params import SampleParams
-from strandweave.runtime import Workspace, running_total
+from strandweave.runtime import Workspace, maybe_in, membership, running_total
 
 RESERVED, MOST_PER_FILE = 2, 127
 
@@ -61,6 +61,15 @@ def only_new(occurrences: DataFrame, nodes: DataFrame) -> DataFrame:
     return occurrences.join(nodes.select("canon"), "canon", "left_anti")
 
 
+def shared(occurrences: DataFrame, others: DataFrame) -> DataFrame:
+    """(canon): each fragment of ``others`` (canon, poly) that is also among occurrences, and a few more; homopolymers are left out.
+
+    For questions that need neither ids nor counts: the others are filtered where
+    they are found and go nowhere as rows.
+    """
+    return maybe_in(others.where("NOT poly").select("canon"), F.col("canon"), membership(occurrences, "canon"))[0].distinct()
+
+
 def extend(ws: Workspace, nodes: DataFrame, occurrences: DataFrame, seqs: DataFrame) -> DataFrame:
     """nodes after counting more occurrences, with is_new; new ids go on after the largest.
 

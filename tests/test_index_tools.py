@@ -172,3 +172,21 @@ def test_a_repeat_with_very_many_visits_costs_no_pairs(spark):
     chains = spark.range(1000).select(F.col("id").alias("query"), F.lit(0).cast("long").alias("blk"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("c"), (F.col("id") + 10).alias("node"), F.lit(0).cast("long").alias("gap")), F.struct(F.lit(1).cast("long").alias("c"), F.lit(1).cast("long").alias("node"), F.lit(1).cast("long").alias("gap")))).alias("x")).select("query", "blk", "x.*")
     got = mapping.matches(chains, paths)
     assert got.count() == 1000 and got.where("first <> 0 OR last <> 1 OR count <> 1").isEmpty()
+
+
+def stored_tables(spark):
+    """Names of the tables that queries have written to the shared folder so far."""
+    from pathlib import Path
+
+    from strandweave import runtime
+
+    return {str(p.relative_to(p.parents[1])) for p in Path(runtime.shared_dir(spark).removeprefix("file:"), "strandweave").glob("*/*")}
+
+
+def test_missing_fragments_need_no_matches(spark, sf_dir):
+    from strandweave import catalog
+
+    before = stored_tables(spark)
+    assert catalog.QUERIES["map_missing"](spark, sf_dir).count() > 0
+    made = stored_tables(spark) - before
+    assert made and not any(t.split("-")[-1] in ("visits", "matches", "nodes") for t in made), made
