@@ -111,6 +111,14 @@ def totals(found: DataFrame, queries: DataFrame) -> DataFrame:
     return sums.withColumn("_one", F.lit(1)).join(lone.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def with_match(occurrences: DataFrame, known: DataFrame) -> DataFrame:
+    """(query): queries with a match, from their fragments and those of the visited nodes (canon); no path is read.
+
+    A visited fragment matches by itself if nothing around it does, so one is enough.
+    """
+    return occurrences.where("NOT poly").join(known.select("canon"), "canon", "left_semi").select(F.col("seq_ord").alias("query"))
+
+
 def without_match(found: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(found.select("query").distinct(), "query", "left_anti")
 

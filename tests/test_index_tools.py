@@ -190,3 +190,18 @@ def test_missing_fragments_need_no_matches(spark, sf_dir):
     assert catalog.QUERIES["map_missing"](spark, sf_dir).count() > 0
     made = stored_tables(spark) - before
     assert made and not any(t.split("-")[-1] in ("visits", "matches", "nodes") for t in made), made
+
+
+def test_queries_without_a_match_need_no_matches(spark, sf_dir):
+    from strandweave import catalog
+    from strandweave.operators import selection
+    from strandweave.plans import testdata as T
+
+    before = stored_tables(spark)
+    got = {r.query for r in catalog.QUERIES["map_no_match"](spark, sf_dir).collect()}
+    made = stored_tables(spark) - before
+    assert made and not any(t.split("-")[-1] in ("visits", "matches", "nodes") for t in made), made
+    fragments = [selection.syncmers(f(spark, sf_dir), T.SHORT).where("NOT poly") for f in (T.conversation_sequences, T.sequences)]
+    known = {bytes(r.canon) for r in fragments[1].select("canon").distinct().collect()}
+    some = {r.seq_ord for r in fragments[0].collect() if bytes(r.canon) in known}
+    assert got == {r.seq_ord for r in T.conversation_sequences(spark, sf_dir).select("seq_ord").collect()} - some
