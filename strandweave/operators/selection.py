@@ -23,6 +23,23 @@ _code = np.zeros(256, np.uint8)
 _code[list(b"acgt")] = np.arange(4)
 
 
+#: What ``dna.clean`` does to bytes: N is a, and all but bases goes.
+_BASES = bytes.maketrans(b"ACGTNn", b"acgtaa")
+_OTHER = bytes(sorted(set(range(256)) - set(b"ACGTNacgtn")))
+
+
+def clean(texts: DataFrame) -> DataFrame:
+    """(seq_ord, source, seq, len) of texts (seq_ord, source, text): their bases, as ``dna.clean`` has them, in far less time."""
+
+    def run(it):
+        for batch in it:
+            seqs = [None if t is None else t.translate(_BASES, _OTHER) for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
+            lengths = pa.array([None if s is None else len(s) for s in seqs], pa.int64())
+            yield _table({"seq_ord": batch.column("seq_ord"), "source": batch.column("source"), "seq": pc.cast(pa.array(seqs, pa.binary()), pa.string()), "len": lengths})
+
+    return texts.select(F.col("seq_ord").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(run, "seq_ord long, source string, seq string, len long")
+
+
 def codes(seq: bytes) -> np.ndarray:
     return _code[np.frombuffer(seq, np.uint8)]
 

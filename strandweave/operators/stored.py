@@ -48,31 +48,42 @@ class Index:
             raise AttributeError(name) from None
 
 
-def build(ws: Workspace, seqs: DataFrame, p: SampleParams, known: Index | None = None, ends: bool = True, index: bool = True) -> Index:
+def build(ws: Workspace, seqs: DataFrame, p: SampleParams, known: Index | None = None, ends: bool = True, index: bool = True, only: tuple[str, ...] | None = None) -> Index:
     """An index of seqs (seq_ord, file, seq); with ``known`` its dictionary goes on, ids and counts included.
 
     ``ends`` can be left out where sequences need not be rebuilt, ``index`` where
-    only the dictionary and the paths are wanted.
+    only the dictionary and the paths are wanted.  ``only`` names the tables that
+    are wanted; others are made as far as these need them.
     """
     if known is not None:
         known.params.require(p)
+    wanted = [t for t in TABLES if (ends or t != "ends") and (index or t not in ("edges", "runs", "starts")) and (only is None or t in only)]
     files = ws.put(running_total(ws, seqs.select("seq_ord", "file", F.length("seq").cast("long").alias("len")), ["seq_ord"], F.col("len"), "start"), "sequences")
-    occurrences = ws.put(selection.syncmers(seqs.select("seq_ord", "seq"), p), "occurrences")
-    nodes = dictionary.build(ws, occurrences, files) if known is None else dictionary.extend(ws, known.nodes, occurrences, files).drop("is_new")
-    nodes = ws.put(nodes, "nodes")
-    visits = ws.put(pathing.visits(dictionary.look_up(occurrences, nodes)), "visits")
-    tables = {"nodes": nodes, "sequences": files.withColumnRenamed("seq_ord", "path_id"), "visits": visits}
-    if ends:
-        tables["ends"] = pathing.ends(seqs, visits, p)
-    if index:
-        tables |= path_tables(ws, visits)
-    return Index(p, tables, list(known.provenance) if known else [], list(known.references) if known else [])
-
-
-def path_tables(ws: Workspace, visits: DataFrame) -> dict[str, DataFrame]:
-    """edges, runs and starts of paths: what a path index adds to them."""
-    ordered = ws.put(pathindex.visit_order(ws, visits), "ordered")
-    return {"edges": ws.put(graph.edges(visits), "edges"), "runs": ws.put(pathindex.runs(pathindex.successors(ordered)), "runs"), "starts": graph.start_numbers(visits)}
+    tables = {"sequences": files.withColumnRenamed("seq_ord", "path_id")}
+    if set(wanted) - {"sequences"}:
+        occurrences = ws.put(selection.syncmers(seqs.select("seq_ord", "seq"), p), "occurrences")
+        nodes = dictionary.build(ws, occurrences, files) if known is None else dictionary.extend(ws, known.nodes, occurrences, files).drop("is_new")
+        tables["nodes"] = ws.put(nodes, "nodes")
+    if set(wanted) - {"sequences", "nodes"}:
+        visits = tables["visits"] = ws.put(pathing.visits(dictionary.look_up(occurrences, tables["nodes"])), "visits")
+        if "ends" in wanted:
+            tables["ends"] = pathing.ends(seqs, visits, p)
+        ws.drop(occurrences)
+        tables |= path_tables(ws, visits, wanted)
+    return Index(p, {t: tables[t] for t in wanted}, list(known.provenance) if known else [], list(known.references) if known else [])
+
+
+def path_tables(ws: Workspace, visits: DataFrame, wanted=TABLES) -> dict[str, DataFrame]:
+    """edges, runs and starts of paths, those that are wanted: what a path index adds to them."""
+    out = {}
+    if "edges" in wanted:
+        out["edges"] = ws.put(graph.edges(visits), "edges")
+    if "runs" in wanted:
+        ordered = ws.put(pathindex.visit_order(ws, visits), "ordered")
+        out["runs"] = ws.put(pathindex.runs(pathindex.successors(ordered)), "runs")
+    if "starts" in wanted:
+        out["starts"] = graph.start_numbers(visits)
+    return out
 
 
 #: Each table's keys: what its rows are dealt out and sorted by.

@@ -31,17 +31,21 @@ def spread(df: DataFrame) -> DataFrame:
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_ord, source, len, seq) of documents, in doc_id order."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return docs.select(F.col("doc_id").alias("seq_ord"), "source", dna.clean(F.col("text")).alias("seq")).withColumn("len", F.length("seq").cast("long"))
+    return selection.clean(docs.withColumnRenamed("doc_id", "seq_ord"))
 
 
 def with_files(ws: Workspace, seqs: DataFrame, starts: bool = True) -> DataFrame:
     """(seq_ord, file, len, start): file numbers sources in their order, start is the bases before a sequence."""
     light = ws.put(seqs.select("seq_ord", "source", "len"), "lengths")
-    files = light.select("source").distinct().select(F.col("source").alias("_s"), F.row_number().over(Over.orderBy("source")).cast("int").alias("file"))
-    out = light.join(files, F.col("source") == F.col("_s")).select("seq_ord", "file", "len")
+    out = light.join(file_numbers(light), F.col("source") == F.col("_s")).select("seq_ord", "file", "len")
     return running_total(ws, out, ["seq_ord"], F.col("len"), "start") if starts else out
 
 
+def file_numbers(seqs: DataFrame) -> DataFrame:
+    """(_s, file): sources numbered in their order."""
+    return seqs.select("source").distinct().select(F.col("source").alias("_s"), F.row_number().over(Over.orderBy("source")).cast("int").alias("file"))
+
+
 def conversation_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_ord, source, len, seq) of messages."""
     rows = spread(table(spark, sf_dir, "conversations")).select((F.col("conv_id") * 100000 + F.col("turn")).alias("seq_ord"), F.col("role").alias("source"), dna.clean(F.col("text")).alias("seq"))

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,28 @@ def test_long_paths_come_in_stretches(spark):
     for k, t in enumerate(found):
         own = [r for r in rows if r.path_id == k]
         assert "".join(r.seq for r in own) == t and [r.at for r in own] == [sum(len(x.seq) for x in own[:i]) for i in range(len(own))]
+
+
+@pytest.mark.parametrize("only", [("nodes",), ("edges",), ("starts",), ("sequences",), ("nodes", "visits", "ends")])
+def test_some_tables_come_without_the_others(spark, tmp_path, only):
+    found = texts(5)
+    whole = stored.build(Workspace(spark, "stored"), seqs(spark, found), P)
+    ws = Workspace(spark, "stored")
+    part = stored.build(ws, seqs(spark, found), P, only=only)
+    stored.save_index(part, f"{tmp_path}/a")
+    back = stored.load_index(spark, f"{tmp_path}/a", P)
+    assert set(back.tables) == set(only)
+    for name in only:
+        assert sorted(map(str, whole.tables[name].collect())) == sorted(map(str, back.tables[name].select(*whole.tables[name].columns).collect()))
+    assert not [x.name for x in Path(ws.path.removeprefix("file:")).iterdir() if x.name.endswith("-ranks")]
+
+
+def test_bases_of_texts_are_found_as_by_the_column_function(spark):
+    from strandweave.functions import dna
+
+    found = ["ACGTNnacgt", "", None, "größe \u0000 cat\nTAG é𝒳n", "xyz"]
+    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate(found)], "seq_ord long, source string, text string")
+    want = df.select("seq_ord", dna.clean(F.col("text")).alias("seq")).collect()
+    got = selection.clean(df).collect()
+    assert {r.seq_ord: r.seq for r in want} == {r.seq_ord: r.seq for r in got}
+    assert {r.seq_ord: r.len for r in got} == {r.seq_ord: None if r.seq is None else len(r.seq) for r in want}
