@@ -14,7 +14,7 @@ from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from strandweave.operators.pathing import both_strands
-from strandweave.runtime import Workspace, running_total
+from strandweave.runtime import Workspace
 
 #: Symbols compared in the first round; each later round doubles the length.
 FIRST = 4
@@ -23,28 +23,43 @@ FIRST = 4
 def visit_order(ws: Workspace, visited: DataFrame) -> DataFrame:
     """(path_id, strand, idx, node, adj, gap, place): place is a visit's number among those of its oriented node, from 0.
 
-    Prefix doubling: ranks of the last h symbols give ranks of the last 2h.  Ranks
-    are numbers of distinct keys in a global order, found by range partitions.
+    Prefix doubling: ranks of the last h symbols give ranks of the last 2h.  A
+    visit's rank is the number of visits of its node that come before all that
+    are alike so far, so node and rank compare histories, and ranks stay when
+    others are told apart.  Only visits that are alike and whose history goes on
+    are ranked anew, and a path without such leaves the rounds.
     """
-    rows = both_strands(visited)
     along = Over.partitionBy("path_id", "strand").orderBy("idx")
-    symbol = F.struct("node", "gap")
-    keys = [F.struct(symbol.alias("s"))] + [F.struct(F.lag(symbol, k).over(along).alias("s")) for k in range(1, FIRST)]
-    rows = ws.put(rows.withColumn("key", F.array(*keys)), "visits")
-    total, longest = rows.agg(F.count("*"), F.max("idx")).first()
-    h = FIRST
-    ranked = _rank(ws, rows)
-    while h <= (longest or 0) and ranked.agg(F.max("rank")).first()[0] + 1 < total:
-        before = F.coalesce(F.lag("rank", h).over(along), F.lit(-1).cast("long"))
-        ranked = _rank(ws, ws.put(ranked.withColumn("key", F.struct("rank", before.alias("before"))).drop("rank"), "visits"))
+    back = [F.lag(c, k).over(along).alias(f"_{c}{k}") for k in range(1, FIRST) for c in ("node", "gap")]
+    rows = both_strands(visited).select("path_id", "strand", "idx", "node", "adj", "gap", *back)
+    key = ["gap", *(f"_{c}{k}" for k in range(1, FIRST) for c in ("node", "gap"))]
+    rows = rows.withColumn("rank", (F.rank().over(Over.partitionBy("node").orderBy(*key)) - 1).cast("long")).withColumn("_alike", F.count("*").over(Over.partitionBy("node", *key)))
+    now = ws.put(rows.select(*_VISIT, "rank", _open(FIRST)), "ranks")
+    h, done = FIRST, []
+    while not now.where("open").isEmpty():
+        live = F.max("open").over(Over.partitionBy("path_id", "strand"))
+        before = [F.lag(c, h).over(along).alias(f"_before_{c}") for c in ("node", "rank")]
+        told = ws.put(now.select(*_VISIT, "rank", "open", live.alias("_live"), *before), "ranks")
+        ws.drop(now)
+        here, deeper = Over.partitionBy("node", "rank"), ["_before_node", "_before_rank"]
+        again = told.where("open").withColumn("_more", (F.rank().over(here.orderBy(*deeper)) - 1).cast("long")).withColumn("_alike", F.count("*").over(Over.partitionBy("node", "rank", *deeper)))
         h *= 2
+        again = again.select(*_VISIT, (F.col("rank") + F.col("_more")).alias("rank"), _open(h))
+        now = ws.put(again.unionByName(told.where("_live AND NOT open").select(*_VISIT, "rank", "open")), "ranks")
+        done.append(told.where("NOT _live").select(*_VISIT, "rank"))
+    ranked = now.select(*_VISIT, "rank")
+    for part in done:
+        ranked = ranked.unionByName(part)
     order = Over.partitionBy("node").orderBy("rank", "path_id", "strand")
     return ranked.withColumn("place", (F.row_number().over(order) - 1).cast("long")).drop("rank")
 
 
-def _rank(ws: Workspace, rows: DataFrame) -> DataFrame:
-    keys = running_total(ws, rows.select("key").distinct(), ["key"], name="rank")
-    return ws.put(rows.join(keys, "key").drop("key"), "ranks")
+_VISIT = ("path_id", "strand", "idx", "node", "adj", "gap")
+
+
+def _open(h: int):
+    """Whether visits that are alike in h symbols may differ further back: equal histories that have ended stay equal."""
+    return ((F.col("_alike") > 1) & (F.col("idx") >= h)).alias("open")
 
 
 def successors(ordered: DataFrame) -> DataFrame:

@@ -205,3 +205,24 @@ def test_queries_without_a_match_need_no_matches(spark, sf_dir):
     known = {bytes(r.canon) for r in fragments[1].select("canon").distinct().collect()}
     some = {r.seq_ord for r in fragments[0].collect() if bytes(r.canon) in known}
     assert got == {r.seq_ord for r in T.conversation_sequences(spark, sf_dir).select("seq_ord").collect()} - some
+
+
+def test_paths_told_apart_leave_the_rounds(spark):
+    rng = random.Random(5)
+    long = [(rng.choice([-1, 1]) * rng.randint(1, 4), rng.randint(1, 2)) for _ in range(70)]
+    paths = [[(rng.choice([-1, 1]) * rng.randint(1, 4), rng.randint(1, 2)) for _ in range(rng.randint(1, 9))] for _ in range(20)] + [long, long, [(3, 1), *long]]
+    rows = [(p, i, node, sum(g for _, g in path[: i + 1])) for p, path in enumerate(paths) for i, (node, _) in enumerate(path)]
+    ws = Workspace(spark, "rounds")
+    got = pathindex.visit_order(ws, spark.createDataFrame(rows, "path_id long, idx long, node long, pos long")).collect()
+    of = {}
+    for r in got:
+        of.setdefault((r.path_id, r.strand), {})[r.idx] = (r.node, r.gap)
+    history = lambda r: [of[r.path_id, r.strand][i] for i in range(r.idx, -1, -1)]
+    for node in {r.node for r in got}:
+        own = sorted((r for r in got if r.node == node), key=lambda r: (history(r), r.path_id, r.strand))
+        assert [r.place for r in own] == list(range(len(own)))
+    from pathlib import Path
+
+    tables = sorted(p for p in Path(ws.path.removeprefix("file:")).iterdir() if p.name.endswith("-ranks"))
+    assert {r.path_id for r in spark.read.parquet(str(tables[-1])).select("path_id").distinct().collect()} <= {20, 21, 22}
+    assert sum(spark.read.parquet(str(t)).count() for t in tables) < 5 * len(got)
