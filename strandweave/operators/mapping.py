@@ -7,8 +7,9 @@ from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from strandweave.functions import dna
-from strandweave.operators.pathing import both_strands
+from strandweave.operators import walks
 from strandweave.params import SampleParams
+from strandweave.runtime import Workspace
 
 #: Longest run of g and least mean quality of the preset for short reads.
 SHORT_READS = {"poly_g": 60, "quality": 20.0}
@@ -26,33 +27,28 @@ def blocks(found: DataFrame) -> DataFrame:
     return rows.select(F.col("seq_ord").alias("query"), "blk", (F.row_number().over(inside) - 1).cast("long").alias("c"), "pos", "node", F.coalesce(F.col("pos") - F.lag("pos").over(inside), F.lit(0)).alias("gap"))
 
 
+def _walked(rows: DataFrame, by: list[str], at: str, gap) -> DataFrame:
+    """rows' walks (nodes, gaps), each in one row; gap gives a visit's from the visit, the visit before and its number."""
+    lists = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at, *[c for c in ("node", "gap", "pos") if c in rows.columns]))).alias("v"))
+    gaps = F.transform("v", lambda v, i: gap(v, F.get("v", i - 1), i).cast("long"))
+    return lists.select(*by, F.transform("v", lambda v: v["node"].cast("long")).alias("nodes"), gaps.alias("gaps"))
+
+
 def matches(chains: DataFrame, visited: DataFrame) -> DataFrame:
     """(query, blk, first, last, count): maximal exact matches of chains against the paths of both strands.
 
-    Chains and paths meet on steps: a signed node, the next one and the gap
-    between them, which are far rarer than nodes.  Runs of steps along a diagonal
-    become intervals, equal intervals are counted, and intervals inside others of
-    their chain go.  A fragment that no step around it matches is an interval by
-    itself, as often as its node is visited; that needs the nodes' counts only.
+    visited has visits (path_id, idx, node, pos) or whole paths (nodes, gaps).  From
+    each fragment of a chain the longest chain that paths have is looked for, on both
+    strands; those inside others of their chain go.  What stays is the longest from
+    its first fragment, so it is counted as often as its chain stands in the paths:
+    no visit of a path ever meets a query as a row.
     """
-    strands = both_strands(visited)
-    along = Over.partitionBy("path_id", "strand").orderBy("idx")
-    following = [F.lead(c).over(along).alias(f"next_{c}") for c in ("node", "gap")]
-    there = strands.select("node", *following, F.col("path_id").alias("path"), "strand", F.col("idx").alias("a")).where("next_node IS NOT NULL")
-    inside = Over.partitionBy("query", "blk").orderBy("c")
-    here = chains.select("query", "blk", "c", "node", *[F.lead(c).over(inside).alias(f"next_{c}") for c in ("node", "gap")]).where("next_node IS NOT NULL")
-    pairs = here.join(there, ["node", "next_node", "next_gap"]).select("query", "blk", "path", "strand", "c", (F.col("a") - F.col("c")).alias("diagonal"))
-    steps = Over.partitionBy("query", "blk", "path", "strand", "diagonal").orderBy("c")
-    run = pairs.withColumn("run", F.col("c") - F.row_number().over(steps))
-    spans = run.groupBy("query", "blk", "path", "strand", "diagonal", "run").agg(F.min("c").alias("first"), (F.max("c") + 1).alias("last"))
-    counted = spans.groupBy("query", "blk", "first", "last").agg(F.count("*").alias("count"))
-    met = here.join(there.select("node", "next_node", "next_gap").distinct(), ["node", "next_node", "next_gap"], "left_semi")
-    met = met.select("query", "blk", F.explode(F.array("c", F.col("c") + 1)).alias("c")).distinct()
-    often = strands.groupBy("node").agg(F.count("*").alias("count"))
-    lone = chains.select("query", "blk", "c", "node").join(met, ["query", "blk", "c"], "left_anti").join(often, "node").select("query", "blk", F.col("c").alias("first"), F.col("c").alias("last"), "count")
-    before = Over.partitionBy("query", "blk").orderBy("first", F.desc("last")).rowsBetween(Over.unboundedPreceding, -1)
-    both = counted.unionByName(lone)
-    return both.withColumn("_reach", F.max("last").over(before)).where("_reach IS NULL OR _reach < last").drop("_reach")
+    ws = Workspace(chains.sparkSession, "matches")
+    queries = _walked(chains.select("query", "blk", "c", "node", "gap"), ["query", "blk"], "c", lambda v, before, i: v["gap"])
+    queries = ws.put(queries.withColumn("q", F.monotonically_increasing_id()), "queries")
+    if "nodes" not in visited.columns:
+        visited = _walked(visited.select("path_id", "idx", "node", "pos"), ["path_id"], "idx", lambda v, before, i: F.when(i == 0, 0).otherwise(v["pos"] - before["pos"]))
+    return walks.maximal(walks.longest(ws, queries, ws.put(visited.select("nodes", "gaps"), "paths")))
 
 
 def match_positions(found: DataFrame, chains: DataFrame, p: SampleParams) -> DataFrame:

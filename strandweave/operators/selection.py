@@ -266,3 +266,46 @@ def syncmers_relational(seqs: DataFrame, p: SampleParams) -> DataFrame:
     low = F.least("after", F.lead("before", p.w).over(order))
     rows = rows.withColumn("low", low).withColumn("end", F.lead("h", p.w).over(order))
     return rows.where((F.col("pos") + p.length < F.col("n")) & ((F.col("h") == F.col("low")) | (F.col("end") == F.col("low")))).select("seq_ord", "pos")
+
+
+#: Bases of the longest fragment that is a number by itself.
+NUMBERED = 27
+
+
+def numbered(p: SampleParams):
+    """The fragment's number, from 1, signed by its orientation, of occurrences (canon, orient): a node that needs no dictionary."""
+    if p.length > NUMBERED:
+        raise ValueError(f"fragments of over {NUMBERED} bases have no number")
+    return (F.conv(F.hex("canon"), 16, 10).cast("long") + 1) * F.col("orient")
+
+
+def walks(seqs: DataFrame, p: SampleParams) -> DataFrame:
+    """(nodes, gaps): the paths of seqs (seq_ord, seq), each in one row, by the numbers of fragments; homopolymers are left out."""
+    if p.length > NUMBERED:
+        raise ValueError(f"fragments of over {NUMBERED} bases have no number")
+
+    def run(it):
+        for batch in it:
+            nodes, gaps, sizes = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [0]
+            for _, c in _rows(batch):
+                places, signed = [np.empty(0, np.int64)], []
+                for a, b in _pieces(len(c), p.length):
+                    own = c[a:b]
+                    at = syncmer_places(own, p)
+                    if not len(at):
+                        continue
+                    canon, orient, poly = fragments(own, at, p.length)
+                    number = np.zeros(len(at), np.int64)
+                    for column in canon.T:
+                        number = number << 8 | column
+                    places.append(at[~poly] + a)
+                    signed.append(((number + 1) * orient)[~poly])
+                places = np.concatenate(places)
+                if len(places):
+                    nodes += signed
+                    gaps.append(np.diff(places, prepend=places[0]).astype(np.int32))
+                    sizes.append(len(places))
+            offsets = pa.array(np.cumsum(sizes), pa.int32())
+            yield _table({"nodes": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(nodes))), "gaps": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(gaps)))})
+
+    return seqs.select("seq_ord", "seq").mapInArrow(run, "nodes array<long>, gaps array<int>")

@@ -226,3 +226,55 @@ def test_paths_told_apart_leave_the_rounds(spark):
     tables = sorted(p for p in Path(ws.path.removeprefix("file:")).iterdir() if p.name.endswith("-ranks"))
     assert {r.path_id for r in spark.read.parquet(str(tables[-1])).select("path_id").distinct().collect()} <= {20, 21, 22}
     assert sum(spark.read.parquet(str(t)).count() for t in tables) < 5 * len(got)
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for shuffles."""
+    sc, gateway = spark.sparkContext, spark.sparkContext._gateway
+    stages = sc._jsc.sc().statusStore().stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_steps_that_many_queries_and_paths_share_make_no_pairs(spark):
+    """300 queries and 2,000 paths hold the same 21 fragments; half of the paths are walked backwards."""
+    step = F.explode(F.sequence(F.lit(0), F.lit(20)).cast("array<long>"))
+    paths = spark.range(2000).select(F.col("id").alias("path_id"), step.alias("idx")).withColumn("node", F.when(F.col("path_id") % 2 == 0, F.col("idx") + 3).otherwise(F.col("idx") - 23)).withColumn("pos", F.col("idx") * 5)
+    chains = spark.range(300).select(F.col("id").alias("query"), F.lit(0).cast("long").alias("blk"), step.alias("c")).withColumn("node", F.col("c") + 3).withColumn("gap", F.when(F.col("c") == 0, 0).otherwise(5).cast("long"))
+    before = shuffled_rows(spark)
+    got = mapping.matches(chains, paths).collect()
+    assert sorted(tuple(r) for r in got) == [(q, 0, 0, 20, 2000) for q in range(300)]
+    assert shuffled_rows(spark) - before < 1_000_000
+
+
+def test_matches_of_messages_need_no_dictionary(spark, sf_dir):
+    from strandweave import catalog
+
+    before = stored_tables(spark)
+    assert catalog.QUERIES["mem_conversations"](spark, sf_dir).count() > 0
+    made = stored_tables(spark) - before
+    assert made and not any(t.split("-")[-1] in ("visits", "nodes", "occurrences") for t in made), made
+
+
+def test_long_matches_against_brute_force(spark):
+    """Chains of up to 150 visits, of which every part and its reverse may stand in a path; gaps and nodes differ here and there."""
+    from strandweave.operators.pathing import both_strands
+
+    rng = random.Random(8)
+    base = [(rng.choice([-1, 1]) * rng.randint(1, 3), rng.randint(1, 2)) for _ in range(150)]
+
+    def part(flip):
+        a = rng.randrange(150)
+        own = base[a : a + rng.randint(1, 150)]
+        if flip:
+            own = [(-n, own[k + 1][1] if k + 1 < len(own) else 1) for k, (n, _) in enumerate(own)][::-1]
+        return [(rng.randint(1, 3), g) if rng.random() < 0.02 else (n, g) for n, g in own]
+
+    rows = [(p, i, node, sum(g for _, g in path[: i + 1])) for p, path in enumerate(part(k % 2) for k in range(30)) for i, (node, _) in enumerate(path)]
+    visited = spark.createDataFrame(rows, "path_id long, idx long, node long, pos long")
+    chains = {q: part(q % 3 == 0) for q in range(12)} | {12: [(1, 0), (-1, 1)], 13: [(99, 0)]}
+    df = spark.createDataFrame([(q, 0, c, node, gap if c else 0) for q, chain in chains.items() for c, (node, gap) in enumerate(chain)], "query long, blk long, c long, node long, gap long")
+    strands = {}
+    for r in sorted(both_strands(visited).collect(), key=lambda r: (r.path_id, r.strand, r.idx)):
+        strands.setdefault((r.path_id, r.strand), []).append((r.node, r.gap))
+    got = {(r.query, r.first, r.last): r["count"] for r in mapping.matches(df, visited).collect()}
+    assert got == brute_matches(chains, strands.values()) and max(z - a for _, a, z in got) > 20
