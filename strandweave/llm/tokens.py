@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from strandweave.llm import words as W
 from strandweave.runtime import Workspace, running_total
 
-#: Bits of a block of a plane: what one look-up unpacks.
-MAGIC, HEAD, BLOCK = b"SWWM0002", "<IIQQQ", 1 << 15
+#: Bits of a block of a plane: what one look-up unpacks; ids, in whole blocks, that are dealt to a plane's zeros and ones at once.
+MAGIC, HEAD, BLOCK, DEALT = b"SWWM0002", "<IIQQQ", 1 << 15, 1 << 18
 END = 2
 #: Bytes of text in a shard, on average; of text encoded at once.
 SHARD, PIECE = 24 << 20, 2 << 20
@@ -169,22 +169,35 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        now = ids.astype(np.uint16 if planes <= 16 else np.uint32, copy=False)
-        blocks, zeros, ones, kept = -(-len(ids) // BLOCK), [], [], []
+        """Needs two arrays of the ids' size and the packed planes, whatever the number of ids; ids is let go after the first plane."""
+        n, planes = len(ids), max(1, int(ids.max()).bit_length()) if len(ids) else 1
+        kind = np.uint16 if planes <= 16 else np.uint32
+        blocks, zeros, ones, kept = -(-n // BLOCK), [], [], []
+        now, spare = ids, None
+        del ids
         for level in range(planes):
-            b = (now & now.dtype.type(1 << (planes - 1 - level))) != 0
-            packed = np.packbits(b, bitorder="little")
+            packed, bit = np.empty(-(-n // 8), np.uint8), kind(1 << (planes - 1 - level))
+            for i in range(0, n, DEALT):
+                own = np.packbits((now[i : i + DEALT].astype(kind, copy=False) & bit) != 0, bitorder="little")
+                packed[i >> 3 : (i >> 3) + len(own)] = own
             cuts = np.arange(blocks) * (BLOCK >> 3)
             each = np.add.reduceat(np.bitwise_count(packed), cuts, dtype=np.int64) if blocks else np.empty(0, np.int64)
             ones.append(np.concatenate([[0], np.cumsum(each)])[:blocks])
-            zeros.append(len(b) - int(each.sum()))
+            zeros.append(n - int(each.sum()))
             kept.append(packed)
-            following = np.empty_like(now)
-            np.compress(~b, now, out=following[: zeros[-1]])
-            np.compress(b, now, out=following[zeros[-1] :])
-            now = following
-        return cls(len(ids), np.array(zeros), np.array(ones).reshape(planes, blocks), lambda level, k: kept[level][k * (BLOCK >> 3) : (k + 1) * (BLOCK >> 3)])
+            if level + 1 == planes:
+                break
+            following, low, high = np.empty(n, kind) if spare is None else spare, 0, zeros[-1]
+            for i in range(0, n, DEALT):
+                own = now[i : i + DEALT].astype(kind, copy=False)
+                b = np.unpackbits(packed[i >> 3 : (i + DEALT) >> 3], count=len(own), bitorder="little").view(bool)
+                many = int(np.count_nonzero(b))
+                following[low : low + len(own) - many], following[high : high + many] = own[~b], own[b]
+                low, high = low + len(own) - many, high + many
+            # The caller's array is never written to.
+            now, spare = following, now if level else None
+            del own
+        return cls(n, np.array(zeros), np.array(ones).reshape(planes, blocks), lambda level, k: kept[level][k * (BLOCK >> 3) : (k + 1) * (BLOCK >> 3)])
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
@@ -244,32 +257,40 @@ class WaveletMatrix:
             i = self._select(level, bit, i - self.zeros[level] if bit else i)
         return i
 
-    def plane(self, level: int) -> np.ndarray:
-        parts = [self.block(level, k) for k in range(self.ones.shape[1])]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint8)
-
-    def ids(self) -> np.ndarray:
-        """All ids, from the last plane up."""
+    def narrow(self) -> np.ndarray:
+        """All ids in 16 bits each if they fit, from the last plane up, block by block; needs two arrays of that size."""
         planes = len(self.zeros)
         kind = np.uint16 if planes <= 16 else np.uint32
-        out = np.zeros(self.n, kind)
+        out, above = np.zeros(self.n, kind), np.empty(self.n, kind)
         for level in reversed(range(planes)):
-            b = np.unpackbits(self.plane(level), count=self.n, bitorder="little").view(bool)
-            above = np.empty(self.n, kind)
-            above[~b] = out[: self.zeros[level]]
-            above[b] = out[self.zeros[level] :] | kind(1 << (planes - 1 - level))
-            out = above
-        return out.astype("<u4")
+            low, high, bit = 0, self.zeros[level], kind(1 << (planes - 1 - level))
+            for k in range(self.ones.shape[1]):
+                own = above[k * self.bits : (k + 1) * self.bits]
+                b = np.unpackbits(self.block(level, k), count=len(own), bitorder="little").view(bool)
+                many = int(np.count_nonzero(b))
+                own[~b], own[b] = out[low : low + len(own) - many], out[high : high + many] | bit
+                low, high = low + len(own) - many, high + many
+            out, above = above, out
+        return out
+
+    def ids(self) -> np.ndarray:
+        """All ids."""
+        return self.narrow().astype("<u4")
 
 
-def to_file(matrix: WaveletMatrix, bounds: np.ndarray, doc_ids: list) -> bytes:
+def frames_of(matrix: WaveletMatrix, bounds: np.ndarray, doc_ids: list) -> list[bytes]:
+    """The head and the frames of a file, which follow each other in it."""
     pack = zstandard.ZstdCompressor(level=1).compress
     planes, blocks = matrix.ones.shape
     frames = [pack(np.asarray(bounds, "<u8").tobytes()), pack(np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes()), pack(bytes(d is None for d in doc_ids))]
     frames += [pack(matrix.block(level, k).tobytes()) for level in range(planes) for k in range(blocks)]
     head = MAGIC + struct.pack(HEAD, planes, matrix.bits, len(doc_ids), matrix.n, blocks) + np.array(matrix.zeros, "<u8").tobytes() + matrix.ones.astype("<u8").tobytes()
     places = len(head) + 8 * (len(frames) + 1) + np.concatenate([[0], np.cumsum([len(f) for f in frames])])
-    return b"".join([head, places.astype("<u8").tobytes(), *frames])
+    return [head, places.astype("<u8").tobytes(), *frames]
+
+
+def to_file(matrix: WaveletMatrix, bounds: np.ndarray, doc_ids: list) -> bytes:
+    return b"".join(frames_of(matrix, bounds, doc_ids))
 
 
 class TokenFile(WaveletMatrix):
@@ -312,14 +333,15 @@ class TokenFile(WaveletMatrix):
         return cls(lambda start, stop: f.read_at(stop - start, start))
 
 
-def put_file(uri: str, data: bytes) -> None:
+def put_file(uri: str, *data: bytes) -> None:
     """Write under a hidden name, then move: a repeated task leaves the same whole file."""
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
     folder = path.rpartition("/")[0]
     fs.create_dir(folder, recursive=True)
     own = f"{folder}/_{uuid.uuid4().hex}.part"
     with fs.open_output_stream(own) as f:
-        f.write(data)
+        for part in data:
+            f.write(part)
     try:
         fs.move(own, path)
     except OSError:  # some file systems don't move onto a file, here one that an earlier attempt of this task has left
@@ -370,9 +392,10 @@ def _write(folder: str, vocabulary, end: int):
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}.swwm"
         encode.forget()
+        W.release()
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         matrix = WaveletMatrix.build(_joined(parts))
-        put_file(path, to_file(matrix, bounds, doc_ids))
+        put_file(path, *frames_of(matrix, bounds, doc_ids))
         yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([path]), pa.array([len(doc_ids)], pa.int64()), pa.array([matrix.n], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
     return W.tidy(run)
@@ -396,9 +419,8 @@ def _read(it):
     for batch in it:
         for shard, data in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
             stored = TokenFile.of(data.as_buffer())
-            ids, bounds = stored.ids(), stored.bounds()
-            raw = memoryview(ids).cast("B")
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            ids, bounds = stored.narrow(), stored.bounds()
+            crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(stored.doc_ids(), pa.int64()), pa.array(np.full(stored.docs, shard, np.int32)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
                 ["doc_id", "shard", "inside", "n_tokens", "ids_crc32"],

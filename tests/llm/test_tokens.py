@@ -119,3 +119,29 @@ def test_forgetting_changes_nothing():
     a, b = tokens.Encoder(vocabulary), tokens.Encoder(vocabulary, known=10, kept=4)
     for k in range(0, 300, 50):
         assert a(texts.slice(k, 50))[0].tolist() == b(texts.slice(k, 50))[0].tolist()
+
+
+def test_a_shard_is_written_and_read_in_little_memory():
+    import tracemalloc
+
+    ids = np.random.default_rng(1).integers(0, 49_000, 2_000_000 + 13).astype(np.uint16)
+    before = ids.copy()
+    bounds = np.append(np.arange(0, len(ids), 1000), len(ids))
+
+    def peak(run):
+        """Bytes for each id beyond what there was."""
+        tracemalloc.start()
+        out = run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most / len(ids)
+
+    matrix, build = peak(lambda: tokens.WaveletMatrix.build(ids))
+    data = tokens.to_file(matrix, bounds, list(range(len(bounds) - 1)))
+    found = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([data], pa.binary())], ["shard", "content"])
+    rows, read = peak(lambda: [b.to_pydict() for b in tokens._read([found])])
+    raw = before.astype("<u4").tobytes()
+    assert np.array_equal(ids, before) and np.array_equal(tokens.TokenFile.of(data).ids(), before)
+    assert rows[0]["ids_crc32"] == [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    # Two arrays of 2 bytes an id, in building also the planes' 2, and pieces.
+    assert build < 8 and read < 6, (build, read)
