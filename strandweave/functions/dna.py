@@ -55,16 +55,11 @@ def kmer_hash(number: Column, k: int, factor: int) -> Column:
     if k <= 15:
         low, high = F.lit(factor & 0xFFFFFFFF), F.lit(factor >> 32)
         upper = (number * high + F.shiftrightunsigned(number * low, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
-        return F.shiftrightunsigned(F.shiftleft(upper, 32).bitwiseOR((number * low).bitwiseAND(F.lit(0xFFFFFFFF))), 64 - 2 * k)
+        return F.shiftrightunsigned(upper, 32 - 2 * k)
     wide = (number.cast("decimal(19,0)") * F.lit(str(factor)).cast("decimal(19,0)")) % F.lit(str(1 << 64)).cast("decimal(20,0)")
     return F.floor(wide / F.lit(str(1 << (64 - 2 * k))).cast("decimal(20,0)")).cast("long")
 
 
-def strand_hash(kmer: Column, k: int, factor: int) -> Column:
-    """The smaller of the hashes of a k-mer and of its reverse complement."""
-    return F.least(kmer_hash(kmer_number(kmer), k, factor), kmer_hash(kmer_number(reverse_complement(kmer)), k, factor))
-
-
 def is_homopolymer(seq: Column) -> Column:
     return seq.rlike("^(a+|c+|g+|t+)$")
 

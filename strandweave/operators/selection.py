@@ -7,11 +7,12 @@ into overlapping pieces, so a task holds a bounded number of hashes.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from strandweave.functions import dna
@@ -249,23 +250,68 @@ def modimizers(seqs: DataFrame, p: SampleParams) -> DataFrame:
     return seqs.select("seq_ord", "seq").mapInArrow(run, "seq_ord long, pos long, hash long")
 
 
+#: Windows of a piece where hashes are an array in a row, and bases of a number there.
+COLUMN_PIECE, WORD = 1 << 12, 31
+
+
+def _once(value, use):
+    """What ``use`` makes of a column that is worked out a single time, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _never_null(numbers):
+    """An array that isn't null, as the optimizer sees too: else it tests for null below, and works it out there once more."""
+    return F.coalesce(numbers, F.array().cast("array<long>"))
+
+
+def _strand_hashes(piece, p: SampleParams):
+    """The hashes of the k-mers at all places of a piece (bases as binary), as an array.
+
+    Words of 31 digits become numbers, and k-mers are cut out of them by shifts; the
+    digits of the other strand are the complement of the reversed word's.
+    """
+    per = WORD - p.k + 1
+    n = F.length(piece) - p.k + 1
+    words = F.ceil(n / per).cast("int")
+    digits = F.rpad(dna.encode(piece.cast("string")), (words - 1) * per + WORD, "0").cast("binary")
+    texts = _once(digits, lambda d: F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.substring(d, i * per + 1, F.lit(WORD)).cast("string")))
+
+    def number(text):
+        return F.conv(text, 4, 10).cast("long")
+
+    def cut(word, shifts):
+        return F.transform(F.array(*[F.lit(2 * i) for i in shifts]), lambda i: F.call_function("shiftright", word, i).bitwiseAND(F.lit(4**p.k - 1)))
+
+    def both(word):
+        return F.zip_with(cut(word["there"], reversed(range(per))), cut(word["back"], range(per)), lambda a, b: F.least(dna.kmer_hash(a, p.k, p.factor), dna.kmer_hash(b, p.k, p.factor)))
+
+    numbers = F.transform(texts, lambda t: F.struct(number(t).alias("there"), (F.lit(4**WORD - 1) - number(F.reverse(t))).alias("back")))
+    return F.slice(F.flatten(F.transform(numbers, both)), F.lit(1), n)
+
+
 def syncmers_relational(seqs: DataFrame, p: SampleParams) -> DataFrame:
-    """(seq_ord, pos) of the closed syncmers with DataFrame operations only.
+    """(seq_ord, pos) of the closed syncmers with DataFrame operations only; use it where Python isn't to be had.
 
-    A row for each base goes through a shuffle and two running minima over blocks
-    of w + 1 (so no frame is wider than a running one); use it where Python isn't
-    to be had.
+    Sequences are cut into pieces that share a window's bases, and each piece is
+    worked on where it lies: nothing is shuffled.  A window's ends are compared with
+    the smallest hashes of the groups that lie in it, and only where one may be the
+    smallest with all of its hashes.  The window at the very end isn't looked at, so
+    the last base goes first.
     """
-    rows = seqs.where(F.length("seq") > p.length).select("seq_ord", F.length("seq").alias("n"), F.posexplode(F.expr(f"transform(sequence(1, length(seq) - {p.k} + 1), i -> substring(seq, i, {p.k}))")).alias("pos", "kmer"))
-    rows = rows.select("seq_ord", "n", F.col("pos").cast("long").alias("pos"), dna.strand_hash(F.col("kmer"), p.k, p.factor).alias("h"))
-    block = F.floor(F.col("pos") / (p.w + 1))
-    up = Over.partitionBy("seq_ord", "block").orderBy("pos").rowsBetween(Over.unboundedPreceding, 0)
-    down = Over.partitionBy("seq_ord", "block").orderBy(F.desc("pos")).rowsBetween(Over.unboundedPreceding, 0)
-    rows = rows.withColumn("block", block).withColumn("before", F.min("h").over(up)).withColumn("after", F.min("h").over(down))
-    order = Over.partitionBy("seq_ord").orderBy("pos")
-    low = F.least("after", F.lead("before", p.w).over(order))
-    rows = rows.withColumn("low", low).withColumn("end", F.lead("h", p.w).over(order))
-    return rows.where((F.col("pos") + p.length < F.col("n")) & ((F.col("h") == F.col("low")) | (F.col("end") == F.col("low")))).select("seq_ord", "pos")
+
+    def cut(bases):
+        starts = F.sequence(F.lit(0), F.length(bases) - (p.length + 1), F.lit(COLUMN_PIECE))
+        return F.transform(starts, lambda a: F.struct(a.alias("start"), F.substring(bases, a + 1, F.least(F.lit(COLUMN_PIECE + p.length - 1), F.length(bases) - 1 - a)).alias("piece")))
+
+    pieces = seqs.where(F.length("seq") > p.length).select("seq_ord", F.explode(_once(F.col("seq").cast("binary"), cut)).alias("x"))
+    rows = pieces.select("seq_ord", "x.start", _never_null(_strand_hashes(F.col("x.piece"), p)).alias("h"))
+    size = math.isqrt(p.w + 1)
+    lows = F.transform(F.sequence(F.lit(0), F.floor((F.size("h") - 1) / size).cast("int")), lambda g: F.array_min(F.slice("h", g * size + 1, F.lit(size))))
+    rows = rows.select("seq_ord", "start", "h", _never_null(lows).alias("lows")).select("seq_ord", "start", "h", "lows", F.explode(F.sequence(F.lit(0), F.size("h") - (p.w + 1))).alias("at"))
+    first, behind = F.ceil(F.col("at") / size).cast("int"), F.floor((F.col("at") + (p.w + 1)) / size).cast("int")
+    end = F.least(F.get("h", F.col("at")), F.get("h", F.col("at") + p.w))
+    kept = rows.where((end <= F.array_min(F.slice("lows", first + 1, behind - first))) & (end == F.array_min(F.slice("h", F.col("at") + 1, F.lit(p.w + 1)))))
+    return kept.select("seq_ord", (F.col("start") + F.col("at")).cast("long").alias("pos"))
 
 
 #: Bases of the longest fragment that is a number by itself.

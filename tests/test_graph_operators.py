@@ -60,6 +60,17 @@ def test_selection_in_small_pieces(spark, made, monkeypatch):
     assert [(i, p) for i, ps in enumerate(found) for p in ps] == want
 
 
+@pytest.mark.parametrize("p", [P, SampleParams(), SampleParams(k=31, w=2), SampleParams(k=16, w=1), SampleParams(k=1, w=2), SampleParams(k=15, w=40)], ids=lambda p: f"{p.k}-{p.w}")
+def test_relational_syncmers_move_no_row_per_base(made, monkeypatch, p):
+    _, seqs, _, _, _, _ = made
+    monkeypatch.setattr(selection, "COLUMN_PIECE", 37)
+    found = selection.syncmers_relational(seqs, p)
+    assert sorted((r.seq_ord, r.pos) for r in found.collect()) == [(i, a) for i, s in enumerate(sequences()) for a in syncmers(s, p)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Exchange", "Window", "Sort", "Python", "Arrow") if x in plan]
+    assert plan.count("rpad(") == 1  # hashes are worked out once: no test for null asks for them again
+
+
 def test_minimizers_and_modimizers(made):
     _, seqs, _, _, _, _ = made
     minis, mods = set(), set()
